@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lattica.llm.textbytes import BYTE, SPACE, U, Block, _BASE, blocks, mix, powers
+from lattica.llm.textbytes import BYTE, SPACE, U, Block, BASE, blocks, mix, powers
 
 RING = 16
 #: One position in 2**CUT_BITS is a cut.
@@ -36,9 +36,9 @@ def cuts(data: np.ndarray, bits: int = CUT_BITS) -> np.ndarray:
         return np.zeros(0, np.int64)
     total = np.zeros(len(data) + 1, np.uint64)
     # running value h[i] = h[i-1] * base + byte, so a window is a difference of two such values
-    back = powers(pow(_BASE, -1, 1 << 64), len(data) + 1)
+    back = powers(pow(BASE, -1, 1 << 64), len(data) + 1)
     np.cumsum(BYTE[data] * back[1:], out=total[1:])
-    window = (total[RING:] - total[:-RING]) * powers(_BASE, len(data) + 1)[RING:]
+    window = (total[RING:] - total[:-RING]) * powers(BASE, len(data) + 1)[RING:]
     at = np.flatnonzero(mix(window) >> U(64 - bits) == 0) + RING
     at = at[at < len(data)]
     return at[(data[at] & 0xC0) != 0x80]

@@ -262,10 +262,10 @@ def confirmed_edges(members: DataFrame, num: int, den: int, parts: int) -> DataF
     return _chunked(members, "cluster", "members", CLUSTER_CHUNK, parts).mapInArrow(work, "src long, dst long")
 
 
-def _sized(rows: DataFrame, key: str) -> DataFrame:
-    """Add ``members``, the rows of each key; keys of one row go."""
+def _sized(rows: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """Add ``members``, the rows of each key; keys of one row go. A large key's rows can be split."""
     count = rows.groupBy(key).agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    return rows.join(count, key)
+    return rows.join(scratch.keep(count, "sizes"), key)
 
 
 def _same_document(signed: DataFrame, able: DataFrame, classes: DataFrame) -> DataFrame:
@@ -297,18 +297,19 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, num: int = 80,
     classes = scratch.keep(able.groupBy("set_a", "set_b").agg(least).select("set_a", "set_b", "least.*"), "classes")
 
     posted = postings(classes, coords)
-    frequent = posted.groupBy("key").agg(F.count(F.lit(1)).alias("posted")).filter("posted > 1")
+    # written, so that the join deals both sides itself and can split a large key
+    frequent = scratch.keep(posted.groupBy("key").agg(F.count(F.lit(1)).alias("posted")).filter("posted > 1"), "frequent")
     shared = posted.join(frequent, "key").groupBy("doc_id").agg(F.collect_list(F.struct("posted", "key")).alias("keys"))
     # ranks of pairs that no other class has come first, so they use up the prefix
     left = F.lit(prefix - coords) + F.size("keys")
     rare = shared.filter(F.size("keys") >= match).select("doc_id", F.slice(F.sort_array("keys"), 1, left).alias("keys"))
     first = scratch.keep(rare.select("doc_id", F.explode("keys.key").alias("key")), "prefix")
-    met = scratch.keep(_sized(first, "key"), "met").join(classes.select("doc_id", "sig"), "doc_id").select("key", "members", "doc_id", "sig")
+    met = scratch.keep(_sized(first, "key", scratch), "met").join(classes.select("doc_id", "sig"), "doc_id").select("key", "members", "doc_id", "sig")
     edges = meeting_edges(met, coords, match, parts)
     edges = scratch.keep(edges.unionByName(_same_document(signed, able, classes)).distinct(), "meeting")
 
     clusters = connected_components(edges, scratch).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
-    clusters = scratch.keep(_sized(clusters, "cluster"), "clusters")
+    clusters = scratch.keep(_sized(scratch.keep(clusters, "clustered"), "cluster", scratch), "clusters")
     able_docs = docs.select("doc_id", "text").join(clusters, "doc_id").select("doc_id", "text")
     sets = shingle_sets(able_docs, words_per_shingle).join(clusters, "doc_id").select("cluster", "members", "doc_id", "shingles")
     links = confirmed_edges(sets, num, den, parts)

@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lattica.llm.columns import fresh
-from lattica.llm.textbytes import U, Block, _BASE, blocks, mix, powers, words
+from lattica.llm.textbytes import U, Block, BASE, blocks, mix, powers, words
+from lattica.plans.scratch import Scratch
 
 SENTENCES, LEAST_WORDS = 2, 20
 
@@ -57,8 +58,8 @@ def runs(block: Block, sentences: int = SENTENCES, least_words: int = LEAST_WORD
     hashes = []
     for salt in (U(0), U(0x5851F42D4C957F2D)):
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum(mix(w.hashes ^ salt) * powers(_BASE, n), out=total[1:])
-        back = powers(pow(_BASE, -1, 1 << 64), n + 1)[first]
+        np.cumsum(mix(w.hashes ^ salt) * powers(BASE, n), out=total[1:])
+        back = powers(pow(BASE, -1, 1 << 64), n + 1)[first]
         hashes.append(mix((total[last] - total[first]) * back + (last - first).astype(np.uint64)).view(np.int64))
     text = text[a]
     base = block.offsets[text]
@@ -95,6 +96,7 @@ def repeated_spans(docs: DataFrame, sentences: int = SENTENCES, least_words: int
     key = ["hash_a", "hash_b"]
     shared = found.groupBy(*key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("again").alias("any_again"))
     shared = shared.filter("last > first or any_again").select(*key, "first")
+    shared = Scratch(docs.sparkSession).keep(shared, "shared")  # written, so that the join can split a large key
     gone = found.join(shared, key).filter("doc_id > first or again").select("doc_id", "start", "end")
     per_doc = gone.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
     empty = F.array().cast("array<struct<start:int,end:int>>")

@@ -38,7 +38,7 @@ def _byte_table() -> np.ndarray:
 
 
 BYTE = _byte_table()
-_BASE, _BASE_INV = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
+BASE, BASE_INV = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -124,8 +124,8 @@ def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndar
     if not len(starts):
         return np.zeros(0, np.uint64)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(table[data] * powers(_BASE, len(data)), out=total[1:])
-    back = powers(_BASE_INV, len(data) + 1)[starts]
+    np.cumsum(table[data] * powers(BASE, len(data)), out=total[1:])
+    back = powers(BASE_INV, len(data) + 1)[starts]
     return mix((total[ends] - total[starts]) * back + (ends - starts).astype(np.uint64))
 
 
@@ -138,7 +138,7 @@ def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     counts = np.diff(w.bounds)
     rolled = np.zeros(max(0, n - k + 1), np.uint64)
     for i in range(k if len(rolled) else 0):
-        rolled = rolled * U(_BASE) + w.hashes[i : n - k + 1 + i]
+        rolled = rolled * U(BASE) + w.hashes[i : n - k + 1 + i]
     rolled = mix(rolled)
     pieces, sizes = [], np.zeros(len(counts), np.int64)
     for t in np.flatnonzero(counts):
@@ -150,7 +150,7 @@ def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
         else:
             own = np.array([b - a], np.uint64)
             for x in w.hashes[a:b]:
-                own = mix(own * U(_BASE) + x)
+                own = mix(own * U(BASE) + x)
         pieces.append(own)
         sizes[t] = len(own)
     first = np.zeros(len(counts) + 1, np.int64)
