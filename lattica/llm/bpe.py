@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,11 @@ from lattica.llm.textbytes import BYTE, SPACE, U, Block, BASE, blocks, mix, powe
 
 RING = 16
 #: One position in 2**CUT_BITS is a cut.
-CUT_BITS = 7
+CUT_BITS = 9
 #: Bytes of chunks whose tokens a task keeps.
-CACHE = 24 << 20
+CACHE = 16 << 20
+#: Words whose tokens a worker keeps before it starts anew.
+WORDS = 600_000
 _WHITE = b" \t\n\r\x0b\x0c"
 
 
@@ -58,20 +61,30 @@ class Encoder:
         self.names = [""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.names[i] = token
+        self.decimal = [str(i) for i in range(len(self.names))]
+        self.words: dict[bytes, tuple[int, str, str]] = {}
         self.room, self.cache = cache, cache
         self.known: dict[bytes, tuple[int, str, str]] = {b"": (0, "", "")}
         self.encoded = 0
 
     def _learn(self, pieces: set[bytes]) -> None:
-        new = [p for p in pieces if p not in self.known]
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            found = self.tok.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)
-            for p, e in zip(part, found, strict=True):
+        """Encode what is new: a chunk's words one by one, those met before from ``words``."""
+        new = [(p, p.split()) for p in pieces if p not in self.known]
+        words, names, decimal = self.words, self.names, self.decimal
+        missing = list(set(chain.from_iterable([own for _, own in new])).difference(words))
+        for i in range(0, len(missing), 4096):
+            part = missing[i : i + 4096]
+            found = self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            for w, e in zip(part, found, strict=True):
                 ids = e.ids
-                self.known[p] = (len(ids), " ".join(map(str, ids)), " ".join([self.names[i] for i in ids]))
-                self.room -= len(p)
-            self.encoded += len(part)
+                if len(ids) == 1:
+                    words[w] = 1, decimal[ids[0]], names[ids[0]]
+                else:
+                    words[w] = len(ids), " ".join([decimal[i] for i in ids]), " ".join([names[i] for i in ids])
+        self.encoded += len(missing)
+        for p, own in new:
+            self.known[p] = _joined(list(map(words.__getitem__, own)))
+            self.room -= len(p)
 
     def pieces(self, chunks: list[bytes]) -> list[bytes]:
         """Pieces of one text that start and end at white space: chunk cores and repaired joins."""
@@ -110,12 +123,30 @@ class Encoder:
         if self.room < 0:
             self.known = {b"": (0, "", "")}
             self.room = self.cache
+        if len(self.words) > WORDS:
+            self.words = {}
         self._learn({p for text in texts for p in text})
-        out = []
-        for text in texts:
-            got = [self.known[p] for p in text]
-            out.append((sum(g[0] for g in got), " ".join([g[1] for g in got if g[0]]), " ".join([g[2] for g in got if g[0]])))
-        return out
+        known = self.known
+        return [_joined(list(map(known.__getitem__, text))) for text in texts]
+
+
+def _joined(parts: list[tuple[int, str, str]]) -> tuple[int, str, str]:
+    if not parts:
+        return 0, "", ""
+    counts, ids, tokens = zip(*parts, strict=True)
+    if 0 in counts:
+        return _joined([p for p in parts if p[0]])
+    return sum(counts), " ".join(ids), " ".join(tokens)
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder: what one task has encoded, its next tasks need not."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 _SPACES = {bytes([b]) for b in _WHITE}
@@ -123,10 +154,10 @@ _SPACES = {bytes([b]) for b in _WHITE}
 
 def _encoded(docs: DataFrame, path: str, schema: str, types: list[pa.DataType], row) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        own = encoder(path)
         for batch in batches:
             for block in blocks(batch.column(1)):
-                cols = list(zip(*[row(*x) for x in encoder.block(block)], strict=True))
+                cols = list(zip(*[row(*x) for x in own.block(block)], strict=True))
                 ids = batch.column(0).slice(block.first, block.n).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([ids, *map(pa.array, cols, types)], [c.split()[0] for c in schema.split(", ")])
 
