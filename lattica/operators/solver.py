@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from lattica.functions.machine import EPS, TINY_SHARE
 from lattica.operators import products as P
 from lattica.operators.elementwise import scale
+from lattica.operators.graph import connected_components
 from lattica.plans import kernels as K
 from lattica.plans import local
 from lattica.plans.local import Options
@@ -398,6 +399,11 @@ def solve(a: DataFrame, b: DataFrame, n: int, options: Options | None = None, pr
     return Solved(x, spark.createDataFrame(rows, "k int, berr double, refine_steps int, info long"), f)
 
 
+def _renamed(b: DataFrame) -> DataFrame:
+    """Every column under a new name, so that a side made from the other can be told apart."""
+    return b.select(*[F.col(c).alias("r_" + c) for c in b.columns])
+
+
 def solve_batch(a: DataFrame, b: DataFrame, options: Options | None = None) -> DataFrame:
     """``(batch_id, i, k, x, berr, info)`` of many systems ``a(batch_id, i, j, v)``, ``b(batch_id, i, k, x)``; one task a system."""
     o = options or Options()
@@ -405,6 +411,7 @@ def solve_batch(a: DataFrame, b: DataFrame, options: Options | None = None) -> D
 
     def work(m: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         names = [c.split()[0] for c in schema.split(", ")]
+        r = r.rename(columns=lambda c: c[2:])
         if not len(r):
             return pd.DataFrame({c: [] for c in names})
         batch = int(r["batch_id"].iloc[0])
@@ -415,7 +422,7 @@ def solve_batch(a: DataFrame, b: DataFrame, options: Options | None = None) -> D
         got = local.solve(n, m["i"].to_numpy(np.int64), m["j"].to_numpy(np.int64), m["v"].to_numpy(float), rhs, o)
         return pd.DataFrame({"batch_id": batch, "i": np.repeat(np.arange(n), len(ks)), "k": np.tile(ks, n).astype(np.int32), "x": got.x.ravel(), "berr": np.tile(got.berr, n), "info": got.info})
 
-    return a.groupBy("batch_id").cogroup(b.groupBy("batch_id")).applyInPandas(work, schema)
+    return a.groupBy("batch_id").cogroup(_renamed(b).groupBy("r_batch_id")).applyInPandas(work, schema)
 
 
 def logdet_batch(a: DataFrame, options: Options | None = None) -> DataFrame:
@@ -435,8 +442,6 @@ def solve_components(a: DataFrame, b: DataFrame, options: Options | None = None)
 
     Blocks are the connected components of the pattern; indices are renumbered inside each.
     """
-    from lattica.operators.graph import connected_components
-
     scratch = Scratch(a.sparkSession)
     comp = scratch.keep(connected_components(a.select(F.col("i").alias("src"), F.col("j").alias("dst")), scratch), "components")
     o = options or Options()
@@ -444,6 +449,7 @@ def solve_components(a: DataFrame, b: DataFrame, options: Options | None = None)
     right = b.join(comp.select(F.col("node").alias("i"), F.col("component").alias("batch_id")), "i")
 
     def work(m: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        r = r.rename(columns=lambda c: c[2:])
         ids = np.unique(np.concatenate([m["i"], m["j"], r["i"]]).astype(np.int64))
         ks = np.unique(r["k"])
         rhs = np.zeros((len(ids), len(ks)))
@@ -451,7 +457,47 @@ def solve_components(a: DataFrame, b: DataFrame, options: Options | None = None)
         got = local.solve(len(ids), np.searchsorted(ids, m["i"]), np.searchsorted(ids, m["j"]), m["v"].to_numpy(float), rhs, o)
         return pd.DataFrame({"i": np.repeat(ids, len(ks)), "k": np.tile(ks, len(ids)).astype(np.int32), "x": got.x.ravel(), "berr": np.tile(got.berr, len(ids)), "info": got.info})
 
-    return left.groupBy("batch_id").cogroup(right.groupBy("batch_id")).applyInPandas(work, "i long, k int, x double, berr double, info long")
+    return left.groupBy("batch_id").cogroup(_renamed(right).groupBy("r_batch_id")).applyInPandas(work, "i long, k int, x double, berr double, info long")
+
+
+def mixed_precision(a: DataFrame, b: DataFrame, n: int, options: Options | None = None, limit: int = 10, ratio: float = 0.5, settled: float = 0.25) -> tuple[DataFrame, DataFrame]:
+    """Factor in single, refine in double precision: X and ``(k, norm_bound, comp_bound, berr, steps)``.
+
+    With dx the corrections, a right-hand side stops when dx no longer falls by
+    ``ratio``, is below eps, or after ``limit`` steps. The bounds are the last
+    correction over 1 - the worst ratio, as a share of X by its greatest entry
+    (norm) and by component; the latter only counts once components move by less
+    than ``settled``.
+    """
+    o = (options or Options()).but(precision="single", refine="none")
+    scratch = Scratch(a.sparkSession)
+    a, b = scratch.keep(a, "matrix"), scratch.keep(b, "rhs")
+    f = factorize(a, n, o)
+    x = scratch.keep(f.solve(b), "x")
+    floor = max(10.0, float(np.sqrt(n))) * EPS["double"]
+    state: dict[int, dict] = {r.k: {"dx": np.inf, "dz": np.inf, "rho": 0.0, "rho_z": 0.0, "steps": 0} for r in b.select("k").distinct().collect()}
+    active = set() if f.info else set(state)
+    while active:
+        dx = scratch.keep(f.solve(P.residual_vector(a, x, b).filter(F.col("k").isin(sorted(active)))), "dx")
+        both = x.join(dx.select("i", "k", F.abs("x").alias("d")), ["i", "k"])
+        size = both.groupBy("k").agg(F.try_divide(F.max("d"), F.max(F.abs("x"))).alias("dx"), F.max(F.try_divide(F.col("d"), F.abs("x"))).alias("dz"))
+        x = scratch.keep(P.add_vectors(x, dx), "x")
+        for r in size.collect():
+            s = state[r.k]
+            new, new_z = r.dx or 0.0, r.dz or 0.0
+            step, step_z = new / s["dx"], new_z / s["dz"]
+            s["steps"] += 1
+            going = new > EPS["double"] and (s["steps"] == 1 or step <= ratio) and s["steps"] < limit
+            if s["steps"] > 1 and new > EPS["double"]:
+                s["rho"] = max(s["rho"], min(step, 0.99))
+            if s["steps"] > 1 and new_z > EPS["double"] and s["dz"] < settled:
+                s["rho_z"] = max(s["rho_z"], min(step_z, 0.99))
+            s["dx"], s["dz"] = new, new_z
+            if not going:
+                active.discard(r.k)
+    berr = {r.k: r.berr for r in P.backward_error(a, x, b, n).collect()}
+    rows = [(k, max(s["dx"] / (1 - s["rho"]), floor), max(s["dz"] / (1 - s["rho_z"]), floor), berr.get(k), s["steps"]) for k, s in sorted(state.items())]
+    return x, a.sparkSession.createDataFrame(rows, "k int, norm_bound double, comp_bound double, berr double, steps int")
 
 
 def scaled_matrix(a: DataFrame, n: int) -> tuple[DataFrame, str]:

@@ -104,7 +104,8 @@ def _cost_matching(n: int, i: np.ndarray, j: np.ndarray, cost: np.ndarray) -> tu
         r = sink
         while True:
             c = via[r]
-            r, row_of[c], col_of[r] = row_of[c], r, c
+            before, row_of[c], col_of[r] = row_of[c], r, c
+            r = before
             if c == root:
                 break
     return np.array(col_of), u, v

@@ -20,7 +20,7 @@ COMPLEX = "i long, j long, v struct<re:double,im:double>"
 
 
 def _fields(spark: SparkSession, path: str) -> DataFrame:
-    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.monotonically_increasing_id().alias("at"))
+    lines = spark.read.text(path).select(F.regexp_replace("value", r"^\s+|\s+$", "").alias("line"), F.monotonically_increasing_id().alias("at"))
     return lines.withColumn("f", F.split("line", r"\s+"))
 
 
@@ -91,7 +91,7 @@ def read_triplets(spark: SparkSession, path: str, header: bool = True, complex_v
 def read_rhs(spark: SparkSession, path: str) -> DataFrame:
     """One value a line, as right-hand side 0."""
     lines = spark.read.text(path, wholetext=True)
-    parts = lines.select(F.posexplode(F.split(F.trim("value"), r"\s+")).alias("i", "x"))
+    parts = lines.select(F.posexplode(F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+")).alias("i", "x"))
     return parts.select(F.col("i").cast("long").alias("i"), F.lit(0).alias("k"), F.col("x").cast("double").alias("x"))
 
 
