@@ -13,8 +13,7 @@ from lattica.plans.scratch import Scratch
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language: null or letterless texts. Learned from the rows with a lang; columns stay."""
     model = langid.learn(docs.filter(crc_share("doc_id", 4) != 2).select("doc_id", "text", "lang"))
-    gone = langid.predict(docs, model).filter("lang_pred = 'und'").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return langid.keep_identified(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

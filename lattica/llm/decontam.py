@@ -124,19 +124,23 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, le
     in passes of at most ``pass_chars`` characters, so what a task holds is
     bounded; more items mean more passes over the documents.
     """
-    spark = docs.sparkSession
+    out = docs.sparkSession.createDataFrame([], HITS)
+    for texts in _passes(benchmark, least_chars, pass_chars):
+        out = out.unionByName(_scan(docs, texts, rate))
+    return out
+
+
+def _passes(benchmark: DataFrame, least_chars: int, pass_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """Normalised items in lists of about ``pass_chars`` characters."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").dropna()
     total = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     passes = 1 + total // pass_chars
-    out = spark.createDataFrame([], HITS)
     for k in range(passes):
         own = items if passes == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k)
         texts = sorted({(r.item_id, normalise(r.text)) for r in own.toLocalIterator()})
         texts = [(i, t) for i, t in texts if len(t) >= least_chars]
         if texts:
-            found = _scan(docs, texts, rate)
-            out = found if k == 0 or not out.columns else out.unionByName(found)
-    return out
+            yield texts
 
 
 def _scan(docs: DataFrame, items: list[tuple[int, str]], rate: float) -> DataFrame:
@@ -166,7 +170,19 @@ def _scan(docs: DataFrame, items: list[tuple[int, str]], rate: float) -> DataFra
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, HITS)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **rule) -> DataFrame:
-    """Rows of ``docs`` with no copy of an item; columns as they were."""
-    gone = contaminations(docs, benchmark, **rule).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least_chars: int = LEAST_CHARS, pass_chars: int = PASS_CHARS) -> DataFrame:
+    """Rows of ``docs`` with no copy of an item, columns as they were; no shuffle. Null texts stay, null ids don't matter."""
+    at = docs.columns.index("text")
+    for items in _passes(benchmark, least_chars, pass_chars):
+        docs = _without(docs, at, docs.sparkSession.sparkContext.broadcast(items), rate)
+    return docs
+
+
+def _without(docs: DataFrame, at: int, shared, rate: float) -> DataFrame:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher([(k, text) for k, (_, text) in enumerate(shared.value)], rate)
+        for batch in batches:
+            keep = [not matcher.find(normalise(t)) for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)

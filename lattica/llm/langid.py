@@ -233,6 +233,23 @@ def training_windows(labelled: DataFrame, rows_per_lang: int = SAMPLE_ROWS, per_
     return sorted((r.lang, bytes(r.raw)) for r in found)
 
 
+def labels(model: Model | None, block: Block) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text of a block."""
+    lang: list[str] = ["und"] * block.n
+    score = np.zeros(block.n)
+    if model is None or not len(block.data):
+        return lang, score
+    p, letters = pooled(model, block)
+    best = p.argmax(axis=1)
+    plain = np.zeros(len(block.data) + 1, np.int64)
+    np.cumsum((LETTER[block.data] > 0) & (block.data < 128), out=plain[1:])
+    plain = plain[block.offsets[1:]] - plain[block.offsets[:-1]]
+    for i in np.flatnonzero(letters):
+        if plain[i] or any(map(str.isalpha, block.data[block.offsets[i] : block.offsets[i + 1]].tobytes().decode("utf-8", "replace"))):
+            lang[i], score[i] = model.langs[best[i]], min(1.0, float(p[i, best[i]]))
+    return lang, score
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """``(doc_id, lang_pred, score)`` for each row of ``docs(doc_id, text)``.
 
@@ -243,17 +260,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(1)):
-                lang: list[str] = ["und"] * block.n
-                score = np.zeros(block.n)
-                if model is not None:
-                    p, letters = pooled(model, block)
-                    best = p.argmax(axis=1)
-                    plain = np.zeros(len(block.data) + 1, np.int64)
-                    np.cumsum((LETTER[block.data] > 0) & (block.data < 128), out=plain[1:])
-                    plain = plain[block.offsets[1:]] - plain[block.offsets[:-1]]
-                    for i in np.flatnonzero(letters):
-                        if plain[i] or any(map(str.isalpha, block.data[block.offsets[i] : block.offsets[i + 1]].tobytes().decode("utf-8", "replace"))):
-                            lang[i], score[i] = model.langs[best[i]], min(1.0, float(p[i, best[i]]))
+                lang, score = labels(model, block)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(block.first, block.n).cast(pa.int64()), pa.array(lang), pa.array(score)], ["doc_id", "lang_pred", "score"]
                 )
@@ -261,6 +268,18 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
+    """Rows of ``docs`` whose text has a language, columns as they were; no shuffle. Without a model all rows stay."""
+    at = docs.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [lang != "und" for block in blocks(batch.column(at)) for lang in labels(model, block)[0]]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema) if model is not None else docs
+
+
 def learn(labelled: DataFrame, **bounds: int) -> Model | None:
     """Model of the languages in ``labelled(doc_id, text, lang)``; None if there is nothing to learn from."""
     samples = training_windows(labelled, **bounds)

@@ -257,5 +257,5 @@ def test_contaminations(spark):
     for r in found:
         assert r.distance == plain_distance(decontam.normalise(dict(items)[r.item_id]), texts[r.doc_id])[1]
     left = decontam.drop_contaminated(docs, bench)
-    assert left.columns == docs.columns and left.count() == len(rows) - 20 - 2
+    assert left.columns == docs.columns and left.count() == len(rows) - 20 - 3
     assert decontam.contaminations(docs, bench.limit(0)).count() == 0
