@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -28,8 +29,8 @@ RING = 16
 CUT_BITS = 9
 #: Bytes of chunks whose tokens a task keeps.
 CACHE = 16 << 20
-#: Words whose tokens a worker keeps before it starts anew.
-WORDS = 600_000
+#: Words whose tokens a task keeps before it starts anew.
+WORDS = 400_000
 _WHITE = b" \t\n\r\x0b\x0c"
 
 
@@ -47,20 +48,27 @@ def cuts(data: np.ndarray, bits: int = CUT_BITS) -> np.ndarray:
     return at[(data[at] & 0xC0) != 0x80]
 
 
+@lru_cache(maxsize=1)
+def _tokenizer(path: str) -> tuple:
+    """The tokenizer and its tokens by id, read once in a worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation()
+    tok.no_padding()
+    vocab = tok.get_vocab(with_added_tokens=True)
+    names = [""] * (max(vocab.values()) + 1)
+    for token, i in vocab.items():
+        names[i] = token
+    return tok, names
+
+
 class Encoder:
     """Whole-text token counts, ids and tokens as space-joined strings."""
 
     def __init__(self, path: str, cache: int = CACHE):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        self.tok.no_truncation()
-        self.tok.no_padding()
-        vocab = self.tok.get_vocab(with_added_tokens=True)
-        self.names = [""] * (max(vocab.values()) + 1)
-        for token, i in vocab.items():
-            self.names[i] = token
+        self.tok, self.names = _tokenizer(path)
         self.decimal = [str(i) for i in range(len(self.names))]
         self.words: dict[bytes, tuple[int, str, str]] = {}
         self.room, self.cache = cache, cache
@@ -139,22 +147,12 @@ def _joined(parts: list[tuple[int, str, str]]) -> tuple[int, str, str]:
     return sum(counts), " ".join(ids), " ".join(tokens)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """The worker's encoder: what one task has encoded, its next tasks need not."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 _SPACES = {bytes([b]) for b in _WHITE}
 
 
 def _encoded(docs: DataFrame, path: str, schema: str, types: list[pa.DataType], row) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = Encoder(path)  # its caches go with the task
         for batch in batches:
             for block in blocks(batch.column(1)):
                 cols = list(zip(*[row(*x) for x in own.block(block)], strict=True))
