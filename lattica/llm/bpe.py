@@ -22,15 +22,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lattica.llm.textbytes import BYTE, SPACE, U, Block, BASE, blocks, mix, powers
+from lattica.llm.textbytes import BASE, BYTE, U, Block, blocks, mix, powers, release
 
 RING = 16
 #: One position in 2**CUT_BITS is a cut.
 CUT_BITS = 9
 #: Bytes of chunks whose tokens a task keeps.
-CACHE = 16 << 20
+CACHE = 8 << 20
 #: Words whose tokens a task keeps before it starts anew.
-WORDS = 400_000
+WORDS = 300_000
 _WHITE = b" \t\n\r\x0b\x0c"
 
 
@@ -65,33 +65,30 @@ def _tokenizer(path: str) -> tuple:
 
 
 class Encoder:
-    """Whole-text token counts, ids and tokens as space-joined strings."""
+    """Whole-text token counts, ids and tokens as space-joined strings; the caches hold ids."""
 
     def __init__(self, path: str, cache: int = CACHE):
-        self.tok, self.names = _tokenizer(path)
-        self.decimal = [str(i) for i in range(len(self.names))]
-        self.words: dict[bytes, tuple[int, str, str]] = {}
+        self.tok, names = _tokenizer(path)
+        self.decimal = [str(i) for i in range(len(names))]
+        self.names = dict(zip(self.decimal, names, strict=True))
+        self.words: dict[bytes, str] = {}
         self.room, self.cache = cache, cache
-        self.known: dict[bytes, tuple[int, str, str]] = {b"": (0, "", "")}
+        self.known: dict[bytes, str] = {}
         self.encoded = 0
 
     def _learn(self, pieces: set[bytes]) -> None:
         """Encode what is new: a chunk's words one by one, those met before from ``words``."""
         new = [(p, p.split()) for p in pieces if p not in self.known]
-        words, names, decimal = self.words, self.names, self.decimal
+        words, decimal = self.words, self.decimal
         missing = list(set(chain.from_iterable([own for _, own in new])).difference(words))
         for i in range(0, len(missing), 4096):
             part = missing[i : i + 4096]
             found = self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
             for w, e in zip(part, found, strict=True):
-                ids = e.ids
-                if len(ids) == 1:
-                    words[w] = 1, decimal[ids[0]], names[ids[0]]
-                else:
-                    words[w] = len(ids), " ".join([decimal[i] for i in ids]), " ".join([names[i] for i in ids])
+                words[w] = " ".join([decimal[i] for i in e.ids])
         self.encoded += len(missing)
         for p, own in new:
-            self.known[p] = _joined(list(map(words.__getitem__, own)))
+            self.known[p] = " ".join(filter(None, map(words.__getitem__, own)))
             self.room -= len(p)
 
     def pieces(self, chunks: list[bytes]) -> list[bytes]:
@@ -129,22 +126,18 @@ class Encoder:
             own = ends[np.searchsorted(ends, a) : np.searchsorted(ends, b, "right")].tolist()
             texts.append(self.pieces([data[x:y] for x, y in zip(own[:-1], own[1:], strict=True)]))
         if self.room < 0:
-            self.known = {b"": (0, "", "")}
+            self.known = {}
             self.room = self.cache
         if len(self.words) > WORDS:
             self.words = {}
         self._learn({p for text in texts for p in text})
-        known = self.known
-        return [_joined(list(map(known.__getitem__, text))) for text in texts]
-
-
-def _joined(parts: list[tuple[int, str, str]]) -> tuple[int, str, str]:
-    if not parts:
-        return 0, "", ""
-    counts, ids, tokens = zip(*parts, strict=True)
-    if 0 in counts:
-        return _joined([p for p in parts if p[0]])
-    return sum(counts), " ".join(ids), " ".join(tokens)
+        known, names = self.known, self.names
+        out = []
+        for text in texts:
+            ids = " ".join(filter(None, map(known.__getitem__, text)))
+            split = ids.split()
+            out.append((len(split), ids, " ".join(map(names.__getitem__, split))))
+        return out
 
 
 _SPACES = {bytes([b]) for b in _WHITE}
@@ -153,6 +146,11 @@ _SPACES = {bytes([b]) for b in _WHITE}
 def _encoded(docs: DataFrame, path: str, schema: str, types: list[pa.DataType], row) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Encoder(path)  # its caches go with the task
+        yield from encoded(own, batches)
+        del own
+        release()
+
+    def encoded(own: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(1)):
                 cols = list(zip(*[row(*x) for x in own.block(block)], strict=True))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lattica.llm.sampling import some
-from lattica.llm.textbytes import Block, blocks
+from lattica.llm.textbytes import Block, blocks, release
 
 WINDOW = 96
 HIDDEN = 12
@@ -276,6 +276,7 @@ def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             keep = [lang != "und" for block in blocks(batch.column(at)) for lang in labels(model, block)[0]]
             yield batch.filter(pa.array(keep, pa.bool_()))
+            release()
 
     return docs.mapInArrow(work, docs.schema) if model is not None else docs
 

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lattica.llm.textbytes import U, blocks, mix, shingles, words
+from lattica.llm.textbytes import U, blocks, mix, release, shingles, words
 from lattica.operators.graph import connected_components
 from lattica.plans.scratch import Scratch
 
@@ -100,6 +100,7 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
                 sets, first = shingles(words(block), k)
                 raw = [sets[first[i] : first[i + 1]].tobytes() for i in range(block.n)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.n).cast(pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "shingles"])
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, shingles binary").filter(F.length("shingles") > 0)
 
@@ -258,6 +259,7 @@ def confirmed_edges(members: DataFrame, num: int, den: int, parts: int) -> DataF
                 src.append(ids[a:b][leaf])
                 dst.append(ids[a:b][root[leaf]])
             yield _edge_batch(src, dst)
+        release()
 
     return _chunked(members, "cluster", "members", CLUSTER_CHUNK, parts).mapInArrow(work, "src long, dst long")
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lattica.llm.columns import fresh
-from lattica.llm.textbytes import U, Block, BASE, blocks, mix, powers, words
+from lattica.llm.textbytes import BASE, U, Block, blocks, mix, powers, release, words
 from lattica.plans.scratch import Scratch
 
 SENTENCES, LEAST_WORDS = 2, 20
@@ -138,6 +138,7 @@ def remove_repeats(docs: DataFrame, sentences: int = SENTENCES, least_words: int
                         new[i] = len(texts[i])
                     cols[count] = pa.array(new, cols[count].type)
             yield pa.RecordBatch.from_arrays(cols, batch.schema.names[:-1])
+        release()
 
     return both.mapInArrow(work, schema)
 

@@ -6,6 +6,7 @@ text is a block of its own), so memory follows the longest text, not the batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -69,6 +70,15 @@ class Block:
         return self.last - self.first
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers outlive their tasks and share an executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        return
+
+
 def text_array(column: pa.Array) -> pa.Array:
     """Text as large binary without nulls (null counts as empty)."""
     column = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column
