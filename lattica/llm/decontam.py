@@ -14,6 +14,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from lattica.llm.textbytes import release
+
 #: Edits per character of an item.
 RATE = 0.05
 #: Shorter normalised items are too common to be evidence.
@@ -184,5 +186,6 @@ def _without(docs: DataFrame, at: int, shared, rate: float) -> DataFrame:
         for batch in batches:
             keep = [not matcher.find(normalise(t)) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
+            release()
 
     return docs.mapInArrow(work, docs.schema)

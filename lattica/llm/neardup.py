@@ -87,6 +87,7 @@ def signatures(docs: DataFrame, k: int, coords: int = COORDS) -> DataFrame:
                     ],
                     ["doc_id", "n_shingles", "set_a", "set_b", "sig"],
                 )
+            release()
 
     return docs.select("doc_id", "text").mapInArrow(work, SIGNED)
 

@@ -81,6 +81,7 @@ def sentence_runs(docs: DataFrame, sentences: int = SENTENCES, least_words: int
                 text, *rest = runs(block, sentences, least_words)
                 ids = batch.column(0).slice(block.first, block.n).cast(pa.int64()).take(pa.array(text))
                 yield pa.RecordBatch.from_arrays([ids, *map(pa.array, rest)], names)
+            release()
 
     return docs.select("doc_id", "text").filter("doc_id is not null and text is not null").mapInArrow(work, RUNS)
 
