@@ -30,7 +30,7 @@ CUT_BITS = 9
 #: Bytes of chunks whose tokens a task keeps.
 CACHE = 8 << 20
 #: Words whose tokens a task keeps before it starts anew.
-WORDS = 300_000
+WORDS = 500_000
 _WHITE = b" \t\n\r\x0b\x0c"
 
 
