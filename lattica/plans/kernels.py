@@ -431,13 +431,19 @@ class Fronts:
 
 
 def fronts(cols: list[np.ndarray], parent: np.ndarray, relax: int = 30, maxsup: int = 256) -> Fronts:
-    """Supernodes of a postordered tree: whole subtrees of fewer than ``relax`` descendants, else chains of nested columns."""
+    """Supernodes of a postordered tree: whole subtrees of fewer than ``relax`` descendants, else chains of nested columns.
+
+    A chain of fewer than ``relax`` columns also takes a parent that is not nested,
+    as long as the zeros stored for that stay under ``relax`` squared; long thin
+    trees, as of banded matrices, would else fall into single columns.
+    """
     n = len(cols)
     relax = min(relax, maxsup)
     count = descendants(parent)
     first: list[int] = []
     last: list[int] = []
     below: list[np.ndarray] = []
+    zeros: list[int] = []
     waiting: dict[int, list[int]] = {}  # supernodes by their first row below
     c = 0
     while c < n:
@@ -449,11 +455,14 @@ def fronts(cols: list[np.ndarray], parent: np.ndarray, relax: int = 30, maxsup:
         rows = np.unique(np.concatenate(parts))
         rows = rows[rows > top]
         s = len(first) - 1
-        chain = kids == [s] and last[s] == c - 1 and len(below[s]) == len(rows) + 1 and top - first[s] < maxsup
-        if chain and top == c:
+        chain = top == c and kids == [s] and last[s] == c - 1 and top - first[s] < maxsup
+        gap = (top - first[s]) * (len(rows) + 1 - len(below[s])) if chain else 0
+        if chain and (gap == 0 or (top - first[s] < relax and zeros[s] + gap < relax * relax)):
             last[s], below[s] = top, rows
+            zeros[s] += gap
         else:
             s += 1
+            zeros.append(0)
             first.append(c)
             last.append(top)
             below.append(rows)
