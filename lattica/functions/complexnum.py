@@ -2,7 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
+
+
+def is_complex(df: DataFrame, name: str) -> bool:
+    """Whether a column holds complex values; every operator that takes values tells them apart by this."""
+    return isinstance(df.schema[name].dataType, StructType)
+
+
+def widen(c: Column, wide: bool) -> Column:
+    """A value as a complex one; ``wide`` says that it is one already."""
+    return c if wide else make(c, F.lit(0.0))
+
+
+def size(c: Column, wide: bool) -> Column:
+    """Absolute value."""
+    return modulus(c) if wide else F.abs(c)
+
+
+def size1(c: Column, wide: bool) -> Column:
+    """Absolute value, of complex values the cheap one."""
+    return modulus1(c) if wide else F.abs(c)
+
+
+def times(c: Column, factor: Column, wide: bool) -> Column:
+    """A value times a real factor."""
+    return make(c["re"] * factor, c["im"] * factor) if wide else c * factor
+
+
+def total(c: Column, wide: bool) -> Column:
+    """Sum of a group."""
+    return F.struct(F.sum(c["re"]).alias("re"), F.sum(c["im"]).alias("im")) if wide else F.sum(c)
 
 
 def make(re: Column, im: Column) -> Column:

@@ -6,12 +6,14 @@ on ``(i, j, v)``; systems of a batch run side by side with ``per`` = their key.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from lattica.functions import complexnum as C
 from lattica.plans import kernels as K, local
 from lattica.plans.scratch import Scratch
 
@@ -34,6 +36,7 @@ def _size(frame: pd.DataFrame, n: int | None) -> int:
 
 def match_rows(a: DataFrame, n: int | None = None, job: int = 5, per: str | None = None) -> DataFrame:
     """``(src, dst, u, v, info)``: row ``src`` goes to ``dst``; u is the log scale of row src, v of column src."""
+    a = a.withColumn("v", C.size(F.col("v"), C.is_complex(a, "v")))
 
     def fn(m: pd.DataFrame) -> pd.DataFrame:
         size = _size(m, n)
@@ -50,7 +53,7 @@ def heavy_matching(a: DataFrame, max_rounds: int = 50) -> DataFrame:
     taken, and both go.
     """
     scratch = Scratch(a.sparkSession)
-    left = scratch.keep(a.filter("v != 0").select("i", "j", F.abs("v").alias("w")), "edges")
+    left = scratch.keep(a.select("i", "j", C.size(F.col("v"), C.is_complex(a, "v")).alias("w")).filter("w != 0"), "edges")
     found = None
     for _ in range(max_rounds):
         by_row = left.groupBy("i").agg(F.max(F.struct("w", (-F.col("j")).alias("o"))).alias("b")).select("i", (-F.col("b.o")).alias("j"))
@@ -124,29 +127,78 @@ def symbolic(a: DataFrame, n: int | None = None, per: str | None = None) -> Data
 
 def incomplete_lu(a: DataFrame, n: int | None = None, per: str | None = None) -> DataFrame:
     """ILU of level 0, ``(i, j, v)`` on the pattern of A: L below the diagonal (units not stored), U on and above."""
+    wide = C.is_complex(a, "v")
+    parts = a.withColumn("re", C.widen(F.col("v"), wide)["re"]).withColumn("im", C.widen(F.col("v"), wide)["im"]).drop("v")
 
     def fn(m: pd.DataFrame) -> pd.DataFrame:
-        v = local.ilu0(_size(m, n), m["i"].to_numpy(), m["j"].to_numpy(), m["v"].to_numpy())
-        return pd.DataFrame({"i": m["i"], "j": m["j"], "v": v})
+        given = m["re"].to_numpy() + 1j * m["im"].to_numpy() if wide else m["re"].to_numpy()
+        v = local.ilu0(_size(m, n), m["i"].to_numpy(), m["j"].to_numpy(), given)
+        return pd.DataFrame({"i": m["i"], "j": m["j"], "re": np.real(v), "im": np.imag(v)})
 
-    return _per(a, per, "i long, j long, v double", fn)
+    out = _per(parts, per, "i long, j long, re double, im double", fn)
+    value = C.make(F.col("re"), F.col("im")) if wide else F.col("re")
+    return out.select(*([per] if per else []), "i", "j", value.alias("v"))
 
 
-def triangular_solve(a: DataFrame, b: DataFrame, lower: bool = True, unit: bool = False, trans: bool = False) -> DataFrame:
-    """X of T X = B with T the lower or upper triangle of ``a`` (or its transpose), in one task; a zero diagonal gives infinities."""
+def triangular_solve(a: DataFrame, b: DataFrame, lower: bool = True, unit: bool = False, trans: bool = False, conj: bool = False) -> DataFrame:
+    """X of T X = B with T the lower or upper triangle of ``a`` (its transpose, its conjugate), in one task; a zero diagonal gives infinities."""
+    va, vb = C.is_complex(a, "v"), C.is_complex(b, "x")
+    wide = va or vb
+
+    def values(frame: pd.DataFrame, re: str, im: str) -> np.ndarray:
+        return frame[re].to_numpy(float) + 1j * frame[im].to_numpy(float) if wide else frame[re].to_numpy(float)
 
     def work(m: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        r = r.set_axis(["one", "i", "k", "x"], axis=1)
-        n = int(max(m["i"].max(), m["j"].max(), r["i"].max())) + 1
+        r = r.set_axis(["one", "i", "k", "re", "im"], axis=1)
+        n = int(max([f[c].max() for f, c in ((m, "i"), (m, "j"), (r, "i")) if len(f)], default=-1)) + 1
         ks = np.unique(r["k"])
-        rhs = np.zeros((n, len(ks)))
-        np.add.at(rhs, (r["i"].to_numpy(), np.searchsorted(ks, r["k"])), r["x"].to_numpy())
+        rhs = np.zeros((n, len(ks)), complex if wide else float)
+        np.add.at(rhs, (r["i"].to_numpy(np.int64), np.searchsorted(ks, r["k"])), values(r, "re", "im"))
         with np.errstate(all="ignore"):
-            x = local.triangular(n, m["i"].to_numpy(), m["j"].to_numpy(), m["v"].to_numpy(float), rhs, lower, unit, trans)
-        return pd.DataFrame({"i": np.repeat(np.arange(n), len(ks)), "k": np.tile(ks, n).astype(np.int32), "x": x.ravel()})
+            x = local.triangular(n, m["i"].to_numpy(np.int64), m["j"].to_numpy(np.int64), values(m, "re", "im"), rhs, lower, unit, trans, conj)
+        return pd.DataFrame({"i": np.repeat(np.arange(n), len(ks)), "k": np.tile(ks, n).astype(np.int32), "re": np.real(x).ravel(), "im": np.imag(x).ravel()})
+
+    v, x = C.widen(F.col("v"), va), C.widen(F.col("x"), vb)
+    left = a.select(F.lit(0).alias("one"), "i", "j", v["re"].alias("re"), v["im"].alias("im"))
+    right = b.select(F.lit(0).alias("other"), F.col("i").alias("r_i"), F.col("k").alias("r_k"), x["re"].alias("r_re"), x["im"].alias("r_im"))
+    out = left.groupBy("one").cogroup(right.groupBy("other")).applyInPandas(work, "i long, k int, re double, im double")
+    return out.select("i", "k", (C.make(F.col("re"), F.col("im")) if wide else F.col("re")).alias("x"))
+
+
+def level_sets(low: DataFrame, n: int | None = None, per: str | None = None) -> DataFrame:
+    """``(node, level)`` of a lower triangle's rows: level 0 needs no other row, each next level only lower ones. Rows of a level are solved side by side."""
+
+    def fn(m: pd.DataFrame) -> pd.DataFrame:
+        size = _size(m, n)
+        m = m[m["i"] > m["j"]].sort_values("j")
+        start = np.searchsorted(m["j"], np.arange(size + 1))
+        rows, level = m["i"].to_numpy(np.int64), np.zeros(size, np.int64)
+        for c in range(size):
+            at = rows[start[c] : start[c + 1]]
+            level[at] = np.maximum(level[at], level[c] + 1)
+        return pd.DataFrame({"node": np.arange(size), "level": level})
 
-    one = F.lit(0).alias("one")
-    return a.select(one, "i", "j", "v").groupBy("one").cogroup(b.select(F.lit(0).alias("other"), *[F.col(c).alias("r_" + c) for c in ("i", "k", "x")]).groupBy("other")).applyInPandas(work, "i long, k int, x double")
+    return _per(low, per, "node long, level long", fn)
+
+
+def static_partition(work: DataFrame, parts: int) -> DataFrame:
+    """``(item, load, part)``: the greatest load first, each to the part with the least so far; ties to the smaller item and part.
+
+    One task: the items are supernodes or subtrees, which the bound on the analysis bounds too.
+    """
+
+    def fn(m: pd.DataFrame) -> pd.DataFrame:
+        m = m.sort_values(["load", "item"], ascending=[False, True])
+        heap = [(0.0, p) for p in range(parts)]
+        to = []
+        for load in m["load"]:
+            has, p = heapq.heappop(heap)
+            to.append(p)
+            heapq.heappush(heap, (has + load, p))
+        return pd.DataFrame({"item": m["item"], "load": m["load"], "part": to})
+
+    given = work.select(F.col("item").cast("long").alias("item"), F.col("load").cast("double").alias("load"))
+    return _per(given, None, "item long, load double, part int", fn)
 
 
 def solve_factored(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -6,38 +6,60 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lattica.functions import complexnum as C
 from lattica.functions.machine import EPS, RADIX, SAFE_MIN
 
 
-def spmv(a: DataFrame, x: DataFrame, trans: bool = False, absolute: bool = False, rows: int | None = None) -> DataFrame:
-    """A x (or A' x, or |A| |x|) for every right-hand side, summed in double precision.
+def spmv(a: DataFrame, x: DataFrame, trans: bool = False, absolute: bool = False, rows: int | None = None, conj: bool = False) -> DataFrame:
+    """A x (or A' x, with ``conj`` of conjugated entries, or |A| |x|) for every right-hand side, summed in double precision.
 
-    Rows without entries are missing, or 0 if ``rows`` gives their number.
+    Rows without entries are missing, or 0 if ``rows`` gives their number. Complex
+    entries or vectors give a complex result, but |A| |x| is real and takes |re| + |im|.
     """
     i, j = ("j", "i") if trans else ("i", "j")
-    size = F.abs if absolute else lambda c: c
-    terms = a.select(F.col(i).alias("r"), F.col(j).alias("i"), F.col("v").cast("double").alias("v")).join(x, "i")
-    out = terms.groupBy(F.col("r").alias("i"), "k").agg(F.sum(size(F.col("v")) * size(F.col("x"))).alias("x"))
+    va, vx = C.is_complex(a, "v"), C.is_complex(x, "x")
+    wide = (va or vx) and not absolute
+    value = (C.conjugate(F.col("v")) if conj else F.col("v")) if va else F.col("v").cast("double")
+    terms = a.select(F.col(i).alias("r"), F.col(j).alias("i"), value.alias("v")).join(x, "i")
+    v, u = F.col("v"), F.col("x")
+    if absolute:
+        product = C.size1(v, va) * C.size1(u, vx)
+    elif va and vx:
+        product = C.multiply(v, u)
+    elif va or vx:
+        product = C.times(v, u, True) if va else C.times(u, v, True)
+    else:
+        product = v * u
+    out = terms.select(F.col("r").alias("i"), "k", product.alias("p")).groupBy("i", "k").agg(C.total(F.col("p"), wide).alias("x"))
     if rows is None:
         return out
     every = a.sparkSession.range(rows).withColumnRenamed("id", "i").crossJoin(F.broadcast(x.select("k").distinct()))
-    return every.join(out, ["i", "k"], "left").select("i", "k", F.coalesce("x", F.lit(0.0)).alias("x"))
+    return every.join(out, ["i", "k"], "left").select("i", "k", F.coalesce("x", C.widen(F.lit(0.0), not wide)).alias("x"))
 
 
 def gemv(a: DataFrame, x: DataFrame, y: DataFrame, alpha: float = 1.0, beta: float = 0.0, trans: bool = False) -> DataFrame:
     """alpha A x + beta y; also for several right-hand sides."""
-    product = spmv(a, x, trans).select("i", "k", (F.lit(alpha) * F.col("x")).alias("x"))
-    return add_vectors(product, y.select("i", "k", (F.lit(beta) * F.col("x")).alias("x")))
+    product = spmv(a, x, trans)
+    product = product.select("i", "k", C.times(F.col("x"), F.lit(alpha), C.is_complex(product, "x")).alias("x"))
+    return add_vectors(product, y.select("i", "k", C.times(F.col("x"), F.lit(beta), C.is_complex(y, "x")).alias("x")))
 
 
 def add_vectors(x: DataFrame, y: DataFrame) -> DataFrame:
-    return x.unionByName(y).groupBy("i", "k").agg(F.sum("x").alias("x"))
+    """x + y; complex if either is."""
+    wx, wy = C.is_complex(x, "x"), C.is_complex(y, "x")
+    if wx != wy:
+        x, y = (d.select("i", "k", C.widen(F.col("x"), w).alias("x")) for d, w in ((x, wx), (y, wy)))
+    return x.unionByName(y).groupBy("i", "k").agg(C.total(F.col("x"), wx or wy).alias("x"))
 
 
 def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
     """Sparse product A B."""
+    va, vb = C.is_complex(a, "v"), C.is_complex(b, "v")
     right = b.select(F.col("i").alias("m"), F.col("j").alias("c"), F.col("v").alias("w"))
-    return a.join(right, a["j"] == right["m"]).groupBy("i", F.col("c").alias("j")).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    wide = va or vb
+    product = C.multiply(C.widen(F.col("v"), va), C.widen(F.col("w"), vb)) if wide else F.col("v") * F.col("w")
+    pairs = a.join(right, a["j"] == right["m"]).select("i", F.col("c").alias("j"), product.alias("p"))
+    return pairs.groupBy("i", "j").agg(C.total(F.col("p"), wide).alias("v"))
 
 
 def schur_step(a: DataFrame, k: int) -> DataFrame:
@@ -64,13 +86,13 @@ def ata_pattern(a: DataFrame) -> DataFrame:
 
 def norm(a: DataFrame, kind: str) -> float:
     """'M' greatest entry, '1' or 'O' greatest column sum, 'I' greatest row sum, 'F' root of squares; 0 if empty."""
-    size = F.abs("v")
+    size = C.size(F.col("v"), C.is_complex(a, "v"))
     if kind == "M":
         got = a.agg(F.max(size).alias("n"))
     elif kind in ("1", "O", "I"):
         got = a.groupBy("i" if kind == "I" else "j").agg(F.sum(size).alias("s")).agg(F.max("s").alias("n"))
     elif kind == "F":
-        got = a.agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n"))
+        got = a.agg(F.sqrt(F.sum(size * size)).alias("n"))
     else:
         raise ValueError(f"no norm {kind!r}")
     return float(got.first()["n"] or 0.0)
@@ -97,7 +119,11 @@ def _rounded(c: Column, radix: bool) -> Column:
 
 
 def equilibrate(a: DataFrame, m: int, n: int, radix: bool = False, precision: str = "double") -> Equilibration:
-    """Row and column factors that bring each greatest entry to 1 (or a power of the radix near it)."""
+    """Row and column factors that bring each greatest entry to 1 (or a power of the radix near it).
+
+    A complex entry counts as |re| + |im|.
+    """
+    entry = C.size1(F.col("v"), C.is_complex(a, "v"))
     small = SAFE_MIN[precision]
     clamp = lambda c: F.least(F.greatest(c, F.lit(small)), F.lit(1 / small))
     spark = a.sparkSession
@@ -113,11 +139,11 @@ def equilibrate(a: DataFrame, m: int, n: int, radix: bool = False, precision: st
         cnd = 1.0 if not size else max(got["a"] or 0.0, small) / min(got["b"] or small, 1 / small)
         return factors, cnd, float(got["b"] or 0.0), info
 
-    rows, rowcnd, top, info = side(a.withColumn("t", F.abs("v")), "i", m)
-    amax = norm(a, "M") if radix else top
+    rows, rowcnd, top, info = side(a.withColumn("t", entry), "i", m)
+    amax = float(a.agg(F.max(entry)).first()[0] or 0.0) if radix else top
     if info:
         return Equilibration(rows, rows.limit(0), rowcnd, 1.0, amax, info)
-    scaled = a.join(rows, "i").withColumn("t", F.abs("v") * F.col("s"))
+    scaled = a.join(rows, "i").withColumn("t", entry * F.col("s"))
     cols, colcnd, _, info = side(scaled, "j", n)
     return Equilibration(rows, cols, rowcnd, colcnd, amax, m + info if info else 0)
 
@@ -139,8 +165,9 @@ def backward_error(a: DataFrame, x: DataFrame, b: DataFrame, n: int, precision:
     """``(k, berr)``: greatest |r| / (|A| |x| + |b|) by component, guarded where the divisor is tiny; rows of 0 / 0 are left out."""
     safe1 = (n + 1) * SAFE_MIN[precision]
     safe2 = safe1 / EPS[precision]
-    r = residual_vector(a, x, b).select("i", "k", F.abs("x").alias("r"))
-    size = add_vectors(spmv(a, x, absolute=True), b.select("i", "k", F.abs("x").alias("x"))).select("i", "k", F.col("x").alias("d"))
+    rest = residual_vector(a, x, b)
+    r = rest.select("i", "k", C.size1(F.col("x"), C.is_complex(rest, "x")).alias("r"))
+    size = add_vectors(spmv(a, x, absolute=True), b.select("i", "k", C.size1(F.col("x"), C.is_complex(b, "x")).alias("x"))).select("i", "k", F.col("x").alias("d"))
     ratio = F.when(F.col("d") > safe2, F.try_divide(F.col("r"), F.col("d"))).when(F.col("d") > 0, (F.col("r") + safe1) / (F.col("d") + safe1))
     return r.join(size, ["i", "k"]).groupBy("k").agg(F.coalesce(F.max(ratio), F.lit(0.0)).alias("berr"))
 
@@ -152,14 +179,18 @@ def normalised_residual(a: DataFrame, x: DataFrame, b: DataFrame, precision: str
     size = norm(a, "1")
     if size == 0:
         return 1 / EPS[precision]
-    r = residual_vector(a, x, b).groupBy("k").agg(F.sum(F.abs("x")).alias("r"))
-    s = x.groupBy("k").agg(F.sum(F.abs("x")).alias("s"))
+    rest = residual_vector(a, x, b)
+    r = rest.groupBy("k").agg(F.sum(C.size(F.col("x"), C.is_complex(rest, "x"))).alias("r"))
+    s = x.groupBy("k").agg(F.sum(C.size(F.col("x"), C.is_complex(x, "x"))).alias("s"))
     value = F.when(F.col("s") == 0, F.lit(1 / EPS[precision])).otherwise(F.try_divide(F.col("r"), F.col("s")) / size / EPS[precision])
     return float(r.join(s, "k").agg(F.max(value)).first()[0] or 0.0)
 
 
 def error_norms(x: DataFrame, true: DataFrame) -> DataFrame:
     """``(k, err_norm, err_comp)``: greatest |x - t| over greatest |x|, and greatest |x - t| / |x| by component."""
+    wx, wt = C.is_complex(x, "x"), C.is_complex(true, "x")
+    wide = wx or wt
     both = x.join(true.select("i", "k", F.col("x").alias("t")), ["i", "k"])
-    off = F.abs(F.col("x") - F.col("t"))
-    return both.groupBy("k").agg(F.try_divide(F.max(off), F.max(F.abs("x"))).alias("err_norm"), F.max(F.try_divide(off, F.abs("x"))).alias("err_comp"))
+    gap = C.subtract(C.widen(F.col("x"), wx), C.widen(F.col("t"), wt)) if wide else F.col("x") - F.col("t")
+    both = both.select("k", C.size(gap, wide).alias("off"), C.size(F.col("x"), wx).alias("x"))
+    return both.groupBy("k").agg(F.try_divide(F.max("off"), F.max("x")).alias("err_norm"), F.max(F.try_divide("off", "x")).alias("err_comp"))

@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from lattica.functions import complexnum as C
 from lattica.functions.machine import EPS, TINY_SHARE
 from lattica.operators import products as P
 from lattica.operators.elementwise import scale
@@ -78,9 +79,22 @@ class Factor:
                         i, j = np.repeat(own, len(b.index)), np.tile(b.index, b.p)
                     flat = tri.ravel()
                     on = flat != 0
-                    yield pd.DataFrame({"i": i[on], "j": j[on], "v": np.real(flat[on]).astype(float)})
+                    yield pd.DataFrame({"i": i[on], "j": j[on], "re": np.real(flat[on]).astype(float), "im": np.imag(flat[on]).astype(float)})
 
-        return self.blocks.mapInPandas(work, MATRIX)
+        cells = self.blocks.mapInPandas(work, "i long, j long, re double, im double")
+        return cells.select("i", "j", (C.make(F.col("re"), F.col("im")) if kind.kind == "c" else F.col("re")).alias("v"))
+
+    def extremes(self) -> tuple[float, float]:
+        """Greatest entries of L and U; a complex one counts as |re| + |im|."""
+        size = C.size1(F.col("v"), np.dtype(self.dtype).kind == "c")
+        low, up = (self.triangle(lower).agg(F.max(size)).first()[0] or 0.0 for lower in (True, False))
+        return low, up
+
+    def memory(self) -> DataFrame:
+        """``(task, blocks, value_bytes, index_bytes)``: what the factors take in each task."""
+        values = F.octet_length("lu") + F.octet_length("low") + F.octet_length("right")
+        sums = [F.count(F.lit(1)).alias("blocks"), F.sum(values.cast("long")).alias("value_bytes"), F.sum(F.octet_length("index").cast("long")).alias("index_bytes")]
+        return self.blocks.groupBy("task").agg(*sums)
 
     def diagonal(self) -> DataFrame:
         """``(i, v)`` of U's diagonal, in the permuted order."""
@@ -122,10 +136,6 @@ def _arrays(matrix: DataFrame, *names: str) -> list[np.ndarray]:
     return [c.to_numpy() for c in table.columns]
 
 
-def _is_complex(matrix: DataFrame) -> bool:
-    return dict(matrix.dtypes).get("v", "").startswith("struct")
-
-
 def factorize(a: DataFrame, n: int, options: Options | None = None, previous: Factor | None = None, row_perm: DataFrame | None = None, col_perm: DataFrame | None = None) -> Factor:
     """Factors of the n by n matrix ``a``; ``previous`` lends what ``options.fact`` says.
 
@@ -147,7 +157,7 @@ def factorize(a: DataFrame, n: int, options: Options | None = None, previous: Fa
         stats.append((name, time.time() - clock[0]))
         clock[0] = time.time()
 
-    complex_values = _is_complex(a)
+    complex_values = C.is_complex(a, "v")
     size = F.hypot("v.re", "v.im") if complex_values else F.abs("v")
     same_rows = o.fact == "same_pattern_same_row_perm"
     entries = a.count()
@@ -243,9 +253,14 @@ def _solve(f: Factor, b: DataFrame, trans: bool) -> DataFrame:
         return b.select("i", "k", F.lit(None).cast("double").alias("x")) if not wide else b.select("i", "k", F.lit(None).cast("struct<re:double,im:double>").alias("x"))
     if not f.n:
         return spark.createDataFrame([], schema)
+    if C.is_complex(b, "x") and not wide:  # real factors take the two parts as sides of their own
+        sides = [b.select("i", (2 * F.col("k") + c).cast("int").alias("k"), F.col(f"x.{part}").alias("x")) for c, part in enumerate(("re", "im"))]
+        got = _solve(f, sides[0].unionByName(sides[1]), trans).withColumn("c", F.col("k") % 2)
+        both = [F.sum(F.when(F.col("c") == c, F.col("x"))).alias(part) for c, part in enumerate(("re", "im"))]
+        return got.groupBy("i", F.shiftright("k", 1).alias("k")).agg(*both).select("i", "k", F.struct("re", "im").alias("x"))
     shared = spark.sparkContext.broadcast((f.analysis, f.rows, f.cols, f.task))
     flat = "task long, i long, k int, re double, im double"
-    complex_b = dict(b.dtypes)["x"].startswith("struct")
+    complex_b = C.is_complex(b, "x")
     parted = b.select("i", "k", *([F.col("x.re").alias("re"), F.col("x.im").alias("im")] if complex_b else [F.col("x").alias("re"), F.lit(0.0).alias("im")]))
 
     def enter(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -389,52 +404,85 @@ def solve(a: DataFrame, b: DataFrame, n: int, options: Options | None = None, pr
     spark = a.sparkSession
     f = factorize(a, n, o, previous, **perms)
     ks = b.select("k").distinct()
-    zero = F.lit(0.0) if not dict(b.dtypes)["x"].startswith("struct") else F.struct(F.lit(0.0).alias("re"), F.lit(0.0).alias("im"))
+    zero = C.widen(F.lit(0.0), not C.is_complex(b, "x"))
     full = spark.range(n).withColumnRenamed("id", "i").crossJoin(F.broadcast(ks)).join(b, ["i", "k"], "left").select("i", "k", F.coalesce("x", zero).alias("x"))
     x = f.solve(full, o.trans)
     state: dict[int, tuple[float, int]] = {}
-    if o.refine != "none" and not f.info and not _is_complex(a) and n:
+    if o.refine != "none" and not f.info and n:
         x, state = refine(a, f, full, x, o.trans, o.refine, o.refine_limit)
     rows = [(int(r.k), *state.get(r.k, (None, 0)), f.info) for r in ks.collect()]
     return Solved(x, spark.createDataFrame(rows, "k int, berr double, refine_steps int, info long"), f)
 
 
-def _renamed(b: DataFrame) -> DataFrame:
-    """Every column under a new name, so that a side made from the other can be told apart."""
-    return b.select(*[F.col(c).alias("r_" + c) for c in b.columns])
+def _parts(df: DataFrame, name: str, prefix: str = "") -> DataFrame:
+    """The value column as ``re`` and ``im``; every column under a new name, so that a side made from the other can be told apart."""
+    value = C.widen(F.col(name), C.is_complex(df, name))
+    return df.select(*[F.col(c).alias(prefix + c) for c in df.columns if c != name], value["re"].alias(prefix + "re"), value["im"].alias(prefix + "im"))
+
+
+def _values(frame: pd.DataFrame, wide: bool) -> np.ndarray:
+    re = frame["re"].to_numpy(float)
+    return re + 1j * frame["im"].to_numpy(float) if wide else re
+
+
+def _joined(df: DataFrame, name: str, wide: bool) -> DataFrame:
+    """``re`` and ``im`` as one value column again, in the place of ``re``."""
+    value = C.make(F.col("re"), F.col("im")) if wide else F.col("re")
+    return df.select(*[value.alias(name) if c == "re" else F.col(c) for c in df.columns if c != "im"])
+
+
+def _dense_sides(r: pd.DataFrame, at: np.ndarray, n: int, wide: bool) -> tuple[np.ndarray, np.ndarray]:
+    ks = np.unique(r["k"])
+    rhs = np.zeros((n, len(ks)), complex if wide else float)
+    np.add.at(rhs, (at, np.searchsorted(ks, r["k"])), _values(r, wide))
+    return rhs, ks
+
+
+def _solved_rows(ids: np.ndarray, ks: np.ndarray, got: local.Solution) -> pd.DataFrame:
+    n = len(ids)
+    return pd.DataFrame(
+        {"i": np.repeat(ids, len(ks)), "k": np.tile(ks, n).astype(np.int32), "re": np.real(got.x).ravel(), "im": np.imag(got.x).ravel(), "berr": np.tile(got.berr, n), "info": got.info}
+    )
+
+
+SOLVED = "i long, k int, re double, im double, berr double, info long"
 
 
 def solve_batch(a: DataFrame, b: DataFrame, options: Options | None = None) -> DataFrame:
-    """``(batch_id, i, k, x, berr, info)`` of many systems ``a(batch_id, i, j, v)``, ``b(batch_id, i, k, x)``; one task a system."""
+    """``(batch_id, i, k, x, berr, info)`` of many systems ``a(batch_id, i, j, v)``, ``b(batch_id, i, k, x)``; one task a system.
+
+    Complex entries or right-hand sides give complex X.
+    """
     o = options or Options()
-    schema = "batch_id long, i long, k int, x double, berr double, info long"
+    wide = C.is_complex(a, "v") or C.is_complex(b, "x")
 
     def work(m: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        names = [c.split()[0] for c in schema.split(", ")]
         r = r.rename(columns=lambda c: c[2:])
         if not len(r):
-            return pd.DataFrame({c: [] for c in names})
-        batch = int(r["batch_id"].iloc[0])
+            return pd.DataFrame({c.split()[0]: [] for c in f"batch_id long, {SOLVED}".split(", ")})
         n = int(max(m["i"].max(), m["j"].max(), r["i"].max())) + 1 if len(m) else int(r["i"].max()) + 1
-        ks = np.unique(r["k"])
-        rhs = np.zeros((n, len(ks)))
-        np.add.at(rhs, (r["i"].to_numpy(), np.searchsorted(ks, r["k"])), r["x"].to_numpy())
-        got = local.solve(n, m["i"].to_numpy(np.int64), m["j"].to_numpy(np.int64), m["v"].to_numpy(float), rhs, o)
-        return pd.DataFrame({"batch_id": batch, "i": np.repeat(np.arange(n), len(ks)), "k": np.tile(ks, n).astype(np.int32), "x": got.x.ravel(), "berr": np.tile(got.berr, n), "info": got.info})
+        rhs, ks = _dense_sides(r, r["i"].to_numpy(np.int64), n, wide)
+        got = local.solve(n, m["i"].to_numpy(np.int64), m["j"].to_numpy(np.int64), _values(m, wide), rhs, o)
+        out = _solved_rows(np.arange(n), ks, got)
+        out.insert(0, "batch_id", int(r["batch_id"].iloc[0]))
+        return out
 
-    return a.groupBy("batch_id").cogroup(_renamed(b).groupBy("r_batch_id")).applyInPandas(work, schema)
+    left, right = _parts(a.select("batch_id", "i", "j", "v"), "v"), _parts(b.select("batch_id", "i", "k", "x"), "x", "r_")
+    return _joined(left.groupBy("batch_id").cogroup(right.groupBy("r_batch_id")).applyInPandas(work, f"batch_id long, {SOLVED}"), "x", wide)
 
 
 def logdet_batch(a: DataFrame, options: Options | None = None) -> DataFrame:
-    """``(batch_id, sign, logdet, info)`` of each system."""
+    """``(batch_id, sign, logdet, info)`` of each system; the sign of complex systems is a complex unit."""
     o = (options or Options()).but(refine="none")
+    wide = C.is_complex(a, "v")
 
     def work(m: pd.DataFrame) -> pd.DataFrame:
         n = int(max(m["i"].max(), m["j"].max())) + 1
-        got = local.solve(n, m["i"].to_numpy(np.int64), m["j"].to_numpy(np.int64), m["v"].to_numpy(float), np.zeros((n, 0)), o)
-        return pd.DataFrame({"batch_id": [m["batch_id"].iloc[0]], "sign": [float(np.real(got.sign))], "logdet": [got.logdet], "info": [got.info]})
+        got = local.solve(n, m["i"].to_numpy(np.int64), m["j"].to_numpy(np.int64), _values(m, wide), np.zeros((n, 0)), o)
+        return pd.DataFrame({"batch_id": [m["batch_id"].iloc[0]], "re": [float(np.real(got.sign))], "im": [float(np.imag(got.sign))], "logdet": [got.logdet], "info": [got.info]})
 
-    return a.groupBy("batch_id").applyInPandas(work, "batch_id long, sign double, logdet double, info long")
+    parts = _parts(a.select("batch_id", "i", "j", "v"), "v")
+    return _joined(parts.groupBy("batch_id").applyInPandas(work, "batch_id long, re double, im double, logdet double, info long"), "sign", wide)
 
 
 def solve_components(a: DataFrame, b: DataFrame, options: Options | None = None) -> DataFrame:
@@ -445,19 +493,56 @@ def solve_components(a: DataFrame, b: DataFrame, options: Options | None = None)
     scratch = Scratch(a.sparkSession)
     comp = scratch.keep(connected_components(a.select(F.col("i").alias("src"), F.col("j").alias("dst")), scratch), "components")
     o = options or Options()
-    left = a.join(comp.select(F.col("node").alias("i"), F.col("component").alias("batch_id")), "i")
-    right = b.join(comp.select(F.col("node").alias("i"), F.col("component").alias("batch_id")), "i")
+    wide = C.is_complex(a, "v") or C.is_complex(b, "x")
+    of = comp.select(F.col("node").alias("i"), F.col("component").alias("batch_id"))
+    left = _parts(a.join(of, "i").select("batch_id", "i", "j", "v"), "v")
+    right = _parts(b.join(of, "i").select("batch_id", "i", "k", "x"), "x", "r_")
 
     def work(m: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         r = r.rename(columns=lambda c: c[2:])
         ids = np.unique(np.concatenate([m["i"], m["j"], r["i"]]).astype(np.int64))
-        ks = np.unique(r["k"])
-        rhs = np.zeros((len(ids), len(ks)))
-        np.add.at(rhs, (np.searchsorted(ids, r["i"]), np.searchsorted(ks, r["k"])), r["x"].to_numpy(float))
-        got = local.solve(len(ids), np.searchsorted(ids, m["i"]), np.searchsorted(ids, m["j"]), m["v"].to_numpy(float), rhs, o)
-        return pd.DataFrame({"i": np.repeat(ids, len(ks)), "k": np.tile(ks, len(ids)).astype(np.int32), "x": got.x.ravel(), "berr": np.tile(got.berr, len(ids)), "info": got.info})
+        rhs, ks = _dense_sides(r, np.searchsorted(ids, r["i"]), len(ids), wide)
+        got = local.solve(len(ids), np.searchsorted(ids, m["i"]), np.searchsorted(ids, m["j"]), _values(m, wide), rhs, o)
+        return _solved_rows(ids, ks, got)
+
+    return _joined(left.groupBy("batch_id").cogroup(right.groupBy("r_batch_id")).applyInPandas(work, SOLVED), "x", wide)
+
+
+class Solver:
+    """A matrix factored once and solved with many times; ``free`` or leaving a ``with`` block drops it.
+
+    A later matrix of the same pattern can be given to ``refactor``, which keeps
+    the column order, or order, matching and scalings with ``same_rows``.
+    """
+
+    def __init__(self, a: DataFrame, n: int, options: Options | None = None):
+        self.n, self.options = n, options or Options()
+        self.matrix: DataFrame | None = a
+        self.factor: Factor | None = factorize(a, n, self.options)
+
+    def __enter__(self) -> Solver:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.free()
+
+    def _held(self) -> Factor:
+        if self.factor is None:
+            raise ValueError("the factors were freed")
+        return self.factor
+
+    def refactor(self, a: DataFrame, same_rows: bool = False) -> None:
+        how = "same_pattern_same_row_perm" if same_rows else "same_pattern"
+        self.factor, self.matrix = factorize(a, self.n, self.options.but(fact=how), self._held()), a
+
+    def solve(self, b: DataFrame) -> Solved:
+        return solve(self.matrix, b, self.n, self.options.but(fact="factored"), self._held())
+
+    def logdet(self) -> tuple[complex, float]:
+        return self._held().logdet()
 
-    return left.groupBy("batch_id").cogroup(_renamed(right).groupBy("r_batch_id")).applyInPandas(work, "i long, k int, x double, berr double, info long")
+    def free(self) -> None:
+        self.factor = self.matrix = None
 
 
 def mixed_precision(a: DataFrame, b: DataFrame, n: int, options: Options | None = None, limit: int = 10, ratio: float = 0.5, settled: float = 0.25) -> tuple[DataFrame, DataFrame]:

@@ -376,3 +376,168 @@ def solve_complex(s: SparkSession, d: str) -> DataFrame:
     b = b.select("i", F.lit(0).alias("k"), F.struct("re", "im").alias("x"))
     got = S.solve(a, b, 192).x.select("i", "k", F.col("x.re").alias("re"), F.col("x.im").alias("im"))
     return got.select("i", "k", _r("re"), _r("im"))
+
+
+# --- complex twins, storage forms, files ----------------------------------------------------------------------------
+
+ZBAND_SQL = BAND_SQL + ", z AS (SELECT i, j, v re, v * (i - j) / 4 im FROM a)"
+
+
+def zband(spark: SparkSession, d: str) -> DataFrame:
+    """The band with imaginary parts off the diagonal."""
+    return band(spark, d).select("i", "j", C.make(F.col("v"), F.col("v") * (F.col("i") - F.col("j")) / 4).alias("v"))
+
+
+def ztrue(spark: SparkSession, n: int) -> DataFrame:
+    """1 - i at even, -1 + 2 i at odd indices."""
+    even = F.col("i") % 2 == 0
+    return T.ones(spark, n).select("i", "k", C.make(F.when(even, 1.0).otherwise(-1.0), F.when(even, -1.0).otherwise(2.0)).alias("x"))
+
+
+ZX_SQL = "zx AS (SELECT p_partkey i, CASE WHEN p_partkey % 2 = 0 THEN 1.0 ELSE -1.0 END xr, CASE WHEN p_partkey % 2 = 0 THEN -1.0 ELSE 2.0 END xi FROM part)"
+
+
+def _zcells(a: DataFrame, digits: int = 6) -> DataFrame:
+    return a.select("i", "j", *[(F.round(F.col(f"v.{c}"), digits) + 0.0).alias(c) for c in ("re", "im")])
+
+
+def _zvector(x: DataFrame) -> DataFrame:
+    return x.select("i", "k", F.col("x.re").alias("re"), F.col("x.im").alias("im")).select("i", "k", _r("re"), _r("im"))
+
+
+ZSPMV = "SELECT z.{r} i, 0 k, round(sum(re * xr - {s} im * xi), 6) + 0.0 re, round(sum(re * xi + {s} im * xr), 6) + 0.0 im FROM z JOIN zx ON zx.i = z.{c} GROUP BY 1"
+add("spmv_complex", ZSPMV.format(r="i", c="j", s=""), f"{ZBAND_SQL}, {ZX_SQL}")(lambda s, d: _zvector(P.spmv(zband(s, d), ztrue(s, n_parts(s, d)))))
+add("spmv_conjugate_transposed", ZSPMV.format(r="j", c="i", s="-1 *"), f"{ZBAND_SQL}, {ZX_SQL}")(lambda s, d: _zvector(P.spmv(zband(s, d), ztrue(s, n_parts(s, d)), trans=True, conj=True)))
+add("matmul_complex", "SELECT l.i, r.j, round(sum(l.re * r.re - l.im * r.im), 9) + 0.0 re, round(sum(l.re * r.im + l.im * r.re), 9) + 0.0 im FROM z l JOIN z r ON l.j = r.i GROUP BY 1, 2", ZBAND_SQL)(
+    lambda s, d: (lambda a: _zcells(P.matmul(a, a.select("i", "j", "v")), 9))(Scratch(s).keep(zband(s, d)))
+)
+add("scale_add_identity_complex", "SELECT i, j, round(2.5 * re + CASE WHEN i = j THEN 1 ELSE 0 END, 6) + 0.0 re, round(2.5 * im, 6) + 0.0 im FROM z", ZBAND_SQL)(lambda s, d: _zcells(E.scale_add_identity(zband(s, d), 2.5)))
+add("norms_complex", NORMS_SQL.replace("FROM a", "FROM (SELECT i, j, sqrt(re * re + im * im) v FROM z)"), ZBAND_SQL)(
+    lambda s, d: (lambda a: _one(s, "kind string, value double", *[(k, round(P.norm(a, k), 6) + 0.0) for k in "M1IF"]))(Scratch(s).keep(zband(s, d)))
+)
+add(
+    "equilibrate_complex",
+    "SELECT 'row' side, i, round(s, 6) + 0.0 s FROM r UNION ALL SELECT 'col', i, round(s, 6) + 0.0 FROM c",
+    ZBAND_SQL + ", m2 AS (SELECT i, j, abs(re) + abs(im) v FROM z), " + EQUIL_SQL,
+)(
+    lambda s, d: (
+        lambda e: e.rows.select(F.lit("row").alias("side"), "i", _r("s")).unionByName(e.cols.select(F.lit("col").alias("side"), "i", _r("s")))
+    )(P.equilibrate(Scratch(s).keep(zband(s, d)), n_parts(s, d), n_parts(s, d)))
+)
+add(
+    "backward_error_complex",
+    "SELECT 0 k, round(max((abs(1 - ar) + abs(ai)) / (size + 1)), 6) + 0.0 berr FROM (SELECT z.i, sum(re * xr - im * xi) ar, sum(re * xi + im * xr) ai, sum((abs(re) + abs(im)) * (abs(xr) + abs(xi))) size FROM z JOIN zx ON zx.i = z.j GROUP BY 1)",
+    f"{ZBAND_SQL}, {ZX_SQL}",
+)(lambda s, d: P.backward_error(zband(s, d), ztrue(s, n_parts(s, d)), T.ones(s, n_parts(s, d)), n_parts(s, d)).select("k", _r("berr")))
+
+
+@add("solve_complex_band", "SELECT i, 0 k, xr::DOUBLE re, xi::DOUBLE im FROM zx", ZX_SQL)
+def solve_complex_band(s: SparkSession, d: str) -> DataFrame:
+    """Complex system with refinement, factored by subtrees."""
+    a, n = Scratch(s).keep(zband(s, d)), n_parts(s, d)
+    return _zvector(S.solve(a, P.spmv(a, ztrue(s, n)), n, Options(task_rows=64)).x)
+
+
+@add("solve_real_with_complex_sides", "SELECT i, 0 k, xr::DOUBLE re, xi::DOUBLE im FROM zx", ZX_SQL)
+def solve_real_with_complex_sides(s: SparkSession, d: str) -> DataFrame:
+    a, n = _kept(s, d), n_parts(s, d)
+    return _zvector(S.solve(a, P.spmv(a, ztrue(s, n)), n).x)
+
+
+@add(
+    "solve_batch_complex",
+    "SELECT DISTINCT c_nationkey::BIGINT batch_id, i, 0 k, 1.0::DOUBLE re, -1.0::DOUBLE im FROM orders JOIN customer ON o_custkey = c_custkey, range(12) r(i) WHERE o_orderkey % 12 <> o_custkey % 12",
+)
+def solve_batch_complex(s: SparkSession, d: str) -> DataFrame:
+    a = _systems(s, d).withColumn("v", C.make(F.col("v"), F.col("v") * (F.col("i") - F.col("j")) / 24))
+    b = a.withColumn("p", C.multiply(F.col("v"), C.make(F.lit(1.0), F.lit(-1.0)))).groupBy("batch_id", "i").agg(C.total(F.col("p"), True).alias("x"))
+    got = S.solve_batch(a, b.select("batch_id", "i", F.lit(0).alias("k"), "x"))
+    return got.select("batch_id", "i", "k", F.col("x.re").alias("re"), F.col("x.im").alias("im")).select("batch_id", "i", "k", _r("re"), _r("im"))
+
+
+@add("solver_session", X_SQL.format(n=2))
+def solver_session(s: SparkSession, d: str) -> DataFrame:
+    """Factor, refactor a matrix of the same pattern, solve, free."""
+    a, n = _kept(s, d), n_parts(s, d)
+    with S.Solver(a, n) as solver:
+        other = Scratch(s).keep(E.scale_add_identity(a, 2.0))
+        solver.refactor(other)
+        return _vector(solver.solve(P.spmv(other, T.true_solution(s, n, 2))).x)
+
+
+MSR_SQL = """p AS (SELECT p_partkey r, count(j) c FROM part LEFT JOIN a ON i = p_partkey AND i <> j GROUP BY 1),
+st AS (SELECT r, coalesce(sum(c) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (SELECT n + 1 FROM n) b FROM p)"""
+add(
+    "modified_rows",
+    "SELECT r::BIGINT AS at, round(v, 6) + 0.0 val, b::BIGINT bindx FROM st JOIN a ON i = r AND j = r UNION ALL SELECT n, NULL, n + 1 + (SELECT sum(c) FROM p)::BIGINT FROM n "
+    "UNION ALL SELECT (b + row_number() OVER (PARTITION BY i ORDER BY j) - 1)::BIGINT, round(v, 6) + 0.0, j FROM a JOIN st ON i = r WHERE i <> j",
+    f"{BAND_SQL}, {MSR_SQL}",
+)(lambda s, d: E.to_msr(_kept(s, d), n_parts(s, d)).select("at", _r("val"), "bindx"))
+
+
+@add("permutation_sign", "SELECT CASE WHEN (n // 2) % 2 = 0 THEN 1 ELSE -1 END flipped, CASE WHEN (n - 1) % 2 = 0 THEN 1 ELSE -1 END turned FROM (SELECT count(*) n FROM part)")
+def permutation_sign(s: SparkSession, d: str) -> DataFrame:
+    n = n_parts(s, d)
+    ids = s.range(n).withColumnRenamed("id", "src")
+    flip, turn = ids.withColumn("dst", n - 1 - F.col("src")), ids.withColumn("dst", (F.col("src") + 1) % n)
+    return _one(s, "flipped int, turned int", (E.permutation_sign(flip, n), E.permutation_sign(turn, n)))
+
+
+LEVEL_SQL = "lv AS (SELECT p_partkey node, 0 AS lev FROM part UNION SELECT i, lev + 1 FROM lv JOIN a ON j = node WHERE i > j AND lev < 8)"
+
+
+@add("level_sets", "SELECT node, max(lev)::BIGINT AS lev FROM lv GROUP BY 1", f"RECURSIVE {BAND_SQL}, {LEVEL_SQL}")
+def level_sets(s: SparkSession, d: str) -> DataFrame:
+    """Levels up to 8 of the band's lower triangle."""
+    return N.level_sets(_kept(s, d), n_parts(s, d)).select("node", F.least("level", F.lit(8)).cast("long").alias("lev"))
+
+
+@add("static_partition", "SELECT count(*) items, round(sum(l_quantity), 6) + 0.0 load, true even FROM (SELECT l_suppkey, sum(l_quantity) l_quantity FROM lineitem GROUP BY 1)")
+def static_partition(s: SparkSession, d: str) -> DataFrame:
+    """Suppliers dealt to 4 parts by quantity; parts differ by no more than the greatest item."""
+    work = _read(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("item")).agg(F.sum("l_quantity").alias("load"))
+    dealt = Scratch(s).keep(N.static_partition(work, 4))
+    span = dealt.groupBy("part").agg(F.sum("load").alias("l")).agg((F.max("l") - F.min("l")).alias("span"))
+    out = dealt.agg(F.count(F.lit(1)).alias("items"), F.sum("load").alias("load"), F.max("load").alias("most")).join(F.broadcast(span))  # one row each
+    return out.select("items", _r("load"), (F.col("span") <= F.col("most")).alias("even"))
+
+
+@add("factor_extremes", "SELECT 1.0::DOUBLE most_l, round(max(abs(v)), 6) + 0.0 most_u FROM a", BAND_SQL)
+def factor_extremes(s: SparkSession, d: str) -> DataFrame:
+    """L of a dominant matrix has its units as greatest entries. U's are the greatest of A where the largest row comes first."""
+    a, n = _kept(s, d), n_parts(s, d)
+    top = a.orderBy(F.abs("v").desc(), "i").select("i").first()[0]
+    ids = s.range(n).withColumnRenamed("id", "src")
+    swap = ids.withColumn("dst", F.when(F.col("src") == top, 0).when(F.col("src") == 0, top).otherwise(F.col("src")).cast("long"))
+    f = S.factorize(E.permute(a, swap, swap), n, Options(equilibrate=False, row_perm="none", col_perm="natural"))
+    low, up = f.extremes()
+    return _one(s, "most_l double, most_u double", (round(low, 6), round(up, 6)))
+
+
+@add("factor_memory")
+def factor_memory(s: SparkSession, d: str) -> DataFrame:
+    return S.factorize(_kept(s, d), n_parts(s, d), Options(task_rows=64)).memory()
+
+
+@add("solve_conjugate_triangle", "SELECT i, 0 k, xr::DOUBLE re, xi::DOUBLE im FROM zx", ZX_SQL)
+def solve_conjugate_triangle(s: SparkSession, d: str) -> DataFrame:
+    """The conjugate transpose of the lower triangle."""
+    a, n = Scratch(s).keep(zband(s, d).filter("i >= j")), n_parts(s, d)
+    return _zvector(N.triangular_solve(a, P.spmv(a, ztrue(s, n), trans=True, conj=True), trans=True, conj=True))
+
+
+def _through_file(kind: str, suffix: str, wide: bool) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        path = f"{Scratch(s).path}/matrix.{suffix}"
+        files.write_matrix(zband(s, d) if wide else band(s, d), path, kind, n_parts(s, d))
+        got = files.read_matrix(s, path, wide)
+        return _zcells(got) if wide else _cells(got)
+
+    return run
+
+
+ZCELLS = "SELECT i, j, round(re, 6) + 0.0 re, round(im, 6) + 0.0 im FROM z"
+add("file_parquet", CELLS + "a", BAND_SQL)(_through_file("parquet", "parquet", False))
+add("file_triplets", CELLS + "a", BAND_SQL)(_through_file("triplets", "datnh", False))
+add("file_matrix_market", CELLS + "a", BAND_SQL)(_through_file("market", "mtx", False))
+add("file_matrix_market_complex", ZCELLS, ZBAND_SQL)(_through_file("market", "mtx", True))

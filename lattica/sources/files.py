@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lattica.functions import complexnum as C
 from lattica.sources.tables import MATRIX
 
 COMPLEX = "i long, j long, v struct<re:double,im:double>"
@@ -197,12 +198,27 @@ def read_matrix(spark: SparkSession, path: str, complex_values: bool = False) ->
     raise ValueError(f"no reader for .{suffix}")
 
 
-def write_matrix(matrix: DataFrame, path: str, kind: str = "parquet") -> None:
-    """Parquet, or text lines ``i j v`` in column order (triplets)."""
+def write_matrix(matrix: DataFrame, path: str, kind: str = "parquet", n: int | None = None) -> None:
+    """Parquet, text lines ``i j v`` in column order ("triplets"), or one Matrix Market file of an n by n matrix ("market").
+
+    The header of a Matrix Market file must come first, so one task writes it; sorting spills to disk.
+    """
+    wide = C.is_complex(matrix, "v")
+    values = [F.col("v.re").cast("string"), F.col("v.im").cast("string")] if wide else [F.col("v").cast("string")]
     if kind == "parquet":
         matrix.write.parquet(path)
     elif kind == "triplets":
         ordered = matrix.repartitionByRange("j", "i").sortWithinPartitions("j", "i")
-        ordered.select(F.concat_ws(" ", "i", "j", F.col("v").cast("string"))).write.text(path)
+        ordered.select(F.concat_ws(" ", "i", "j", *values)).write.text(path)
+    elif kind == "market":
+        if n is None:
+            raise ValueError("a Matrix Market file needs the order n")
+        spark = matrix.sparkSession
+        title = f"%%MatrixMarket matrix coordinate {'complex' if wide else 'real'} general"
+        head = spark.createDataFrame([(-2, title)], "j long, value string").withColumn("i", F.lit(0).cast("long"))
+        size = matrix.agg(F.concat(F.lit(f"{n} {n} "), F.count(F.lit(1)).cast("string")).alias("value")).select(F.lit(-1).cast("long").alias("j"), "value", F.lit(0).cast("long").alias("i"))
+        lines = matrix.select("j", F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1, *values).alias("value"), "i")
+        every = head.unionByName(size).unionByName(lines).repartition(1).sortWithinPartitions("j", "i")
+        every.select("value").write.text(path)
     else:
         raise ValueError(f"no writer for {kind}")

@@ -9,6 +9,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from lattica.functions import complexnum as C
+
 MATRIX = "i long, j long, v double"
 VECTOR = "i long, k int, x double"
 
@@ -20,7 +22,7 @@ def from_table(df: DataFrame, row: str, col: str, value: str) -> DataFrame:
 
 
 def merge_duplicates(matrix: DataFrame) -> DataFrame:
-    return matrix.groupBy("i", "j").agg(F.sum("v").alias("v"))
+    return matrix.groupBy("i", "j").agg(C.total(F.col("v"), C.is_complex(matrix, "v")).alias("v"))
 
 
 def from_csc(spark: SparkSession, colptr, rowind, values) -> DataFrame:
@@ -71,9 +73,9 @@ def lattice(spark: SparkSession, dims: tuple[int, int, int, int], block: int, ma
 def perturbed(matrix: DataFrame) -> DataFrame:
     """The first entry in column order times 0.01, the last times 1e-4 (a lone entry gets both)."""
     ends = matrix.agg(F.min(F.struct("j", "i")).alias("a"), F.max(F.struct("j", "i")).alias("b"))
-    at = F.struct("j", "i")
+    at, wide = F.struct("j", "i"), C.is_complex(matrix, "v")
     factor = F.when(at == F.col("a"), F.lit(0.01)).otherwise(F.lit(1.0)) * F.when(at == F.col("b"), F.lit(1e-4)).otherwise(F.lit(1.0))
-    return matrix.crossJoin(F.broadcast(ends)).select("i", "j", (F.col("v") * factor).alias("v"))  # one row
+    return matrix.crossJoin(F.broadcast(ends)).select("i", "j", C.times(F.col("v"), factor, wide).alias("v"))  # one row
 
 
 def block_diagonal(matrix: DataFrame, n: int, copies: int) -> DataFrame:

@@ -235,3 +235,86 @@ def test_entry_queries_have_matching_names(spark):
 
     names = set(entry.queries())
     assert set(entry.oracle_sql()) <= names and len([n for n in names if not n.startswith("op")]) > 60
+
+
+def complex_frame(spark, a):
+    i, j = np.nonzero(a)
+    return spark.createDataFrame([(int(p), int(q), (float(z.real), float(z.imag))) for p, q, z in zip(i, j, a[i, j], strict=True)], files.COMPLEX)
+
+
+ZFIVE = FIVE + 1j * np.tril(FIVE, -1) / 3
+
+
+def complex_sides(spark, b):
+    return spark.createDataFrame([(i, k, (float(z.real), float(z.imag))) for (i, k), z in np.ndenumerate(b)], "i long, k int, x struct<re:double,im:double>")
+
+
+def complex_dense(x, n, nrhs=1):
+    out = np.zeros((n, nrhs), complex)
+    for r in x.collect():
+        out[r.i, r.k] = complex(r.x.re, r.x.im)
+    return out
+
+
+def test_complex_products_and_norms(spark):
+    a, x = complex_frame(spark, ZFIVE), np.arange(10).reshape(5, 2) * (1 - 2j) + 1
+    v = complex_sides(spark, x)
+    assert np.allclose(complex_dense(P.spmv(a, v), 5, 2), ZFIVE @ x)
+    assert np.allclose(complex_dense(P.spmv(a, v, trans=True, conj=True), 5, 2), ZFIVE.conj().T @ x)
+    assert np.allclose(complex_dense(P.spmv(a, T.ones(spark, 5)), 5), ZFIVE @ np.ones((5, 1)))
+    assert np.allclose(complex_dense(P.gemv(a, v, T.ones(spark, 5, 2), 2.0, -1.0), 5, 2), 2 * ZFIVE @ x - 1)
+    assert np.allclose([P.norm(a, k) for k in "M1IF"], [abs(ZFIVE).max(), *(np.linalg.norm(ZFIVE, o) for o in (1, np.inf, "fro"))])
+    assert np.allclose([cells(P.matmul(a, frame(spark, FIVE))).get((i, j), 0) for i in range(5) for j in range(5)], (ZFIVE @ FIVE).ravel())
+    e = P.error_norms(v, complex_sides(spark, x + 0.5j)).orderBy("k").collect()
+    assert np.allclose([r.err_norm for r in e], 0.5 / abs(x).max(axis=0)) and np.allclose([r.err_comp for r in e], 0.5 / abs(x).min(axis=0))
+
+
+def test_complex_solves(spark):
+    a, b = complex_frame(spark, ZFIVE), np.array([[1 + 1j], [2], [3j], [0], [-1]])
+    s = S.solve(a, complex_sides(spark, b), 5)
+    assert np.allclose(ZFIVE @ complex_dense(s.x, 5), b) and s.meta.first().berr < 1e-15
+    assert np.allclose(FIVE @ complex_dense(S.solve(frame(spark, FIVE), complex_sides(spark, b), 5).x, 5), b)
+    one = lambda df: df.withColumn("batch_id", F.lit(3).cast("long"))
+    x = S.solve_batch(one(a), one(complex_sides(spark, b)))
+    assert np.allclose(ZFIVE @ complex_dense(x, 5), b) and {r.batch_id for r in x.collect()} == {3}
+    got = S.logdet_batch(one(a)).first()
+    assert np.allclose([complex(got.sign.re, got.sign.im), got.logdet], np.linalg.slogdet(ZFIVE))
+    assert np.allclose(ZFIVE @ complex_dense(S.solve_components(a, complex_sides(spark, b)), 5), b)
+    low = N.triangular_solve(a, complex_sides(spark, b), trans=True, conj=True)
+    assert np.allclose(np.tril(ZFIVE).conj().T @ complex_dense(low, 5), b)
+
+
+def test_solver_keeps_and_frees_its_factors(spark):
+    with S.Solver(frame(spark, FIVE), 5) as solver:
+        assert np.allclose(FIVE @ dense(solver.solve(T.ones(spark, 5)).x, 5), 1)
+        assert np.allclose(solver.logdet(), np.linalg.slogdet(FIVE))
+        for same_rows in (False, True):
+            solver.refactor(frame(spark, 3 * FIVE), same_rows)
+            assert np.allclose(3 * FIVE @ dense(solver.solve(T.ones(spark, 5)).x, 5), 1)
+        low, up = solver.factor.extremes()
+        assert low >= 1 and up > 0 and solver.factor.memory().first().value_bytes > 0
+    with pytest.raises(ValueError):
+        solver.solve(T.ones(spark, 5))
+
+
+def test_storage_and_schedules(spark):
+    a = frame(spark, np.array([[2.0, 0, 1], [0, 0, 3], [4, 5, 6]]))
+    msr = [(r.at, r.val, r.bindx) for r in E.to_msr(a, 3).orderBy("at").collect()]
+    assert msr == [(0, 2.0, 4), (1, 0.0, 5), (2, 6.0, 6), (3, None, 8), (4, 1.0, 2), (5, 3.0, 2), (6, 4.0, 0), (7, 5.0, 1)]
+    for perm in itertools.permutations(range(4)):
+        odd = round(np.linalg.det(np.eye(4)[list(perm)]))
+        if perm in ((0, 1, 2, 3), (1, 0, 2, 3), (1, 2, 0, 3), (1, 2, 3, 0)):
+            assert E.permutation_sign(spark.createDataFrame(list(enumerate(perm)), "src long, dst long"), 4) == odd
+    assert [r.level for r in N.level_sets(frame(spark, FIVE), 5).orderBy("node").collect()] == [0, 1, 2, 0, 2]
+    work = spark.createDataFrame([(0, 3.0), (1, 5.0), (2, 4.0), (3, 1.0)], "item long, load double")
+    assert [r.part for r in N.static_partition(work, 2).orderBy("item").collect()] == [1, 0, 1, 0]
+
+
+def test_matrix_market_is_written_and_read(spark, tmp_path):
+    files.write_matrix(frame(spark, FIVE), str(tmp_path / "a.mtx"), "market", 5)
+    files.write_matrix(complex_frame(spark, ZFIVE), str(tmp_path / "z.mtx"), "market", 5)
+    assert cells(files.read_matrix(spark, str(tmp_path / "a.mtx"))) == cells(frame(spark, FIVE))
+    assert cells(files.read_matrix(spark, str(tmp_path / "z.mtx"), True)) == cells(complex_frame(spark, ZFIVE))
+    for bad in ({"kind": "market"}, {"kind": "x"}):
+        with pytest.raises(ValueError):
+            files.write_matrix(frame(spark, FIVE), str(tmp_path / "b"), **bad)
