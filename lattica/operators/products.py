@@ -10,27 +10,31 @@ from lattica.functions import complexnum as C
 from lattica.functions.machine import EPS, RADIX, SAFE_MIN
 
 
-def spmv(a: DataFrame, x: DataFrame, trans: bool = False, absolute: bool = False, rows: int | None = None, conj: bool = False) -> DataFrame:
-    """A x (or A' x, with ``conj`` of conjugated entries, or |A| |x|) for every right-hand side, summed in double precision.
-
-    Rows without entries are missing, or 0 if ``rows`` gives their number. Complex
-    entries or vectors give a complex result, but |A| |x| is real and takes |re| + |im|.
-    """
+def _terms(a: DataFrame, x: DataFrame, trans: bool = False, conj: bool = False) -> tuple[DataFrame, bool]:
+    """``(i, k, p, d)``: each entry's product and its absolute value (by |re| + |im|), and whether p is complex."""
     i, j = ("j", "i") if trans else ("i", "j")
     va, vx = C.is_complex(a, "v"), C.is_complex(x, "x")
-    wide = (va or vx) and not absolute
     value = (C.conjugate(F.col("v")) if conj else F.col("v")) if va else F.col("v").cast("double")
-    terms = a.select(F.col(i).alias("r"), F.col(j).alias("i"), value.alias("v")).join(x, "i")
+    both = a.select(F.col(i).alias("r"), F.col(j).alias("i"), value.alias("v")).join(x, "i")
     v, u = F.col("v"), F.col("x")
-    if absolute:
-        product = C.size1(v, va) * C.size1(u, vx)
-    elif va and vx:
+    if va and vx:
         product = C.multiply(v, u)
     elif va or vx:
         product = C.times(v, u, True) if va else C.times(u, v, True)
     else:
         product = v * u
-    out = terms.select(F.col("r").alias("i"), "k", product.alias("p")).groupBy("i", "k").agg(C.total(F.col("p"), wide).alias("x"))
+    return both.select(F.col("r").alias("i"), "k", product.alias("p"), (C.size1(v, va) * C.size1(u, vx)).alias("d")), va or vx
+
+
+def spmv(a: DataFrame, x: DataFrame, trans: bool = False, absolute: bool = False, rows: int | None = None, conj: bool = False) -> DataFrame:
+    """A x (or A' x, with ``conj`` of conjugated entries, or |A| |x|) for every right-hand side, summed in double precision.
+
+    Rows without entries are missing, or 0 if ``rows`` gives their number. Complex
+    entries or vectors give a complex result, but |A| |x| is real and takes |re| + |im|.
+    """
+    terms, wide = _terms(a, x, trans, conj)
+    wide = wide and not absolute
+    out = terms.groupBy("i", "k").agg(C.total(F.col("d" if absolute else "p"), wide).alias("x"))
     if rows is None:
         return out
     every = a.sparkSession.range(rows).withColumnRenamed("id", "i").crossJoin(F.broadcast(x.select("k").distinct()))
@@ -161,15 +165,29 @@ def residual_vector(a: DataFrame, x: DataFrame, b: DataFrame) -> DataFrame:
     return gemv(a, x, b, -1.0, 1.0)
 
 
-def backward_error(a: DataFrame, x: DataFrame, b: DataFrame, n: int, precision: str = "double") -> DataFrame:
-    """``(k, berr)``: greatest |r| / (|A| |x| + |b|) by component, guarded where the divisor is tiny; rows of 0 / 0 are left out."""
+def residual_rows(a: DataFrame, x: DataFrame, b: DataFrame) -> DataFrame:
+    """``(i, k, x, d)``: b - A x, and |A| |x| + |b| to measure it by, from one join and one aggregation."""
+    terms, wide = _terms(a, x)
+    wb = C.is_complex(b, "x")
+    either = wide or wb
+    less = C.times(F.col("p"), F.lit(-1.0), wide)
+    terms = terms.select("i", "k", (C.widen(less, wide) if either else less).alias("p"), "d")
+    given = b.select("i", "k", (C.widen(F.col("x"), wb) if either else F.col("x")).alias("p"), C.size1(F.col("x"), wb).alias("d"))
+    return terms.unionByName(given).groupBy("i", "k").agg(C.total(F.col("p"), either).alias("x"), F.sum("d").alias("d"))
+
+
+def worst_ratio(rows: DataFrame, n: int, precision: str = "double") -> DataFrame:
+    """``(k, berr)`` of ``residual_rows``: greatest ratio by component, guarded where the divisor is tiny; rows of 0 / 0 are left out."""
     safe1 = (n + 1) * SAFE_MIN[precision]
     safe2 = safe1 / EPS[precision]
-    rest = residual_vector(a, x, b)
-    r = rest.select("i", "k", C.size1(F.col("x"), C.is_complex(rest, "x")).alias("r"))
-    size = add_vectors(spmv(a, x, absolute=True), b.select("i", "k", C.size1(F.col("x"), C.is_complex(b, "x")).alias("x"))).select("i", "k", F.col("x").alias("d"))
-    ratio = F.when(F.col("d") > safe2, F.try_divide(F.col("r"), F.col("d"))).when(F.col("d") > 0, (F.col("r") + safe1) / (F.col("d") + safe1))
-    return r.join(size, ["i", "k"]).groupBy("k").agg(F.coalesce(F.max(ratio), F.lit(0.0)).alias("berr"))
+    r, d = C.size1(F.col("x"), C.is_complex(rows, "x")), F.col("d")
+    ratio = F.when(d > safe2, F.try_divide(r, d)).when(d > 0, (r + safe1) / (d + safe1))
+    return rows.groupBy("k").agg(F.coalesce(F.max(ratio), F.lit(0.0)).alias("berr"))
+
+
+def backward_error(a: DataFrame, x: DataFrame, b: DataFrame, n: int, precision: str = "double") -> DataFrame:
+    """``(k, berr)``: greatest |r| / (|A| |x| + |b|) by component."""
+    return worst_ratio(residual_rows(a, x, b), n, precision)
 
 
 def normalised_residual(a: DataFrame, x: DataFrame, b: DataFrame, precision: str = "double") -> float:

@@ -377,7 +377,8 @@ def refine(a: DataFrame, f: Factor, b: DataFrame, x: DataFrame, trans: bool = Fa
     state: dict[int, tuple[float, int]] = {}
     last: dict[int, float] = {}
     while True:
-        berr = {r.k: r.berr for r in P.backward_error(matrix, x, b, f.n).collect()}
+        rest = scratch.keep(P.residual_rows(matrix, x, b), "residual")
+        berr = {r.k: r.berr for r in P.worst_ratio(rest, f.n).collect()}
         going = []
         for k, e in berr.items():
             steps = state.get(k, (0.0, 0))[1]
@@ -391,7 +392,7 @@ def refine(a: DataFrame, f: Factor, b: DataFrame, x: DataFrame, trans: bool = Fa
                 last.pop(k, None)
         if not going:
             return x, state
-        r = P.residual_vector(matrix, x, b).filter(F.col("k").isin(going))
+        r = rest.filter(F.col("k").isin(going)).select("i", "k", "x")
         x = scratch.keep(P.add_vectors(x, f.solve(r, trans)), "x")
 
 
