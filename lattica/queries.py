@@ -492,6 +492,17 @@ def level_sets(s: SparkSession, d: str) -> DataFrame:
     return N.level_sets(_kept(s, d), n_parts(s, d)).select("node", F.least("level", F.lit(8)).cast("long").alias("lev"))
 
 
+BELOW_SQL = """b AS MATERIALIZED (SELECT p_partkey node, coalesce(bool_or(j = i - 1), false) d1, coalesce(bool_or(j = i - 2), false) d2 FROM part LEFT JOIN a ON i = p_partkey AND j < i GROUP BY 1),
+lv AS (SELECT 0::BIGINT node, 0::BIGINT lev, 0::BIGINT prev UNION ALL
+SELECT b.node, greatest(CASE WHEN d1 THEN lev + 1 ELSE 0 END, CASE WHEN d2 THEN prev + 1 ELSE 0 END), lev FROM lv JOIN b ON b.node = lv.node + 1)"""
+
+
+@add("level_sets_full", "SELECT node, lev FROM lv", f"RECURSIVE {BAND_SQL}, {BELOW_SQL}")
+def level_sets_full(s: SparkSession, d: str) -> DataFrame:
+    """All levels of the band's lower triangle; its SQL goes from row to row, as a row needs only the two before it."""
+    return N.level_sets(_kept(s, d), n_parts(s, d)).select("node", F.col("level").alias("lev"))
+
+
 @add("static_partition", "SELECT count(*) items, round(sum(l_quantity), 6) + 0.0 load, true even FROM (SELECT l_suppkey, sum(l_quantity) l_quantity FROM lineitem GROUP BY 1)")
 def static_partition(s: SparkSession, d: str) -> DataFrame:
     """Suppliers dealt to 4 parts by quantity; parts differ by no more than the greatest item."""

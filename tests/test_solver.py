@@ -318,3 +318,21 @@ def test_matrix_market_is_written_and_read(spark, tmp_path):
     for bad in ({"kind": "market"}, {"kind": "x"}):
         with pytest.raises(ValueError):
             files.write_matrix(frame(spark, FIVE), str(tmp_path / "b"), **bad)
+
+
+def test_level_sets_beyond_eight(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rng = np.random.default_rng(11)
+    n = 60
+    cells = [(i, j, 1.0) for i in range(n) for j in range(max(0, i - 2), i + 1) if i == j or rng.random() < 0.7]
+    want = [0] * n
+    for i, j, _ in sorted(cells):
+        if j < i:
+            want[i] = max(want[i], want[j] + 1)
+    got = {r.node: r.level for r in N.level_sets(spark.createDataFrame(cells, "i long, j long, v double"), n).collect()}
+    assert got == dict(enumerate(want)) and max(want) > 20
+    lines = [(k % 50, k % 7, 0.5) for k in range(400)]
+    spark.createDataFrame(lines, "l_partkey long, l_suppkey long, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(50).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    assert max(r.lev for r in entry.queries()["level_sets_full"](spark, str(tmp_path)).collect()) > 8
