@@ -46,27 +46,51 @@ def match_rows(a: DataFrame, n: int | None = None, job: int = 5, per: str | None
     return _per(a, per, "src long, dst long, u double, v double, info int", fn)
 
 
-def heavy_matching(a: DataFrame, max_rounds: int = 50) -> DataFrame:
+def heavy_matching(a: DataFrame, max_rounds: int = 50, task_entries: int = 5_000_000) -> DataFrame:
     """``(src, dst)`` of locally dominant entries, by rounds of joins: at least half the greatest weight, not always perfect.
 
     In each round an entry that is the largest of its row and of its column is
-    taken, and both go.
+    taken, and both go, until no entry is left. That takes the entries by
+    falling weight, equal ones by row and column, so after ``max_rounds``
+    rounds (weights that rise along a chain free one row a round) one task
+    goes through the rest in that order, once it has ``task_entries`` at most.
     """
     scratch = Scratch(a.sparkSession)
     left = scratch.keep(a.select("i", "j", C.size(F.col("v"), C.is_complex(a, "v")).alias("w")).filter("w != 0"), "edges")
-    found = None
-    for _ in range(max_rounds):
+    found = left.select("i", "j").limit(0)
+    rounds = 0
+    while not left.isEmpty():
+        if rounds >= max_rounds and left.count() <= task_entries:
+            rest = _per(left, None, "i long, j long", _by_weight)
+            found = found.unionByName(rest)
+            break
         by_row = left.groupBy("i").agg(F.max(F.struct("w", (-F.col("j")).alias("o"))).alias("b")).select("i", (-F.col("b.o")).alias("j"))
         by_col = left.groupBy("j").agg(F.max(F.struct("w", (-F.col("i")).alias("o"))).alias("b")).select((-F.col("b.o")).alias("i"), "j")
         taken = scratch.keep(by_row.join(by_col, ["i", "j"]), "taken")
-        if taken.isEmpty():
-            break
-        found = taken if found is None else found.unionByName(taken)
-        left = scratch.keep(left.join(taken.select("i"), "i", "left_anti").join(taken.select("j"), "j", "left_anti"), "edges")
-    found = found if found is not None else left.select("i", "j").limit(0)
+        found = found.unionByName(taken)
+        rounds += 1
+        if rounds % 50 == 0:  # short plans
+            found = scratch.keep(found, "found")
+        fewer = scratch.keep(left.join(taken.select("i"), "i", "left_anti").join(taken.select("j"), "j", "left_anti"), "edges")
+        if rounds > 1:  # the first is the schema of what is found
+            scratch.drop(left)
+        left = fewer
     return found.select(F.col("i").alias("src"), F.col("j").alias("dst"))
 
 
+def _by_weight(m: pd.DataFrame) -> pd.DataFrame:
+    """Entries of a matching by falling weight (NaN first), then row, then column."""
+    i, j, w = m["i"].to_numpy(), m["j"].to_numpy(), m["w"].to_numpy()
+    rows, cols, taken = set(), set(), []
+    for k in np.lexsort((j, i, np.where(np.isnan(w), -np.inf, -w), ~np.isnan(w))).tolist():
+        r, c = i[k], j[k]
+        if r not in rows and c not in cols:
+            rows.add(r)
+            cols.add(c)
+            taken.append(k)
+    return pd.DataFrame({"i": i[taken], "j": j[taken]})
+
+
 def order_columns(a: DataFrame, how: str, n: int | None = None, per: str | None = None) -> DataFrame:
     """``(src, dst)`` of a fill-reducing order."""
 

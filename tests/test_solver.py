@@ -336,3 +336,24 @@ def test_level_sets_beyond_eight(spark, tmp_path):
     spark.createDataFrame(lines, "l_partkey long, l_suppkey long, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.range(50).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
     assert max(r.lev for r in entry.queries()["level_sets_full"](spark, str(tmp_path)).collect()) > 8
+
+
+def greedy(cells):
+    rows, cols, out = set(), set(), set()
+    for i, j, _ in sorted(cells, key=lambda c: (-c[2], c[0], c[1])):
+        if i not in rows and j not in cols:
+            rows.add(i)
+            cols.add(j)
+            out.add((i, j))
+    return out
+
+
+@pytest.mark.parametrize("max_rounds", [50, 2])
+def test_heavy_matching_takes_every_entry(spark, max_rounds):
+    n = 56 if max_rounds == 50 else 300
+    chain = [(i, i, 2.0 * i + 1) for i in range(n)] + [(i, i + 1, 2.0 * i + 2) for i in range(n - 1)]
+    rng = np.random.default_rng(12)
+    ties = [(i, j, float(rng.integers(1, 4))) for i in range(40) for j in range(40) if rng.random() < 0.2]
+    for cells in [chain] if max_rounds == 50 else [chain, ties]:
+        got = N.heavy_matching(spark.createDataFrame(cells, "i long, j long, v double"), max_rounds)
+        assert {tuple(r) for r in got.collect()} == greedy(cells)
