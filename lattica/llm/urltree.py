@@ -2,8 +2,9 @@
 
 Under a host, paths form a tree of segments. From the root down, a segment that
 looks like a number, date, hash or file number is a wildcard of its form; so are
-all children of a node with many of them, and literal children whose shares of
-blocked pages do not differ by a chi-square test. A leaf is a template; it is
+literal children of a node, of any number, whose shares of blocked pages do not
+differ by a chi-square test, a wildcard for each group of like shares. Children
+without a label, or unlike all others, stay literal. A leaf is a template; it is
 rejected if its smoothed share of blocked among labelled pages is high. All of it
 is counting by (host, template), so a large host is spread over its templates
 and counted before it is shuffled.
@@ -11,14 +12,14 @@ and counted before it is shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lattica.plans.scratch import Scratch
 
-#: Segments worked one by one; what lies deeper is one segment, with forms for variable parts.
-DEPTH = 4
-#: A node with more distinct children is generalised.
-FAN = 12
+#: Chi-square of one degree of freedom up to which two shares count as alike: its mean and two standard deviations.
+ALIKE = 1 + 2 * math.sqrt(2)
 #: Pseudo-counts, half of them blocked, and the smoothed purity that rejects.
 SMOOTH, REJECT = 2.0, 0.8
 
@@ -64,41 +65,85 @@ def form(segment: Column) -> Column:
     )
 
 
-def learn_templates(paths: DataFrame, depth: int = DEPTH, fan: int = FAN) -> DataFrame:
+def step_of(segment: Column) -> Column:
+    """A segment in a template; ``*`` in front is kept for merged children."""
+    made = form(segment)
+    return F.concat(F.lit("/"), F.when(F.startswith(made, F.lit("*")), F.concat(F.lit("\\"), made)).otherwise(made))
+
+
+def _chi(b: Column, m: Column, c: Column, n: Column) -> Column:
+    """Chi-square of ``b`` blocked of ``m`` against ``c`` of ``n``."""
+    cross = b * (n - c) - c * (m - b)
+    return F.coalesce(F.try_divide((m + n) * cross * cross, (b + c) * (m + n - b - c) * m * n), F.lit(0.0))
+
+
+def _group(done: Column, pool: Column) -> Column:
+    """Add a pool of children of one share; it joins the last group if it is like the whole of it and like its least share."""
+    last = F.try_element_at(done, F.lit(-1))
+    agree = (_chi(last["b"], last["m"], pool["b"], pool["m"]) <= ALIKE) & (_chi(last["b0"], last["m0"], pool["b"], pool["m"]) <= ALIKE)
+    joins = (F.size(done) > 0) & agree
+    own = lambda name, kept: F.when(joins, kept).otherwise(pool[name])
+    return F.concat(
+        done,
+        F.array(
+            F.struct(
+                pool["share"].alias("share"),
+                pool["kids"].alias("kids"),
+                (F.coalesce(last["g"], F.lit(0)) + F.when(joins, 0).otherwise(1)).alias("g"),
+                own("b", last["b"] + pool["b"]).alias("b"),
+                own("m", last["m"] + pool["m"]).alias("m"),
+                own("b", last["b0"]).alias("b0"),
+                own("m", last["m0"]).alias("m0"),
+            )
+        ),
+    )
+
+
+def like_children(children: DataFrame) -> DataFrame:
+    """``(host, template, _c, g)`` of the labelled literal children that merge, by groups of like shares at each node.
+
+    Children of one share are pooled, so a node costs its distinct shares, not its children.
+    """
+    share = F.try_divide(F.col("b").cast("double"), F.col("a") + F.col("b"))
+    kids = children.filter("a + b > 0").filter(~F.startswith("_c", F.lit("/{"))).withColumn("share", share)
+    pools = kids.groupBy("host", "template", "share").agg(
+        F.sum("b").cast("double").alias("b"), F.sum(F.col("a") + F.col("b")).cast("double").alias("m"), F.count(F.lit(1)).alias("kids")
+    )
+    nodes = pools.groupBy("host", "template").agg(F.sort_array(F.collect_list(F.struct("share", "b", "m", "kids"))).alias("pools"))
+    empty = F.array().cast("array<struct<share:double,kids:bigint,g:int,b:double,m:double,b0:double,m0:double>>")
+    groups = nodes.select("host", "template", F.inline(F.aggregate("pools", empty, _group))).select("host", "template", "share", "kids", "g")
+    groups = groups.withColumn("members", F.sum("kids").over(Window.partitionBy("host", "template", "g"))).filter("members > 1")
+    return kids.join(groups, ["host", "template", "share"]).select("host", "template", "_c", "g")
+
+
+def learn_templates(paths: DataFrame) -> DataFrame:
     """``paths(host, path, n, blocked, allowed)`` with the ``template`` of each path.
 
-    One pass per level: a node's children are counted, its rule for the next
-    segment is decided, and paths follow it.
+    One pass per level: a node's children are counted, its groups of like
+    children are found, and paths follow them. A path alone in its node meets
+    no other child further down, so it is done at once, however deep.
     """
     scratch = Scratch(paths.sparkSession)
-    segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    rest = F.transform(F.slice("_s", depth, 1 << 20), form)
-    now = paths.withColumn("_s", segments)
-    now = now.withColumn("_s", F.when(F.size("_s") >= depth, F.concat(F.slice("_s", 1, depth - 1), F.array(F.array_join(rest, "/")))).otherwise(F.col("_s")))
-    now = scratch.keep(now.withColumn("template", F.lit("")), "paths")
-    for level in range(depth):
-        here = now.withColumn("_c", F.get("_s", F.lit(level))).withColumn("_c", form(F.col("_c")) if level < depth - 1 else F.col("_c"))
-        children = here.filter("_c is not null").groupBy("host", "template", "_c").agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"))
-        labelled = (F.col("b") + F.col("a")) > 0
-        total = F.try_divide(F.sum("b"), F.sum(F.col("b") + F.col("a")))
-        node = children.groupBy("host", "template").agg(
-            F.count(F.lit(1)).alias("_children"),
-            F.count(F.when(labelled, 1)).alias("_labelled"),
-            total.alias("_p"),
-            F.sum(F.try_divide(F.col("b") * F.col("b"), F.col("a") + F.col("b"))).alias("_b2"),
-            F.sum(F.when(labelled, F.col("b") + F.col("a"))).alias("_m"),
-        )
-        # chi-square of the children's shares against the node's, by sums alone
-        chi = (F.col("_b2") - F.col("_m") * F.col("_p") * F.col("_p")) / F.greatest(F.col("_p") * (1 - F.col("_p")), F.lit(1e-9))
-        free = F.col("_labelled") - 1
-        alike = (F.col("_labelled") == F.col("_children")) & (free >= 1) & (chi <= free + 2 * F.sqrt(2 * free))
-        wild = node.select("host", "template", (F.coalesce(alike, F.lit(False)) | (F.col("_children") > fan)).alias("_wild")).filter("_wild")
-        step = F.when(F.col("_c").isNull(), F.lit("")).when(F.col("_wild") & ~F.startswith("_c", F.lit("{")), F.lit("/*")).otherwise(F.concat(F.lit("/"), "_c"))
-        new = here.join(wild, ["host", "template"], "left").withColumn("template", F.concat("template", step)).drop("_c", "_wild")
-        new = scratch.keep(new, "paths")
-        scratch.drop(now)
-        now = new
-    return now.drop("_s")
+    now = paths.withColumn("_s", F.filter(F.split("path", "/"), lambda s: s != "")).withColumn("template", F.lit(""))
+    now = scratch.keep(now.withColumn("_done", F.size("_s") == 0), "paths")
+    out = now.filter("_done").drop("_s", "_done")
+    level = 0
+    while not (here := now.filter("not _done")).isEmpty():
+        here = here.withColumn("_c", step_of(F.get("_s", F.lit(level))))
+        children = here.groupBy("host", "template", "_c").agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"), F.count(F.lit(1)).alias("_paths"))
+        children = scratch.keep(children, "children")
+        merged = children.join(like_children(children), ["host", "template", "_c"], "left")
+        known = merged.select("host", "template", "_c", "g", (F.col("g").isNull() & (F.col("_paths") == 1)).alias("_alone")).filter("g is not null or _alone")
+        wild = F.concat(F.lit("/*"), F.when(F.col("g") > 1, F.col("g").cast("string")).otherwise(F.lit("")))
+        rest = F.array_join(F.transform(F.slice("_s", F.lit(level + 2), F.size("_s")), step_of), "")
+        alone = F.coalesce("_alone", F.lit(False))
+        new = here.join(known, ["host", "template", "_c"], "left")
+        new = new.withColumn("template", F.concat("template", F.when(F.col("g").isNotNull(), wild).otherwise(F.col("_c")), F.when(alone, rest).otherwise(F.lit(""))))
+        new = new.withColumn("_done", alone | (F.size("_s") <= level + 1)).drop("_c", "g", "_alone")
+        now = scratch.keep(new, "paths")
+        out = out.unionByName(now.filter("_done").drop("_s", "_done"))
+        level += 1
+    return out
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, smooth: float = SMOOTH, reject: float = REJECT) -> DataFrame:

@@ -104,6 +104,31 @@ def test_url_tree_rejects_pure_templates_only(spark):
     assert {got[200 + i].template for i in range(20)} == {"/x{n}/p"}
 
 
+@pytest.mark.parametrize("others", [12, 13, 40])
+def test_url_verdicts_do_not_turn_with_the_number_of_siblings(spark, others):
+    urls = [f"http://www.example.com/en/{i}" for i in range(60)] + [f"http://www.example.com/s{'abcdefgh'[k % 8]}{'xyzuvw'[k // 8]}/{i}" for k in range(others) for i in range(3)]
+    got = urltree.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert {r.verdict for r in got if "/en/" not in r.path} == {"allow"}
+    assert {r.template for r in got if "/en/" in r.path} == {"/en/{n}"} and len({r.template for r in got}) == others + 1
+
+
+def test_url_tree_merges_like_branches_among_others_at_any_depth(spark):
+    names = ["ka", "kb", "kc", "kd"]
+    urls, rules = [], []
+    for top in ("/", "/p/q/r/s/t/"):
+        for name in [*names, "good", "free"]:
+            urls += [f"http://h.com{top}{name}/{w}" for w in range(20)]
+        rules += [("block", "h.com", f"{top}{name}/1") for name in names] + [("allow", "h.com", f"{top}good/1")]
+    urls += ["http://h.com/*/x", "http://h.com/" + "/".join("d" * 300)]
+    got = {(r.path): r for r in urltree.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    for top in ("/", "/p/q/r/s/t/"):
+        by = {name: {got[f"{top}{name}/{w}"].template for w in range(20)} for name in [*names, "good", "free"]}
+        assert len(set.union(*[by[n] for n in names])) == 1 and len(by["free"]) == 1 and len(by["good"]) == 1
+        assert len({*by["ka"], *by["good"], *by["free"]}) == 3 and by["free"] == {f"{top}free/{{n}}"}
+        assert all(got[f"{top}{n}/5"].verdict == ("block" if n in names else "allow") for n in [*names, "good", "free"])
+    assert got["/*/x"].template == "/\\*/x" and got["/" + "/".join("d" * 300)].template == "/d" * 300
+
+
 @pytest.mark.parametrize("rows_per_block", [4, 1024])
 def test_top_k(spark, rows_per_block, monkeypatch):
     monkeypatch.setattr(topk.build_index, "__defaults__", (rows_per_block,))
