@@ -1,7 +1,10 @@
 """Repeated passages: sliding runs of consecutive sentences, joined by hash.
 
 A sentence ends with a word that ends in ``.``, ``!`` or ``?``, or at a line
-break. At every sentence starts a run and at every sentence ends one: the
+break. One of more than ``LONG`` words is cut where two neighbouring words hash
+lower than all others in some ``WINDOW`` places between words, so a passage is
+cut alike wherever it stands; its pieces count as sentences, and a piece that is
+still as long is a run by itself. At every sentence starts a run and at every sentence ends one: the
 shortest of at least ``SENTENCES`` sentences and ``LEAST_WORDS`` words. The
 first place of a run is the least doc_id, then the least position; sentences
 covered by a run at any other place go.
@@ -20,10 +23,33 @@ from lattica.llm.textbytes import BASE, U, Block, blocks, mix, powers, release,
 from lattica.plans.scratch import Scratch
 
 SENTENCES, LEAST_WORDS = 2, 20
+#: Words from which a sentence is cut, and places between words of which the least may be a cut: at most so many words
+#: are left out at each end of a passage, and one of LEAST_WORDS + 2 * WINDOW distinct words always has a run.
+LONG, WINDOW = 20, 12
 
 RUNS = "doc_id long, hash_a long, hash_b long, start int, end int, again boolean"
 
 
+def _cuts(hashes: np.ndarray, final: np.ndarray) -> np.ndarray:
+    """Words of long sentences (each ends at a ``final`` word) after which a piece ends: the one least place of a window."""
+    ends = np.flatnonzero(final) + 1
+    count = np.diff(ends, prepend=0)
+    long = np.repeat(count > LONG, count)
+    at = np.flatnonzero(long[:-1] & ~final[:-1])  # places are named by the word before them
+    if len(at) < WINDOW:
+        return at[:0]
+    place = mix(hashes[at] * U(BASE) + hashes[at + 1])
+    n = len(at) - WINDOW + 1
+    low, where, once = place[:n].copy(), np.zeros(n, np.int64), np.ones(n, bool)
+    for k in range(1, WINDOW):
+        here = place[k : k + n]
+        less = here < low
+        once = less | (once & (here != low))
+        low[less], where[less] = here[less], k
+    whole = at[WINDOW - 1 :] - at[:n] == WINDOW - 1  # all places of one sentence
+    return at[np.unique((np.arange(n) + where)[once & whole])]
+
+
 def runs(block: Block, sentences: int = SENTENCES, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, ...]:
     """Text, two hashes, first and last byte and "stands earlier in its text" of every distinct run."""
     w = words(block)
@@ -38,6 +64,7 @@ def runs(block: Block, sentences: int = SENTENCES, least_words: int = LEAST_WORD
     final[:-1] |= breaks[w.starts[1:]] > breaks[w.ends[:-1]]
     last_of_text = w.bounds[1:][np.diff(w.bounds) > 0] - 1
     final[last_of_text] = True
+    final[_cuts(w.hashes, final)] = True
     ends = np.flatnonzero(final) + 1  # in words, one per sentence
     starts = np.append(0, ends[:-1])
     text = np.searchsorted(w.bounds, starts, "right") - 1
@@ -48,8 +75,9 @@ def runs(block: Block, sentences: int = SENTENCES, least_words: int = LEAST_WORD
     forward_end = np.maximum(s + sentences, np.searchsorted(edge, starts + least_words))
     backward_start = np.minimum(s + 1 - sentences, np.searchsorted(edge, ends - least_words, "right") - 1)
     ok_f, ok_b = forward_end <= hi[text], backward_start >= lo[text]
-    a = np.concatenate([s[ok_f], backward_start[ok_b]])
-    b = np.concatenate([forward_end[ok_f], s[ok_b] + 1])
+    alone = s[ends - starts > max(LONG, least_words)]
+    a = np.concatenate([s[ok_f], backward_start[ok_b], alone])
+    b = np.concatenate([forward_end[ok_f], s[ok_b] + 1, alone + 1])
     if not len(a):
         return none
     span = np.unique(a.astype(np.int64) << 32 | b)

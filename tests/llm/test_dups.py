@@ -198,6 +198,26 @@ def test_repeated_spans(spark):
     assert not any(raw[a:b].decode() in left[91].text for a, b in spans)
 
 
+def test_long_passages_without_sentence_ends(spark):
+    rng = random.Random(21)
+    words = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    passage, two = words(60), f"{words(18)}. {words(17)}. {words(18)}"
+    alike = "la di " * 40
+    rows = [(i, f"{words(30 + i)} {passage} {words(25)}") for i in range(3)] + [(10 + i, f"{words(9)} {two} {words(9)}") for i in range(3)]
+    rows += [(20, words(101)), (22, alike), (23, alike), (24, words(30))]
+    rows.append((21, rows[6][1]))
+    spans: dict[int, list] = {}
+    for r in substring.repeated_spans(spark.createDataFrame(rows, PAIR)).collect():
+        spans.setdefault(r.doc_id, []).append((r.start, r.end))
+    texts = dict(rows)
+    assert set(spans) == {1, 2, 11, 12, 21, 23}
+    assert spans[21] == [(0, len(texts[21]))] and len(substring.cut_out(alike, spans[23])) == 0
+    for doc, whole in ((1, passage), (2, passage), (11, two), (12, two)):
+        ((a, b),) = spans[doc]
+        at = texts[doc].index(whole)
+        assert at <= a and b <= at + len(whole) and len(texts[doc][a:b].split()) >= len(whole.split()) - 2 * 18
+
+
 def test_spans_of_repeated_rows_and_empty_tables(spark):
     text = "one two three four five six seven. eight nine ten eleven twelve thirteen fourteen. " * 1 + "a b c d e f g h i."
     rows = spark.createDataFrame([(1, text), (1, text)], PAIR)
