@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_FOLDERS: list[tuple[SparkSession, str]] = []
-
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; local masters may do without it.
@@ -28,31 +25,31 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a folder through Hadoop's file system layer."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def _cleanup() -> None:
-    for spark, path in _FOLDERS:
-        try:
-            delete(spark, path)
-        except Exception:  # the JVM may be gone already
-            return
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system of a path, and the path for it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
-atexit.register(_cleanup)
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder through Hadoop's file system layer."""
+    system, target = _file_system(spark, path)
+    system.delete(target, True)
 
 
 class Scratch:
-    """Tables of one operator call: ``keep`` writes one and reads it back."""
+    """Tables of one operator call: ``keep`` writes one and reads it back.
+
+    The folder goes when the JVM ends, also after ``spark.stop()``; tables that
+    no later step reads can go earlier by ``drop``, all of them by ``close``.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.path = f"{scratch_root(spark)}/lattica-{uuid.uuid4().hex}"
-        _FOLDERS.append((spark, self.path))
+        system, target = _file_system(spark, self.path)
+        system.mkdirs(target)
+        system.deleteOnExit(target)
         self._n = 0
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
@@ -67,3 +64,13 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         """Delete a table that ``keep`` returned."""
         delete(self.spark, df._scratch_path)
+
+    def close(self) -> None:
+        """Delete all tables of this call."""
+        delete(self.spark, self.path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
