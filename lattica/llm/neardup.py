@@ -10,12 +10,16 @@ of ``MISS``), so
 * of the rest, sorted from rare to frequent, any two such classes share one
   among their first ``coords - match + 1``: only this prefix is joined.
 
-Classes that meet count their collisions over whole signatures; pairs with
-``match`` or more are chained into clusters, and inside each cluster links are
-confirmed on the full shingle sets. Buckets and clusters are worked in chunks
-(pairs of chunks beyond one), each returning a spanning forest of the links it
-found and never the pairs, so a large group neither meets in one task nor
-multiplies its rows. Components of the confirmed links are the result.
+Links are confirmed on the full shingle sets, in two steps. First every class
+is held against one other only, the leader it collides with most often in its
+buckets: at most one link a class, however large a group is. Components of
+these links are labels. Then buckets that still hold several labels are
+searched for pairs of classes with different labels and ``match`` collisions;
+such classes are gathered into clusters, and pairs across labels are confirmed
+there. Buckets and clusters are worked in chunks (pairs of chunks beyond one),
+each returning a spanning forest between labels and never the pairs. So no
+link between different texts is lost, while a large group of copies, which the
+first step has already joined, costs the second nothing.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lattica.llm.textbytes import U, blocks, mix, release, shingles, words
-from lattica.operators.graph import connected_components
+from lattica.operators.graph import connected_components, forest_roots
 from lattica.plans.scratch import Scratch
 
 #: Chance that a pair just as similar as asked is not found.
@@ -121,18 +125,6 @@ def postings(classes: DataFrame, coords: int) -> DataFrame:
     return classes.select("doc_id", "sig").mapInArrow(work, "key long, doc_id long")
 
 
-def _forest(linked: np.ndarray) -> np.ndarray:
-    """Least index reachable from each row of a symmetric boolean matrix."""
-    n = len(linked)
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label, np.where(linked, label[None, :], n).min(axis=1))
-        low = low[low]
-        if (low == label).all():
-            return label
-        label = low
-
-
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """Whole groups of rows sorted by the first ``keys`` columns, some groups at a time."""
     held: list[pa.RecordBatch] = []
@@ -173,48 +165,78 @@ def _edge_batch(src: list[np.ndarray], dst: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["src", "dst"])
 
 
-def _chunked(rows: DataFrame, group: str, size: str, chunk: int, parts: int) -> DataFrame:
-    """Deal each group's rows by hash into chunks of about ``chunk``; a row goes to every pair of chunks with its own.
+def _label_edges(linked: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest between the labels of rows, from a symmetric matrix of linked rows."""
+    names, at = np.unique(label, return_inverse=True)
+    x, y = np.nonzero(linked)
+    pairs = np.unique(at[x] * len(names) + at[y])
+    root = forest_roots(pairs // len(names), pairs % len(names), len(names))
+    leaf = np.flatnonzero(root != np.arange(len(names)))
+    return names[leaf], names[root[leaf]]
 
-    A group of one chunk has the pair (0, 0). Sorted by group and pair within partitions.
-    """
-    n = F.ceil(F.col(size) / F.lit(chunk)).cast("int")
-    own = F.pmod(F.xxhash64("doc_id", F.lit(7)), n).cast("int")
-    rows = rows.withColumn("_n", n).withColumn("_own", own)
-    other = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
-    rows = rows.withColumn("_other", other).filter((F.col("_n") == 1) | (F.col("_own") != F.col("_other")))
-    rows = rows.withColumn("_x", F.least("_own", "_other")).withColumn("_y", F.greatest("_own", "_other"))
-    rows = rows.select(group, "_x", "_y", *[c for c in rows.columns if c not in (group, size, "_x", "_y", "_n", "_own", "_other")])
-    return rows.repartition(parts, group, "_x", "_y").sortWithinPartitions(group, "_x", "_y")
 
+def _chunked(rows: DataFrame, group: str, payload: DataFrame, chunk: int, parts: int, scratch: Scratch) -> DataFrame:
+    """Deal the written ``rows(group, label, doc_id)`` into chunks of about ``chunk`` of a group, and add the ``payload`` of each doc_id.
 
-def meeting_edges(members: DataFrame, coords: int, match: int, parts: int) -> DataFrame:
-    """Forest edges of the pairs with ``match`` collisions inside each bucket of ``(key, members, doc_id, sig)``."""
+    A row goes to every pair of chunks with its own that can hold two labels. A label of more than half a chunk has
+    chunks of its own, which are not paired with each other; rows of smaller labels are dealt by hash. A group of
+    one chunk is worked whole. Sorted by group and pair in partitions.
+    """
+    whole = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > chunk)
+    whole = scratch.keep(whole.select(group, F.ceil(F.col("n") / chunk).cast("int").alias("pool")), "many")
+    split = scratch.keep(rows.join(whole, group), "split")
+    large = split.groupBy(group, "label").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * 2 > chunk)
+    large = scratch.keep(large.select(group, "label", F.ceil(F.col("n") / chunk).cast("int").alias("own")), "large")
+    at = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.coalesce("own", "pool")).cast("int")
+    series = F.when(F.col("own").isNotNull(), F.col("label"))
+    dealt = split.join(large, [group, "label"], "left").select(group, "label", "doc_id", F.struct(series.alias("s"), at.alias("c")).alias("x"))
+    dealt = scratch.keep(dealt, "dealt")
+    lists = scratch.keep(dealt.select(group, "x").distinct().groupBy(group).agg(F.collect_list("x").alias("chunks")), "chunks")
+    apart = lambda c: (c != F.col("x")) & ~F.coalesce(c["s"] == F.col("x.s"), F.lit(False))
+    others = F.filter("chunks", apart)
+    # a chunk that meets no other is worked alone, unless it holds one label
+    others = F.when((F.size(others) == 0) & F.col("x.s").isNull(), F.array("x")).otherwise(others)
+    paired = dealt.join(lists, group).withColumn("y", F.explode(others))
+    pair = F.xxhash64(F.least("x", "y"), F.greatest("x", "y"))
+    paired = paired.select(group, pair.alias("pair"), "label", "doc_id")
+    alone = rows.join(whole, group, "left_anti").select(group, F.lit(0).cast("long").alias("pair"), "label", "doc_id")
+    both = scratch.keep(alone.unionByName(paired), "paired").join(payload, "doc_id").select(group, "pair", "label", "doc_id", payload.columns[1])
+    return both.repartition(parts, group, "pair").sortWithinPartitions(group, "pair")
+
+
+def meeting(members: DataFrame, sig: DataFrame, match: int, parts: int, scratch: Scratch) -> DataFrame:
+    """``(doc_id, src, dst)`` of ``(key, label, doc_id)``: classes that collide ``match`` times with one of another label
+    in their bucket (null src), and a forest of such labels (null doc_id)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, 3):
+        for table in _groups(batches, 2):
             ids = table.column("doc_id").to_numpy()
-            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, coords)
-            bounds = _bounds(table, 3)
+            label = table.column("label").to_numpy()
+            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(table), -1)
+            bounds = _bounds(table, 2)
             size = np.diff(bounds)
-            src, dst = [], []
             two = bounds[:-1][size == 2]
-            hit = two[(sig[two] == sig[two + 1]).sum(axis=1) >= match]
-            src.append(ids[hit])
-            dst.append(ids[hit + 1])
+            hit = two[((sig[two] == sig[two + 1]).sum(axis=1) >= match) & (label[two] != label[two + 1])]
+            docs, src, dst = [ids[hit], ids[hit + 1]], [label[hit]], [label[hit + 1]]
             for g in np.flatnonzero(size > 2):
                 a, b = bounds[g], bounds[g + 1]
-                own = np.ascontiguousarray(sig[a:b].T)
+                own = label[a:b]
+                if (own == own[0]).all():
+                    continue
                 same = np.zeros((b - a, b - a), np.uint8)
-                for c in own:
+                for c in np.ascontiguousarray(sig[a:b].T):
                     same += c[:, None] == c[None, :]
-                root = _forest(same >= match)
-                leaf = np.flatnonzero(root != np.arange(b - a))
-                src.append(ids[a:b][leaf])
-                dst.append(ids[a:b][root[leaf]])
-            yield _edge_batch(src, dst)
+                linked = (same >= match) & (own[:, None] != own[None, :])
+                docs.append(ids[a:b][linked.any(axis=1)])
+                x, y = _label_edges(linked, own)
+                src.append(x)
+                dst.append(y)
+            one, x, y = np.unique(np.concatenate(docs)), np.concatenate(src), np.concatenate(dst)
+            none = lambda n: pa.nulls(n, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), none(len(one)), none(len(one))], ["doc_id", "src", "dst"])
+            yield pa.RecordBatch.from_arrays([none(len(x)), pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["doc_id", "src", "dst"])
 
-    return _chunked(members, "key", "members", BUCKET_CHUNK, parts).mapInArrow(work, "src long, dst long")
+    return _chunked(members, "key", sig, BUCKET_CHUNK, parts, scratch).mapInArrow(work, "doc_id long, src long, dst long")
 
 
 def intersections(sets: list[np.ndarray], step: int = 4096) -> np.ndarray:
@@ -240,35 +262,88 @@ def intersections(sets: list[np.ndarray], step: int = 4096) -> np.ndarray:
     return out
 
 
-def confirmed_edges(members: DataFrame, num: int, den: int, parts: int) -> DataFrame:
-    """Forest edges of the pairs with ``den * intersection >= num * union`` inside each cluster of ``(cluster, members, doc_id, shingles)``."""
+def confirmed_edges(members: DataFrame, sets: DataFrame, num: int, den: int, parts: int, scratch: Scratch) -> DataFrame:
+    """Forest edges between labels of the pairs with ``den * intersection >= num * union`` in each cluster of ``(cluster, label, doc_id)``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, 3):
-            ids = table.column("doc_id").to_numpy()
+        for table in _groups(batches, 2):
+            label = table.column("label").to_numpy()
             raw = table.column("shingles")
             src, dst = [], []
-            bounds = _bounds(table, 3)
+            bounds = _bounds(table, 2)
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                if b - a < 2:
+                own = label[a:b]
+                if b - a < 2 or (own == own[0]).all():
                     continue
                 sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in raw.slice(a, b - a)]
                 size = np.array([len(s) for s in sets])
                 common = intersections(sets)
-                root = _forest(den * common >= num * (size[:, None] + size[None, :] - common))
-                leaf = np.flatnonzero(root != np.arange(b - a))
-                src.append(ids[a:b][leaf])
-                dst.append(ids[a:b][root[leaf]])
+                linked = (den * common >= num * (size[:, None] + size[None, :] - common)) & (own[:, None] != own[None, :])
+                x, y = _label_edges(linked, own)
+                src.append(x)
+                dst.append(y)
+            yield _edge_batch(src, dst)
+        release()
+
+    return _chunked(members, "cluster", sets, CLUSTER_CHUNK, parts, scratch).mapInArrow(work, "src long, dst long")
+
+
+def leader_edges(pairs: DataFrame, sets: DataFrame, num: int, den: int, parts: int, scratch: Scratch) -> DataFrame:
+    """The ``pairs(doc_id, leader)`` that are as similar as asked, from ``sets(doc_id, shingles)``.
+
+    Classes of one leader are dealt into chunks, the leader's set once to each chunk.
+    """
+    chunk = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.ceil(F.col("_n") / CLUSTER_CHUNK)).cast("int")
+    sizes = scratch.keep(pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("_n")), "led")
+    dealt = scratch.keep(pairs.join(sizes, "leader").select("leader", chunk.alias("_chunk"), "doc_id"), "dealt")
+    heads = dealt.select("leader", "_chunk").distinct().select("leader", "_chunk", F.col("leader").alias("doc_id"))
+    rows = scratch.keep(dealt.unionByName(heads), "rows").join(sets, "doc_id").select("leader", "_chunk", "doc_id", "shingles")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, 2):
+            ids, leader = table.column("doc_id").to_numpy(), table.column("leader").to_numpy()
+            raw = table.column("shingles")
+            src, dst = [], []
+            bounds = _bounds(table, 2)
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                at = a + int(np.argmax(ids[a:b] == leader[a]))
+                head = np.frombuffer(raw[at].as_buffer(), np.uint64)
+                others = np.delete(np.arange(a, b), at - a)
+                own = [np.frombuffer(raw[i].as_buffer(), np.uint64) for i in others.tolist()]
+                size = np.array([len(s) for s in own], np.int64)
+                every = np.concatenate(own)
+                place = np.minimum(np.searchsorted(head, every), len(head) - 1)
+                total = np.append(0, np.cumsum(head[place] == every))
+                end = np.cumsum(size)
+                common = total[end] - total[end - size]
+                hit = others[den * common >= num * (size + len(head) - common)]
+                src.append(ids[hit])
+                dst.append(leader[hit])
             yield _edge_batch(src, dst)
         release()
 
-    return _chunked(members, "cluster", "members", CLUSTER_CHUNK, parts).mapInArrow(work, "src long, dst long")
+    rows = rows.repartition(parts, "leader", "_chunk").sortWithinPartitions("leader", "_chunk")
+    return rows.mapInArrow(work, "src long, dst long")
+
 
+def _pairs_with_leaders(met: DataFrame, classes: DataFrame, match: int, scratch: Scratch) -> DataFrame:
+    """``(doc_id, leader)`` of ``met(key, doc_id, leader)``: for each class the bucket leader it collides with most often in
+    its prefix, if ``match`` times in all. One row a class at most."""
+    shared = met.filter("doc_id != leader").groupBy("doc_id", "leader").agg(F.count(F.lit(1)).alias("n"))
+    best = F.max_by("leader", F.struct("n", F.xxhash64("leader", F.lit(13)), "leader"))
+    pairs = scratch.keep(shared.groupBy("doc_id").agg(best.alias("leader")), "proposed")
+    sig = classes.select("doc_id", "sig")
+    pairs = scratch.keep(pairs.join(sig, "doc_id").select("doc_id", "leader", F.col("sig").alias("own")), "own")
+    pairs = pairs.join(sig.select(F.col("doc_id").alias("leader"), "sig"), "leader")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                own, other = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(len(batch), -1) for i in (2, 3))
+                yield batch.select(["doc_id", "leader"]).filter(pa.array((own == other).sum(axis=1) >= match))
 
-def _sized(rows: DataFrame, key: str, scratch: Scratch) -> DataFrame:
-    """Add ``members``, the rows of each key; keys of one row go. A large key's rows can be split."""
-    count = rows.groupBy(key).agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    return rows.join(scratch.keep(count, "sizes"), key)
+    pairs = pairs.select("doc_id", "leader", "own", "sig").mapInArrow(work, "doc_id long, leader long")
+    return scratch.keep(pairs, "pairs")
 
 
 def _same_document(signed: DataFrame, able: DataFrame, classes: DataFrame) -> DataFrame:
@@ -286,7 +361,8 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, num: int = 80,
     component_id is the least doc_id reachable, kept marks the row that has it.
     Null or blank texts have an empty set and link with nothing. Rows that share
     a doc_id are one document, each listed. A null doc_id takes no part: null
-    component, kept. Other columns are ignored; an empty table gives no rows.
+    component, kept. Texts of any length count whole. Other columns are ignored,
+    whatever their names; an empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -298,6 +374,7 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, num: int = 80,
     able = signed.filter("n_shingles > 0 and doc_id is not null")
     least = F.min(F.struct("doc_id", "sig")).alias("least")
     classes = scratch.keep(able.groupBy("set_a", "set_b").agg(least).select("set_a", "set_b", "least.*"), "classes")
+    sig = classes.select("doc_id", "sig")
 
     posted = postings(classes, coords)
     # written, so that the join deals both sides itself and can split a large key
@@ -307,20 +384,40 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, num: int = 80,
     left = F.lit(prefix - coords) + F.size("keys")
     rare = shared.filter(F.size("keys") >= match).select("doc_id", F.slice(F.sort_array("keys"), 1, left).alias("keys"))
     first = scratch.keep(rare.select("doc_id", F.explode("keys.key").alias("key")), "prefix")
-    met = scratch.keep(_sized(first, "key", scratch), "met").join(classes.select("doc_id", "sig"), "doc_id").select("key", "members", "doc_id", "sig")
-    edges = meeting_edges(met, coords, match, parts)
-    edges = scratch.keep(edges.unionByName(_same_document(signed, able, classes)).distinct(), "meeting")
-
-    clusters = connected_components(edges, scratch).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
-    clusters = scratch.keep(_sized(scratch.keep(clusters, "clustered"), "cluster", scratch), "clusters")
-    able_docs = docs.select("doc_id", "text").join(clusters, "doc_id").select("doc_id", "text")
-    sets = shingle_sets(able_docs, words_per_shingle).join(clusters, "doc_id").select("cluster", "members", "doc_id", "shingles")
-    links = confirmed_edges(sets, num, den, parts)
-    links = scratch.keep(links.unionByName(_same_document(signed, able, classes)).distinct(), "links")
-
-    component = connected_components(links, scratch).select(F.col("node").alias("doc_id"), "component")
-    named = classes.select("set_a", "set_b", "doc_id").join(component, "doc_id", "left")
-    named = named.select("set_a", "set_b", F.coalesce("component", "doc_id").alias("component"))
+    scratch.drop(frequent)
+    order = F.struct(F.xxhash64("doc_id", F.lit(13)), "doc_id")
+    heads = first.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(order).alias("l")).filter("n > 1")
+    heads = scratch.keep(heads.select("key", F.col("l.doc_id").alias("leader")), "heads")
+    met = scratch.keep(first.join(heads, "key"), "met")
+    scratch.drop(first)
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return shingle_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), words_per_shingle)
+
+    pairs = _pairs_with_leaders(met, classes, match, scratch)
+    sets = sets_of(pairs.select(F.explode(F.array("doc_id", "leader")).alias("doc_id")).distinct())
+    links = leader_edges(pairs, sets, num, den, parts, scratch)
+    links = scratch.keep(links.unionByName(_same_document(signed, able, classes)), "leads")
+    labels = connected_components(links, scratch).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
+
+    labelled = met.select("key", "doc_id").join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    labelled = scratch.keep(labelled, "labelled")
+    scratch.drop(met)
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    labelled = scratch.keep(labelled.join(scratch.keep(mixed.select("key"), "mixed"), "key"), "apart")
+    found = scratch.keep(meeting(labelled, sig, match, parts, scratch), "meeting")
+    flagged = scratch.keep(found.select("doc_id").dropna().distinct(), "flagged")
+    clusters = connected_components(found.select("src", "dst"), scratch)
+    clusters = clusters.select(F.col("node").alias("label"), F.col("component").alias("cluster"))
+    flagged = flagged.join(labels, "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("label"))
+    flagged = scratch.keep(scratch.keep(flagged, "flagged").join(clusters, "label"), "clusters")
+    links = confirmed_edges(flagged, sets_of(flagged.select("doc_id")), num, den, parts, scratch)
+    links = scratch.keep(links.distinct(), "links")
+
+    joined = connected_components(links, scratch).select(F.col("node").alias("label"), "component")
+    named = classes.select("set_a", "set_b", "doc_id").join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    named = scratch.keep(named, "named").join(joined, "label", "left")
+    named = scratch.keep(named.select("set_a", "set_b", F.coalesce("component", "label").alias("component")), "components")
     out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
     reach = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", reach.alias("component_id"))
