@@ -167,10 +167,13 @@ def _edge_batch(src: list[np.ndarray], dst: list[np.ndarray]) -> pa.RecordBatch:
 
 def _label_edges(linked: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest between the labels of rows, from a symmetric matrix of linked rows."""
-    names, at = np.unique(label, return_inverse=True)
-    x, y = np.nonzero(linked)
-    pairs = np.unique(at[x] * len(names) + at[y])
-    root = forest_roots(pairs // len(names), pairs % len(names), len(names))
+    order = np.argsort(label, kind="stable")
+    names, first = np.unique(label[order], return_index=True)
+    if len(names) < len(label):  # rows of one label count as one
+        linked = np.logical_or.reduceat(np.logical_or.reduceat(linked[order][:, order], first, axis=0), first, axis=1)
+        order = np.arange(len(names))
+    x, y = np.nonzero(np.triu(linked[order][:, order]))
+    root = forest_roots(x, y, len(names))
     leaf = np.flatnonzero(root != np.arange(len(names)))
     return names[leaf], names[root[leaf]]
 
@@ -235,6 +238,7 @@ def meeting(members: DataFrame, sig: DataFrame, match: int, parts: int, scratch:
             none = lambda n: pa.nulls(n, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), none(len(one)), none(len(one))], ["doc_id", "src", "dst"])
             yield pa.RecordBatch.from_arrays([none(len(x)), pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["doc_id", "src", "dst"])
+        release()
 
     return _chunked(members, "key", sig, BUCKET_CHUNK, parts, scratch).mapInArrow(work, "doc_id long, src long, dst long")
 
@@ -341,6 +345,7 @@ def _pairs_with_leaders(met: DataFrame, classes: DataFrame, match: int, scratch:
             if len(batch):
                 own, other = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(len(batch), -1) for i in (2, 3))
                 yield batch.select(["doc_id", "leader"]).filter(pa.array((own == other).sum(axis=1) >= match))
+        release()
 
     pairs = pairs.select("doc_id", "leader", "own", "sig").mapInArrow(work, "doc_id long, leader long")
     return scratch.keep(pairs, "pairs")
