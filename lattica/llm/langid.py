@@ -16,9 +16,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from lattica.llm.sampling import some
+from lattica.llm.sampling import under
 from lattica.llm.textbytes import Block, blocks, release
 
 WINDOW = 96
@@ -27,6 +27,8 @@ HIDDEN = 12
 SAMPLE_ROWS, SAMPLE_WINDOWS = 600, 8
 STEPS, BATCH, RATE = 220, 256, 0.02
 PAD = 256
+#: Mean probability of the best language below which a text counts as in none.
+LEAST_SCORE = 0.5
 
 LETTER = np.zeros(257, np.float32)
 LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
@@ -208,29 +210,38 @@ def pooled(model: Model, block: Block, at_once: int = 1536) -> tuple[np.ndarray,
 
 
 def training_windows(labelled: DataFrame, rows_per_lang: int = SAMPLE_ROWS, per_row: int = SAMPLE_WINDOWS) -> list[tuple[str, bytes]]:
-    """Evenly spread windows of a bounded sample of ``labelled(doc_id, text, lang)``."""
-    labelled = labelled.filter("text is not null and lang is not null")
-    ids = None
-    for (lang,) in sorted(labelled.select("lang").distinct().collect()):
-        own = some(labelled.filter(F.col("lang") == lang).select("doc_id"), rows_per_lang)
-        ids = own if ids is None else ids.unionByName(own)
-    if ids is None:
+    """Evenly spread windows of a bounded sample of ``labelled(doc_id, text, lang)``: ``rows_per_lang`` rows, also where ids repeat.
+
+    The rows with the least hashes of doc_id and text, found for all languages at once; only hashes are moved to find them.
+    """
+    labelled = labelled.select("lang", "text", F.xxhash64("doc_id", "text", F.lit(11)).alias("k")).filter("text is not null and lang is not null")
+    count = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    few = F.lit(False)  # hashes that can be among the least; the others are not moved
+    for lang, n in count.items():
+        few = few | (F.col("lang") == lang) & under(F.col("k"), 4 * rows_per_lang / n)
+    labelled = labelled.filter(few)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("k"))
+    last = labelled.select("lang", "k").withColumn("n", rank).filter(F.col("n") <= rows_per_lang).groupBy("lang").agg(F.max("k").alias("k"))
+    bounds = {r.lang: r.k for r in last.collect()}
+    if not bounds:
         return []
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, cut = [], []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            langs, keys, cut = [], [], []
+            for lang, text, k in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 raw = text.encode()
-                for a in np.linspace(0, max(0, len(raw) - WINDOW), min(per_row, 1 + len(raw) // WINDOW)).astype(int):
-                    if raw[a : a + WINDOW]:
-                        langs.append(lang)
-                        cut.append(raw[a : a + WINDOW])
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(cut, pa.binary())], ["lang", "raw"])
+                langs.append(lang)
+                keys.append(k)
+                cut.append([raw[a : a + WINDOW] for a in np.linspace(0, max(0, len(raw) - WINDOW), min(per_row, 1 + len(raw) // WINDOW)).astype(int)])
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(keys, pa.int64()), pa.array(cut, pa.list_(pa.binary()))], ["lang", "k", "raw"])
 
-    chosen = labelled.join(F.broadcast(ids.distinct()), "doc_id").select("lang", "text")
-    found = chosen.mapInArrow(work, "lang string, raw binary").collect()
-    return sorted((r.lang, bytes(r.raw)) for r in found)
+    low = F.create_map(*[x for lang, k in bounds.items() for x in (F.lit(lang), F.lit(k))])
+    found: list[tuple[str, bytes]] = []
+    chosen = labelled.filter(F.col("k") <= low[F.col("lang")]).select("lang", "text", "k").mapInArrow(work, "lang string, k long, raw array<binary>")
+    for r in chosen.withColumn("n", rank).filter(F.col("n") <= rows_per_lang).collect():
+        found += [(r.lang, bytes(x)) for x in r.raw if x]
+    return sorted(found)
 
 
 def labels(model: Model | None, block: Block) -> tuple[list[str], np.ndarray]:
@@ -251,10 +262,11 @@ def labels(model: Model | None, block: Block) -> tuple[list[str], np.ndarray]:
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``(doc_id, lang_pred, score)`` for each row of ``docs(doc_id, text)``.
+    """``(doc_id, lang_pred, score)`` for each row of ``docs(doc_id, text)``, repeated rows each; an empty table gives none.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing
-    could be learned. Ties go to the language first in order.
+    could be learned. Ties go to the language first in order. Texts of any length
+    count whole; a null doc_id stays null; other columns are ignored, whatever their names.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,17 +280,28 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
-    """Rows of ``docs`` whose text has a language, columns as they were; no shuffle. Without a model all rows stay."""
+def keep_identified(docs: DataFrame, model: Model | None, least_score: float = LEAST_SCORE, languages: tuple[str, ...] | None = None) -> DataFrame:
+    """Rows of ``docs`` whose text is in a language, columns as they were; no shuffle.
+
+    A row goes if its text is null or has no letter, if no language reaches
+    ``least_score`` of the mean distribution over its letters (mixed or garbled
+    texts, or too short to tell), or if the language found is not among
+    ``languages`` (None: all learned ones). Without a model only null and
+    letterless texts go. Each of several equal rows is judged, null ids don't
+    matter, an empty table stays empty.
+    """
     at = docs.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [lang != "und" for block in blocks(batch.column(at)) for lang in labels(model, block)[0]]
+            keep: list[bool] = []
+            for block in blocks(batch.column(at)):
+                found, score = labels(model, block)
+                keep += [x != "und" and s >= least_score and (languages is None or x in languages) for x, s in zip(found, score, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
             release()
 
-    return docs.mapInArrow(work, docs.schema) if model is not None else docs
+    return docs.mapInArrow(work, docs.schema) if model is not None else docs.filter(F.col("text").rlike(r"\p{L}"))
 
 
 def learn(labelled: DataFrame, **bounds: int) -> Model | None:

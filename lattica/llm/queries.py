@@ -7,8 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-import corpus_pipeline
-from lattica.llm import bpe, decontam, htmltext, langid, neardup, sharding, substring, topk, toxicity, urltree
+from lattica.llm import bpe, decontam, htmltext, langid, neardup, pipeline, sharding, substring, topk, toxicity, urltree
 from lattica.llm.sampling import crc_share
 
 SHARDS = 40
@@ -76,7 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_language_id, op2_sharding, op3_bpe, op4_decontamination, op5_toxicity,
         op6_near_duplicates, op7_html_text, op8_top_k, op9_substring_dedup, op10_url_filter,
     ]
-    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in ops} | {"pipeline": pipeline.run}
 
 
 #: Exact neighbours by brute force; ties go to the smaller id.
@@ -98,6 +97,6 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 def oracle_sql() -> dict[str, str]:
     out = {"op8_top_k": TOP_K_SQL}
-    if corpus_pipeline.ORACLE_SQL is not None:
-        out["pipeline"] = corpus_pipeline.ORACLE_SQL
+    if pipeline.ORACLE_SQL is not None:
+        out["pipeline"] = pipeline.ORACLE_SQL
     return out

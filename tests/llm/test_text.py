@@ -60,6 +60,22 @@ def test_language(spark):
     assert len(got) == len(probe)
     assert {(r.doc_id, r.lang_pred) for r in got} == {(1, "xx"), (2, "yy"), (3, "und"), (4, "und"), (5, "und"), (6, "und"), (None, "yy")}
     assert all(0 <= r.score <= 1 for r in got)
+    mixed = " ".join(made("xx", 1, rng) + " " + made("yy", 1, rng) for _ in range(90))
+    docs = spark.createDataFrame([*probe, (7, mixed)], "doc_id long, text string").withColumn("score", F.lit("s"))
+    kept = langid.keep_identified(docs, model, least_score=0.8)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [1, 2, None, 2]
+    assert {r.doc_id for r in langid.keep_identified(docs, model, languages=("xx",)).collect()} - {7} == {1}
+    assert [r.doc_id for r in langid.keep_identified(docs, None).collect()] == [1, 2, None, 2, 7]
+    assert langid.keep_identified(docs.limit(0), model).count() == 0 and langid.predict(docs.limit(0), model).count() == 0
+
+
+def test_samples_are_bounded_by_rows(spark):
+    rows = [(1, "abc def " * 40, "xx", "s", 1)] * 300 + [(i, f"abc {i} def", "xx", "s", 1) for i in range(2, 60)] + [(1, "abc def", "yy", "s", 1)]
+    windows = langid.training_windows(spark.createDataFrame(rows, DOCS), 5, 1)
+    assert sum(lang == "xx" for lang, _ in windows) <= 5 and sum(lang == "yy" for lang, _ in windows) == 1
+    docs = spark.createDataFrame([(i, t) for i, t, *_ in rows], "doc_id long, text string")
+    assert len(toxicity._sampled(docs, 7, 1)) <= 7
+    assert toxicity._sampled(docs.limit(0), 7, 1) == []
 
 
 def test_language_gradients():
@@ -122,30 +138,55 @@ def test_toxicity_non_negative_risk():
     pos = [np.unique(np.append(rng.integers(100, 160, 10), 7)) for _ in range(60)]
     unl = [np.unique(np.append(rng.integers(100, 160, 10), 7 if i % 4 == 0 else 8)) for i in range(240)]
     model = toxicity.train(pos, unl, 0.25)
-    assert model.weights[7] > 0 > model.weights[8]
+    assert dict(zip(model.used, model.weights, strict=True))[7] > 1 and 8 not in model.used
     f, first = np.array([7, 8, 120]), np.array([0, 1, 2, 3])
     a, b, _ = model.scores(model.margins(f, first))
     assert a > 0.7 > b
 
 
-@pytest.mark.parametrize("bits", [2, 4, 7])
-def test_bpe_is_exact(spark, bits, monkeypatch):
-    monkeypatch.setattr(bpe, "CUT_BITS", bits)
-    monkeypatch.setattr(bpe.cuts, "__defaults__", (bits,))
-    path = public_tokenizers.path("word_bpe_49k.json")
-    tok = Tokenizer.from_file(path)
-    rng = random.Random(4)
-    shared = " ".join("".join(rng.choice("abcdeé'’ß12,.") for _ in range(rng.randint(1, 12))) for _ in range(300))
-    texts = ["", "   ", "\n", "Hello wörld's 12 <|endoftext|> a  b", "ÉCOLE\u00a0naïve e\u0301 日本語テキスト", "x" * 3000, shared, "pre " + shared, shared.replace(" ", ""), "\u2003a\u2003b" * 50, "'s't " * 40, "🙂" * 40 + shared + "<|startoftext|>"]
-    encoder = bpe.Encoder(path)
-    for block in blocks(pa.array(texts + [None]), 4096):
-        for i, (n, ids, tokens) in enumerate(encoder.block(block)):
-            want = tok.encode((texts + [""])[block.first + i], add_special_tokens=False).ids
-            assert ids == " ".join(map(str, want)) and n == len(want)
-            assert tokens == tok.decode(want, skip_special_tokens=False)
-    before = encoder.encoded
-    encoder.block(next(blocks(pa.array([shared]))))
-    assert encoder.encoded == before
+def test_toxicity_gradient():
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=30)
+    is_pos = np.arange(30) < 10
+    seen = set()
+    for prior, shift in ((0.1, 0.0), (0.9, np.where(is_pos, 3.0, -3.0))):
+        own = m + shift
+        _, bracket, slope = toxicity.risk(own, is_pos, ~is_pos, prior)
+        seen.add(bracket >= 0)
+
+        def goal(x, sign=bracket >= 0, prior=prior):
+            right, bracket, _ = toxicity.risk(x, is_pos, ~is_pos, prior)
+            return right + bracket if sign else -bracket
+
+        for i in range(30):
+            step = np.zeros(30)
+            step[i] = 1e-5
+            assert abs((goal(own + step) - goal(own - step)) / 2e-5 - slope[i]) < 1e-6
+    assert seen == {True, False}
+    assert toxicity.best_cut(np.array([5.0, 4.0, 3.0, 0.0, 0.0, 4.5]), 3, 0.3)[0] < 3
+
+
+def test_toxicity_on_held_out_rows(spark):
+    """Insults with many endings, few of each: unseen texts are found, clean ones are not."""
+    rng = random.Random(12)
+    part = lambda: "".join(rng.choice("abcdefgh") for _ in range(2))
+    ends = [part() + part() for _ in range(40)]
+
+    def text(toxic: bool) -> str:
+        own = [part() + part() for _ in range(30)]
+        return " ".join(own[:9] + (["zuvi" + rng.choice(ends) for _ in range(3)] if toxic else []) + own[9:])
+
+    rows = [(i, text(i % 8 == 0)) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 8 == 0)) for i in range(0, 900, 2)], "doc_id long, quality int, toxic int")
+    model = toxicity.learn(docs.filter("doc_id < 600"), labels.filter("doc_id < 600"))
+    got = toxicity.score(docs.filter("doc_id >= 600"), model).collect()
+    toxic = [r.predicted for r in got if r.doc_id % 8 == 0]
+    clean = [r.predicted for r in got if r.doc_id % 8]
+    assert sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.02 * len(clean)
+    assert toxicity.score(docs.limit(0), model).count() == 0
+    assert toxicity.learn(docs.limit(0), labels) is None and toxicity.learn(docs, labels.limit(0)) is None
+
 
 
 def test_bpe_random(spark):
