@@ -5,9 +5,13 @@ looks like a number, date, hash or file number is a wildcard of its form; so are
 literal children of a node, of any number, whose shares of blocked pages do not
 differ by a chi-square test, a wildcard for each group of like shares. Children
 without a label, or unlike all others, stay literal. A leaf is a template; it is
-rejected if its smoothed share of blocked among labelled pages is high. All of it
-is counting by (host, template), so a large host is spread over its templates
-and counted before it is shuffled.
+rejected if its smoothed share of blocked among labelled pages is high. The share
+is smoothed toward that of the same path forms on the hosts of its registered
+domain (its last two labels), and that toward the share on all hosts, which is
+smoothed toward one half; so a template without labels of its own is judged by
+those of its kind elsewhere. All of it is counting by (host, template) or by
+path form, so a large host is spread over its templates and counted before it is
+shuffled.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from lattica.plans.scratch import Scratch
 
 #: Chi-square of one degree of freedom up to which two shares count as alike: its mean and two standard deviations.
 ALIKE = 1 + 2 * math.sqrt(2)
-#: Pseudo-counts, half of them blocked, and the smoothed purity that rejects.
+#: Pseudo-counts of a share's prior, and the smoothed purity that rejects.
 SMOOTH, REJECT = 2.0, 0.8
 
 #: (verdict, host, path) of the rules.
@@ -146,12 +150,30 @@ def learn_templates(paths: DataFrame) -> DataFrame:
     return out
 
 
+def domain_of(host: Column) -> Column:
+    """The last two labels of a host; an address of four numbers is its own."""
+    return F.when(host.rlike(r"^\d+(\.\d+){3}(:\d+)?$"), host).otherwise(F.substring_index(host, ".", -2))
+
+
+def shape_of(path: Column) -> Column:
+    """All segments of a path by their form: comparable between hosts."""
+    return F.array_join(F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), step_of), "")
+
+
+def prior_purities(paths: DataFrame, smooth: float) -> DataFrame:
+    """``(domain, shape, prior)``: blocked share of labelled pages by path form on a registered domain, smoothed toward that on all hosts."""
+    by = paths.groupBy("domain", "shape").agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"))
+    everywhere = by.groupBy("shape").agg(((F.sum("b") + smooth / 2) / (F.sum("b") + F.sum("a") + smooth)).alias("all"))
+    return by.join(everywhere, "shape").select("domain", "shape", ((F.col("b") + smooth * F.col("all")) / (F.col("b") + F.col("a") + smooth)).alias("prior"))
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, smooth: float = SMOOTH, reject: float = REJECT) -> DataFrame:
-    """``(page_id, host, path, rule, verdict, template, purity)`` for each row of ``pages(page_id, url)``.
+    """``(page_id, host, path, rule, verdict, template, purity)`` for each row of ``pages(page_id, url)``, repeated rows each.
 
-    A null url, or one without ``://``, has an empty host and path. Pages that a
-    rule judges are the labels of the tree; purity is the template's share of
-    blocked among them, smoothed toward one half, so a template with few labels stays allowed.
+    A null url, or one without ``://``, has an empty host and path; a null page_id stays null. Urls of any
+    length and depth count whole. An empty table gives no rows; other columns are ignored, whatever their
+    names. Pages that a rule judges are the labels of the tree; purity is the template's share of blocked
+    among them, smoothed as above. Without a rule a page is blocked from a purity of ``reject``.
     """
     scratch = Scratch(pages.sparkSession)
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -160,9 +182,14 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, smooth: f
     paths = rows.groupBy("host", "path").agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(verdict == "block", 1)).alias("blocked"), F.count(F.when(verdict == "allow", 1)).alias("allowed")
     )
+    paths = scratch.keep(paths.withColumn("domain", domain_of(F.col("host"))).withColumn("shape", shape_of(F.col("path"))), "counted")
+    priors = scratch.keep(prior_purities(paths, smooth), "priors")
     named = learn_templates(paths)
-    by = named.groupBy("host", "template").agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"))
-    purity = (F.col("b") + smooth / 2) / (F.col("b") + F.col("a") + smooth)
+    named = scratch.keep(named, "named")
+    by = named.groupBy("host", "template", "domain", "shape").agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"), F.sum("n").alias("n"))
+    by = scratch.keep(by, "forms").join(priors, ["domain", "shape"])
+    by = by.groupBy("host", "template").agg(F.sum("b").alias("b"), F.sum("a").alias("a"), (F.sum(F.col("prior") * F.col("n")) / F.sum("n")).alias("prior"))
+    purity = (F.col("b") + smooth * F.col("prior")) / (F.col("b") + F.col("a") + smooth)
     leaves = scratch.keep(by.select("host", "template", purity.alias("purity")), "leaves")
     known = scratch.keep(named.join(leaves, ["host", "template"]).select("host", "path", "template", "purity"), "known")
     out = rows.join(known, ["host", "path"], "left")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -94,6 +95,108 @@ def test_urls(spark):
     assert urltree.judge(pages.limit(0)).count() == 0
 
 
+def plain_form(seg):
+    if re.fullmatch(r"[0-9]+", seg):
+        out = "{n}"
+    elif re.fullmatch(r"[0-9]{4}-[0-9]{1,2}(-[0-9]{1,2})?", seg):
+        out = "{date}"
+    elif re.fullmatch(r"[0-9]+\.[A-Za-z]{1,5}", seg):
+        out = "{n}" + seg[seg.rindex(".") :]
+    else:
+        out = re.sub(r"[0-9]+", "{n}", seg)
+    return "/" + ("\\" if out.startswith("*") else "") + out
+
+
+def plain_tree(urls, rules, smooth, reject):
+    """Verdict and template of (host, path) by the whole method, node by node; for segments without hashes."""
+
+    def judged(host, path):
+        fit = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fit)[2] if fit else None
+
+    def chi(b, m, c, n):
+        under = (b + c) * (m + n - b - c) * m * n
+        return (m + n) * (b * (n - c) - c * (m - b)) ** 2 / under if under else 0.0
+
+    count = {}
+    for host, path in urls:
+        count[host, path] = count.get((host, path), 0) + 1
+    label = {k: (n * (judged(*k) == "block"), n * (judged(*k) == "allow")) for k, n in count.items()}
+    segs = {k: [s for s in k[1].split("/") if s] for k in count}
+    domain = lambda host: ".".join(host.split(".")[-2:])
+    shape = lambda k: "".join(map(plain_form, segs[k]))
+
+    def share(keys, prior):
+        b, a = (sum(label[k][i] for k in keys) for i in (0, 1))
+        return (b + smooth * prior) / (b + a + smooth)
+
+    prior = {}
+    for k in count:
+        everywhere = share([x for x in count if shape(x) == shape(k)], 0.5)
+        prior[k] = share([x for x in count if shape(x) == shape(k) and domain(x[0]) == domain(k[0])], everywhere)
+
+    template = {}
+
+    def grow(keys, name, level):
+        done = [k for k in keys if len(segs[k]) <= level]
+        template.update(dict.fromkeys(done, name))
+        kids = {}
+        for k in keys:
+            if len(segs[k]) > level:
+                kids.setdefault(plain_form(segs[k][level]), []).append(k)
+        pools = {}
+        for c, own in kids.items():
+            b, a = (sum(label[k][i] for k in own) for i in (0, 1))
+            if a + b and not c.startswith("/{"):
+                pool = pools.setdefault(b / (a + b), [0, 0, []])
+                pool[0] += b
+                pool[1] += a + b
+                pool[2].append(c)
+        groups = []
+        for _, (b, m, names) in sorted(pools.items()):
+            if groups and chi(groups[-1][0], groups[-1][1], b, m) <= urltree.ALIKE and chi(*groups[-1][2], b, m) <= urltree.ALIKE:
+                groups[-1] = [groups[-1][0] + b, groups[-1][1] + m, groups[-1][2], groups[-1][3] + names]
+            else:
+                groups.append([b, m, (b, m), names])
+        wild = {c: "/*" + (str(g) if g > 1 else "") for g, (_, _, _, names) in enumerate(groups, 1) if len(names) > 1 for c in names}
+        below = {}
+        for c, own in kids.items():
+            if len(own) == 1 and c not in wild:
+                template[own[0]] = name + "".join(map(plain_form, segs[own[0]][level:]))
+            else:
+                below.setdefault(wild.get(c, c), []).extend(own)
+        for c, own in below.items():
+            grow(own, name + c, level + 1)
+
+    for host in {h for h, _ in count}:
+        grow([k for k in count if k[0] == host], "", 0)
+    out = {}
+    for k in count:
+        own = [x for x in count if x[0] == k[0] and template[x] == template[k]]
+        purity = share(own, sum(prior[x] * count[x] for x in own) / sum(count[x] for x in own))
+        out[k] = judged(*k) or ("block" if purity >= reject else "allow"), template[k], purity
+    return out
+
+
+def test_url_tree_equals_a_plain_one(spark):
+    rng = random.Random(6)
+    hosts = ["a.x.com", "b.x.com", "x.com", "c.y.net", "d.y.net", "e.z.org"]
+    tops = ["en", "de", "es", "shop", "ka", "kb", "2024-01-02"]
+    urls = []
+    for _ in range(700):
+        path = "/" + rng.choice(tops) + "".join("/" + rng.choice(["a", "b", "c", "*q", str(rng.randrange(40)), f"{rng.randrange(9)}.html", f"p{rng.randrange(3)}"]) for _ in range(rng.randrange(4)))
+        urls.append((rng.choice(hosts), path + rng.choice(["", "/"])))
+    rules = [("block", "x.com", "/en/"), ("allow", "a.x.com", "/en/7"), ("allow", "y.net", "/de/"), ("block", "z.org", "/ka/a"), ("block", "z.org", "/kb/b"), ("allow", "c.y.net", "/shop/c")]
+    want = plain_tree(urls, rules, urltree.SMOOTH, urltree.REJECT)
+    pages = spark.createDataFrame([(i, f"http://{h}{p}?q=1") for i, (h, p) in enumerate(urls)], "page_id long, url string")
+    got = urltree.judge(pages, rules).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        verdict, template, purity = want[r.host, r.path]
+        assert (r.verdict, r.template) == (verdict, template) and abs(r.purity - purity) < 1e-9
+    assert {r.verdict for r in got if r.rule is None} == {"allow", "block"}
+
+
 def test_url_tree_rejects_pure_templates_only(spark):
     rows = [(i, f"http://a.com/en/{i}") for i in range(30)] + [(100 + i, f"http://a.com/fr/{i}") for i in range(9)]
     rules = [("block", "a.com", f"/en/{i}") for i in (1, 2)] + [("allow", "b.com", "/")]
