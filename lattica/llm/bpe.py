@@ -29,8 +29,8 @@ RING = 16
 CUT_BITS = 9
 #: Bytes of chunks whose tokens a task keeps.
 CACHE = 8 << 20
-#: Words whose tokens a task keeps before it starts anew.
-WORDS = 500_000
+#: Words, and their bytes, whose tokens a task keeps before it starts anew.
+WORDS, WORD_BYTES = 500_000, 16 << 20
 _WHITE = b" \t\n\r\x0b\x0c"
 
 
@@ -73,6 +73,7 @@ class Encoder:
         self.names = dict(zip(self.decimal, names, strict=True))
         self.words: dict[bytes, str] = {}
         self.room, self.cache = cache, cache
+        self.word_bytes = 0
         self.known: dict[bytes, str] = {}
         self.encoded = 0
 
@@ -86,6 +87,7 @@ class Encoder:
             found = self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
             for w, e in zip(part, found, strict=True):
                 words[w] = " ".join([decimal[i] for i in e.ids])
+                self.word_bytes += len(w)
         self.encoded += len(missing)
         for p, own in new:
             self.known[p] = " ".join(filter(None, map(words.__getitem__, own)))
@@ -94,27 +96,27 @@ class Encoder:
     def pieces(self, chunks: list[bytes]) -> list[bytes]:
         """Pieces of one text that start and end at white space: chunk cores and repaired joins."""
         out: list[bytes] = []
-        carry = b""
+        carry: list[bytes] = []
         for chunk in chunks:
             core = chunk.split(None, 1)
             if len(core) < 2 and not (chunk[:1] in _SPACES or chunk[-1:] in _SPACES):
-                carry += chunk  # no white space: the join goes on
+                carry.append(chunk)  # no white space: the join goes on
                 continue
             if chunk[:1] in _SPACES:
                 head, rest = b"", chunk
             else:
                 head, rest = core[0], core[1] if len(core) == 2 else b""
             if carry or head:
-                out.append(carry + head)
+                out.append(b"".join([*carry, head]))
             if rest[-1:] in _SPACES or not rest:
-                core, carry = rest, b""
+                core, carry = rest, []
             else:
                 last = rest.rsplit(None, 1)
-                core, carry = (last[0], last[1]) if len(last) == 2 else (b"", last[0])
+                core, carry = (last[0], [last[1]]) if len(last) == 2 else (b"", [last[0]])
             if core:
                 out.append(core.strip(_WHITE))
         if carry:
-            out.append(carry)
+            out.append(b"".join(carry))
         return out
 
     def block(self, block: Block) -> list[tuple[int, str, str]]:
@@ -128,8 +130,8 @@ class Encoder:
         if self.room < 0:
             self.known = {}
             self.room = self.cache
-        if len(self.words) > WORDS:
-            self.words = {}
+        if len(self.words) > WORDS or self.word_bytes > WORD_BYTES:
+            self.words, self.word_bytes = {}, 0
         self._learn({p for text in texts for p in text})
         known, names = self.known, self.names
         out = []
@@ -161,7 +163,12 @@ def _encoded(docs: DataFrame, path: str, schema: str, types: list[pa.DataType],
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """``(doc_id, n_tokens, ids, decoded)`` per row: token ids of the whole text (null: empty) and the text they decode to."""
+    """``(doc_id, n_tokens, ids, decoded)`` per row: token ids of the whole text (null: empty) and the text they decode to.
+
+    Texts of any length count whole, one word of megabytes as well. Each of
+    several equal rows is encoded, a null doc_id stays null, an empty table
+    gives no rows; other columns are ignored, whatever their names.
+    """
 
     def row(n: int, ids: str, tokens: str) -> tuple:
         return n, [int(i) for i in ids.split()], tokens

@@ -9,6 +9,7 @@ where the copy must lie.
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,8 +19,8 @@ from lattica.llm.textbytes import release
 
 #: Edits per character of an item.
 RATE = 0.05
-#: Shorter normalised items are too common to be evidence.
-LEAST_CHARS = 40
+#: Shorter normalised items may not differ at all and must stand between word bounds.
+EXACT_BELOW = 40
 #: Characters of benchmark text that one pass over the documents carries.
 PASS_CHARS = 8_000_000
 
@@ -72,10 +73,11 @@ def best_match(item: str, text: str, errors: int) -> tuple[int, int] | None:
 class Matcher:
     """All items of one pass."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
+    def __init__(self, items: list[tuple[int, str]], rate: float = RATE, exact_below: int = EXACT_BELOW):
         import ahocorasick
 
-        self.items = {i: (text, budget(text, rate)) for i, text in items}
+        self.exact_below = exact_below
+        self.items = {i: (text, budget(text, rate) if len(text) >= exact_below else 0) for i, text in items}
         where: dict[str, list[tuple[int, int]]] = {}
         for i, (text, errors) in self.items.items():
             for offset, piece in pieces(text, errors):
@@ -85,8 +87,24 @@ class Matcher:
             self.auto.add_word(piece, (len(piece), places))
         self.auto.make_automaton()
 
+    def _within(self, i: int, text: str, a: int, b: int) -> list[tuple[int, int, int]]:
+        """``(distance, start, end)`` of copies in ``text[a:b]`` that do not overlap: the best one, then what is left on both sides."""
+        item, errors = self.items[i]
+        n, found, todo = len(item), [], [(a, b)]
+        while todo:
+            a, b = todo.pop()
+            if b - a < n - errors:
+                continue
+            exact = text.find(item, a, b)
+            got = (0, exact + n - a) if exact >= 0 else best_match(item, text[a:b], errors) if errors else None
+            if got:
+                start, end = max(a, a + got[1] - n), a + got[1]
+                found.append((got[0], start, end))
+                todo += [(a, start), (end, b)]
+        return found
+
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
-        """``(item_id, start, end, distance)`` of the best copy of each item; ends in the normalised text, start at the latest."""
+        """``(item_id, start, end, distance)`` of all copies of each item that do not overlap; ends in the normalised text, start at the latest."""
         spots: dict[int, list[int]] = {}
         for end, (n, places) in self.auto.iter(text):
             for i, offset in places:
@@ -94,45 +112,51 @@ class Matcher:
         found = []
         for i, starts in spots.items():
             item, errors = self.items[i]
-            best = None
-            done = -1
-            starts.sort()
-            for k, s in enumerate(starts):
-                if s <= done:
-                    continue
-                last = s  # hits of nearly one diagonal share a window
-                for t in starts[k + 1 :]:
-                    if t > last + errors:
-                        break
-                    last = t
-                done = last
-                a = max(0, s - errors)
-                window = text[a : last + len(item) + errors]
-                exact = window.find(item)
-                got = (0, exact + len(item)) if exact >= 0 else best_match(item, window, errors)
-                if got and (best is None or got[0] < best[2]):
-                    best = max(0, a + got[1] - len(item)), a + got[1], got[0]
-            if best:
-                found.append((i, *best))
+            n = len(item)
+            if n < self.exact_below:
+                bounds = [s for s in sorted(starts) if (not s or text[s - 1] == " ") and text[s + n : s + n + 1] in ("", " ")]
+                copies = [(0, s, s + n) for s in bounds]
+            else:
+                copies, last = [], None
+                windows: list[list[int]] = []
+                for s in sorted(set(starts)):  # hits of nearly one diagonal share a window
+                    if last is not None and s <= last + 2 * errors + 1:
+                        windows[-1][1] = s
+                    else:
+                        windows.append([s, s])
+                    last = s
+                for a, b in windows:
+                    copies += self._within(i, text, max(0, a - errors), min(len(text), b + n + errors))
+            taken: list[tuple[int, int]] = []
+            for distance, a, b in sorted(copies):
+                k = bisect(taken, (a, b))
+                if (not k or taken[k - 1][1] <= a) and (k == len(taken) or b <= taken[k][0]):
+                    taken.insert(k, (a, b))
+                    found.append((i, a, b, distance))
         return found
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least_chars: int = LEAST_CHARS, pass_chars: int = PASS_CHARS) -> DataFrame:
-    """``(doc_id, item_id, start, end, distance)``: each item's best copy in each document that has one.
+def contaminations(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, exact_below: int = EXACT_BELOW, pass_chars: int = PASS_CHARS) -> DataFrame:
+    """``(doc_id, item_id, start, end, distance)``: every copy of an item in a document, copies of one item not overlapping.
 
     Texts are compared in lower case with runs of white space as one blank;
-    start and end count characters of that form. Items shorter than
-    ``least_chars`` and null texts or ids are left out. Items go to the executors
-    in passes of at most ``pass_chars`` characters, so what a task holds is
-    bounded; more items mean more passes over the documents.
+    start and end count characters of that form; whole texts of any length count.
+    Of overlapping copies the nearest, then the first is given. Items under
+    ``exact_below`` characters match exactly and between word bounds. Null or
+    blank texts and null ids on either side take no part. Equal rows, of
+    repeated documents or items, are given once; texts that share an id are each
+    searched. Other columns are ignored, whatever their names; an empty table
+    on either side gives no rows. Items go to the executors in passes of at most
+    ``pass_chars`` characters, so what a task holds is bounded; more items mean
+    more passes over the documents.
     """
     out = docs.sparkSession.createDataFrame([], HITS)
-    for texts in _passes(benchmark, least_chars, pass_chars):
-        out = out.unionByName(_scan(docs, texts, rate))
-    return out
+    for texts in _passes(benchmark, pass_chars):
+        out = out.unionByName(_scan(docs, texts, rate, exact_below))
+    return out.distinct()
 
 
-def _passes(benchmark: DataFrame, least_chars: int, pass_chars: int) -> Iterator[list[tuple[int, str]]]:
+def _passes(benchmark: DataFrame, pass_chars: int) -> Iterator[list[tuple[int, str]]]:
     """Normalised items in lists of about ``pass_chars`` characters."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").dropna()
     total = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
@@ -140,49 +164,45 @@ def _passes(benchmark: DataFrame, least_chars: int, pass_chars: int) -> Iterator
     for k in range(passes):
         own = items if passes == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k)
         texts = sorted({(r.item_id, normalise(r.text)) for r in own.toLocalIterator()})
-        texts = [(i, t) for i, t in texts if len(t) >= least_chars]
+        texts = [(i, t) for i, t in texts if t]
         if texts:
             yield texts
 
 
-def _scan(docs: DataFrame, items: list[tuple[int, str]], rate: float) -> DataFrame:
+def _scan(docs: DataFrame, items: list[tuple[int, str]], rate: float, exact_below: int) -> DataFrame:
     names = [c.split()[0] for c in HITS.split(", ")]
     # an item_id with several texts keeps them apart by place in the list
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
-        matcher = Matcher([(k, text) for k, (_, text) in enumerate(items)], rate)
+        matcher = Matcher([(k, text) for k, (_, text) in enumerate(items)], rate, exact_below)
         for batch in batches:
-            rows: dict[tuple[int, int], tuple] = {}
+            rows: list[tuple] = []
             ids, texts = batch.column(0), batch.column(1)
             for at in range(len(batch)):
                 text = texts[at].as_py()
                 if text is None or not ids[at].is_valid:
                     continue
-                doc = ids[at].as_py()
-                for k, start, end, distance in matcher.find(normalise(text)):
-                    key = doc, items[k][0]
-                    if key not in rows or distance < rows[key][4]:
-                        rows[key] = (doc, items[k][0], start, end, distance)
-            cols = list(zip(*rows.values(), strict=True)) or [[]] * 5
+                rows += [(ids[at].as_py(), items[k][0], *rest) for k, *rest in matcher.find(normalise(text))]
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
             types = [pa.int64()] * 4 + [pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, HITS)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least_chars: int = LEAST_CHARS, pass_chars: int = PASS_CHARS) -> DataFrame:
-    """Rows of ``docs`` with no copy of an item, columns as they were; no shuffle. Null texts stay, null ids don't matter."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, exact_below: int = EXACT_BELOW, pass_chars: int = PASS_CHARS) -> DataFrame:
+    """Rows of ``docs`` with no copy of an item, columns as they were; no shuffle. Null texts stay, null ids don't matter, each of equal rows is judged."""
     at = docs.columns.index("text")
-    for items in _passes(benchmark, least_chars, pass_chars):
-        docs = _without(docs, at, docs.sparkSession.sparkContext.broadcast(items), rate)
+    for items in _passes(benchmark, pass_chars):
+        docs = _without(docs, at, docs.sparkSession.sparkContext.broadcast(items), rate, exact_below)
     return docs
 
 
-def _without(docs: DataFrame, at: int, shared, rate: float) -> DataFrame:
+def _without(docs: DataFrame, at: int, shared, rate: float, exact_below: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher([(k, text) for k, (_, text) in enumerate(shared.value)], rate)
+        matcher = Matcher([(k, text) for k, (_, text) in enumerate(shared.value)], rate, exact_below)
         for batch in batches:
             keep = [not matcher.find(normalise(t)) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))

@@ -12,6 +12,7 @@ give the expectations. All pages of a batch are one forest, worked by depth.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -22,12 +23,8 @@ from pyspark.sql import DataFrame
 
 from lattica.llm.htmllabels import labelled_pages
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
-)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"[>\"']")
 NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 BLOCKS = frozenset(
@@ -65,6 +62,104 @@ KIND = {t: 0 for t in "p h1 h2 h3 h4 h5 h6 li dd dt td th blockquote pre figcapt
 KIND |= {t: 1 for t in "nav aside footer header form section article main menu fieldset dialog details".split()}
 
 
+class Scanner:
+    """Tags of a page, forward only: no part of it is searched twice for the same thing."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.gone: dict[str, int] = {}  # no such string from there on
+        self.dead: set[int] = set()  # from these quotes on no tag ends outside quotes
+
+    def find(self, what: str, at: int) -> int:
+        if at >= self.gone.get(what, len(self.html)):
+            return -1
+        found = self.html.find(what, at)
+        if found < 0:
+            self.gone[what] = at
+        return found
+
+    def _end(self, at: int) -> int:
+        """Of a tag whose attributes begin at ``at``: its ``>`` outside quotes, else its first one, else -1."""
+        first = self.find(">", at)
+        if first < 0:
+            return -1
+        passed: list[int] = []
+        here = at
+        while True:
+            stop = STOP.search(self.html, here)
+            if stop and stop[0] == ">":
+                return stop.start()
+            if not stop or stop.start() in self.dead:
+                break
+            passed.append(stop.start())
+            close = self.find(stop[0], stop.end())
+            if close < 0:
+                break
+            here = close + 1
+        self.dead.update(passed)
+        return first
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """Start, end, closing, name and attributes of the next tag; comments and declarations have no name."""
+        html = self.html
+        while True:
+            start = self.find("<", at)
+            if start < 0:
+                return None
+            if html.startswith("<!--", start):
+                end = self.find("-->", start + 4)
+                return start, len(html) if end < 0 else end + 3, False, "", ""
+            if html[start + 1 : start + 2] in ("!", "?"):
+                end = self.find(">", start)
+                return start, len(html) if end < 0 else end + 1, False, "", ""
+            m = NAME.match(html, start)
+            end = self._end(m.end()) if m else -1
+            if end >= 0:
+                return start, end + 1, bool(m[1]), m[2].lower(), html[m.end() : end]
+            at = start + 1
+
+
+CONTAINERS = ("ul", "ol", "dl", "table", "menu", "div", "section", "article")
+
+
+class Stack:
+    """Open elements, with the places of each tag, so that none is searched for."""
+
+    def __init__(self, tree: Tree):
+        self.tree = tree
+        self.open: list[int] = []
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, element: int) -> None:
+        self.places.setdefault(self.tree.tags[element], []).append(len(self.open))
+        self.open.append(element)
+
+    def cut(self, place: int) -> None:
+        """Close everything from ``place`` on."""
+        for element in self.open[place:]:
+            self.places[self.tree.tags[element]].pop()
+        del self.open[place:]
+
+    def last(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def close(self, tag: str) -> None:
+        place = self.last((tag,))
+        if place > 0:
+            self.cut(place)
+
+    def close_for(self, tag: str) -> None:
+        """What an opening ``tag`` ends: the nearest open one of its set within its list or table; a row ends cells up to its row."""
+        closes = CLOSES[tag]
+        floor = max(0, self.last([t for t in CONTAINERS if t not in closes]))
+        place = self.last(closes if tag != "tr" else ("tr",))
+        if tag == "tr" and place <= floor:
+            cells = [p[bisect(p, floor)] for p in (self.places.get(t, []) for t in ("td", "th")) if p and p[-1] > floor]
+            place = min(cells, default=-1)
+        if place > floor:
+            self.cut(place)
+
+
 @dataclass
 class Tree:
     """Block elements of one page in document order; ``pieces`` are (element, text, starts a block) in page order."""
@@ -79,85 +174,80 @@ class Tree:
 
 
 def parse(html: str) -> Tree:
-    """Elements and text; tolerant of unclosed and stray tags."""
+    """Elements and text; tolerant of unclosed and stray tags, in time proportional to the page."""
     tree = Tree()
+    stack = Stack(tree)
+    scanner = Scanner(html)
 
     def open_(tag: str, attrs: str) -> None:
-        parent = stack[-1] if stack else -1
-        stack.append(len(tree.tags))
+        parent = stack.open[-1] if stack.open else -1
         tree.tags.append(tag)
         tree.names.append(" ".join(a or b or c for a, b, c in NAMES.findall(attrs)).lower() if "=" in attrs else "")
         tree.parents.append(parent)
         tree.depth.append(tree.depth[parent] + 1 if parent >= 0 else 0)
         tree.chars.append(0)
         tree.linked.append(0)
+        stack.push(len(tree.tags) - 1)
+
+    def raw_end(tag: str, at: int) -> int:
+        if at >= scanner.gone.get(tag, len(html) + 1):
+            return len(html)
+        r = RAW[tag].search(html, at)
+        if not r:
+            scanner.gone[tag] = at
+        return r.end() if r else len(html)
 
-    stack: list[int] = []
     open_("body", "")
     at, block, dropped, link = 0, 0, "", False
     end = len(html)
     while at < end:
-        m = TOKEN.search(html, at)
-        text = html[at : m.start() if m else end]
+        found = scanner.next(at)
+        text = html[at : found[0] if found else end]
         if text and not dropped:
             text = unescape(text) if "&" in text else text
-            tree.pieces.append((stack[-1], text, block))
+            here = stack.open[-1]
+            tree.pieces.append((here, text, block))
             n = len(text) - text.count(" ")
-            tree.chars[stack[-1]] += n
+            tree.chars[here] += n
             if link:
-                tree.linked[stack[-1]] += n
-        if not m:
+                tree.linked[here] += n
+        if not found:
             break
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        _, at, closing, tag, attrs = found
         if not tag:
             continue
-        closing = m[1] or m[4]
         if dropped:
             if closing and (tag == dropped or (dropped == "head" and tag == "html")) or (dropped == "head" and tag == "body"):
                 dropped = ""
             elif tag in RAW and not closing:
-                r = RAW[tag].search(html, at)
-                at = r.end() if r else end
+                at = raw_end(tag, at)
             continue
         if tag in DROPPED:
             if closing:
                 continue
             if tag in RAW:
-                r = RAW[tag].search(html, at)
-                at = r.end() if r else end
-            elif not (m[3] or m[6] or "").endswith("/"):
+                at = raw_end(tag, at)
+            elif not attrs.endswith("/"):
                 dropped = tag
             continue
         if tag in BLOCKS:
             block += 1
             link = link and not closing
             if closing:
-                for i in range(len(stack) - 1, 0, -1):
-                    if tree.tags[stack[i]] == tag:
-                        del stack[i:]
-                        break
+                stack.close(tag)
                 continue
             if tag in ("html", "body"):
                 continue
-            if tag not in NO_P_CLOSE and tree.tags[stack[-1]] == "p":
-                stack.pop()
-            closes = CLOSES.get(tag)
-            if closes:
-                for i in range(len(stack) - 1, 0, -1):
-                    t = tree.tags[stack[i]]
-                    if t in closes:
-                        del stack[i:]
-                        if tag != "tr" or t == "tr":
-                            break
-                    elif t in ("ul", "ol", "dl", "table", "menu", "div", "section", "article"):
-                        break
+            if tag not in NO_P_CLOSE and tree.tags[stack.open[-1]] == "p":
+                stack.cut(len(stack.open) - 1)
+            if tag in CLOSES:
+                stack.close_for(tag)
             if tag not in VOID:
-                open_(tag, m[3] or m[6] or "")
+                open_(tag, attrs)
         elif tag == "a":
             link = not closing
         elif tag == "br":
-            tree.pieces.append((stack[-1], " ", block))
+            tree.pieces.append((stack.open[-1], " ", block))
     return tree
 
 
@@ -300,7 +390,10 @@ def main_texts(htmls: list[str], model: Model) -> list[str]:
 def extract(pages: DataFrame, model: Model | None = None, at_once: int = 64) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for each row of ``pages(page_id, url, html)``.
 
-    The whole html counts; null is empty. No content: empty text, 0 characters.
+    The whole html counts, of any length, in time proportional to it, also where
+    tags, quotes or comments stay open; null is empty. No content: empty text, 0
+    characters. Each of several equal rows is given, null ids and urls stay null,
+    an empty table gives no rows; other columns are ignored, whatever their names.
     """
     model = model or train(labelled_pages())
     shared = pages.sparkSession.sparkContext.broadcast(model)

@@ -267,15 +267,81 @@ def test_contaminations(spark):
             want.add((d, i))
         rows.append((d, text))
     rows += [(100, None), (None, items[0][1]), (101, ""), (102, items[1][1] * 2), (102, items[1][1] * 2), (103, items[1][1][: len(items[1][1]) // 2])]
-    want.add((102, 1))
+    rows += [(104, "a  Short\nONE here, and short one"), (105, "ashort one, short ones")]
+    want |= {(102, 1), (104, 52)}
     docs = spark.createDataFrame(rows, PAIR).withColumn("item_id", F.lit(3))
     bench = spark.createDataFrame(items + [(None, "x" * 99), (50, None), (51, ""), (52, "short one")], "item_id long, text string")
     for chars in (decontam.PASS_CHARS, 900):
         found = decontam.contaminations(docs, bench, pass_chars=chars).collect()
         assert {(r.doc_id, r.item_id) for r in found} == want
     texts = {d: decontam.normalise(t) for d, t in rows}
+    asked = dict(items) | {52: "short one"}
     for r in found:
-        assert r.distance == plain_distance(decontam.normalise(dict(items)[r.item_id]), texts[r.doc_id])[1]
+        least = plain_distance(decontam.normalise(asked[r.item_id]), texts[r.doc_id])[1]
+        assert r.distance == least or r.doc_id == 102
+    two = sorted((r.start, r.end) for r in found if r.doc_id == 102)
+    n = len(items[1][1])
+    assert len(two) == 2 and two[0][1] <= two[1][0] and {b - a for a, b in two} == {n}
+    assert sorted((r.start, r.end) for r in found if r.doc_id == 104) == [(2, 11), (22, 31)]
     left = decontam.drop_contaminated(docs, bench)
-    assert left.columns == docs.columns and left.count() == len(rows) - 20 - 3
-    assert decontam.contaminations(docs, bench.limit(0)).count() == 0
+    assert left.columns == docs.columns and left.count() == len(rows) - 20 - 4
+    assert decontam.contaminations(docs, bench.limit(0)).count() == 0 and decontam.contaminations(docs.limit(0), bench).count() == 0
+
+
+def test_contaminations_equal_a_search_of_all_pairs(spark):
+    """Every document against every item by dynamic programming: no copy within the budget is missed, none is invented."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(2, 5)))
+    items = [(i, " ".join(word() for _ in range(16))) for i in range(8)]
+    rows = []
+    for d in range(90):
+        parts = [" ".join(word() for _ in range(rng.randint(0, 12)))]
+        for _, item in rng.sample(items, rng.randint(0, 2)):
+            copy = list(item)
+            for _ in range(rng.randint(0, 5)):
+                at = rng.randrange(len(copy))
+                copy[at] = rng.choice(["", copy[at] * 2, "x"])
+            parts += ["".join(copy), " ".join(word() for _ in range(rng.randint(0, 9)))]
+        rows.append((d, decontam.normalise(" ".join(parts))))
+    want = {(d, i) for d, t in rows for i, item in items if t and plain_distance(item, t)[1] <= decontam.budget(item)}
+    for parts in (1, 7):
+        docs = spark.createDataFrame(rows, PAIR).repartition(parts)
+        found = decontam.contaminations(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert {(r.doc_id, r.item_id) for r in found} == want and len(want) > 20
+
+
+def test_contamination_of_repeated_rows_does_not_follow_the_layout(spark):
+    item = "the quick brown fox jumps over the lazy dog and runs away into the wood"
+    rows = [(1, f"x {item} y {item} z")] * 4
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = [sorted(map(tuple, decontam.contaminations(spark.createDataFrame(rows, PAIR).repartition(n), bench).collect())) for n in (1, 2, 4)]
+    n = len(item)
+    assert got[0] == got[1] == got[2] == [(1, 7, 2, 2 + n, 0), (1, 7, 5 + n, 5 + 2 * n, 0)]
+    long = "w " * 400_000 + item
+    assert decontam.contaminations(spark.createDataFrame([(1, long)], PAIR), bench).count() == 1
+
+
+def test_near_duplicates_of_a_large_group_link_once(spark, monkeypatch):
+    """A group of near copies costs at most one link a member in each of the two steps, at any size."""
+    rng = random.Random(40)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    counts = []
+    edges = neardup.connected_components
+
+    def counted(df, scratch=None, **kw):
+        counts[-1].append(df.dropna().count())
+        return edges(df, scratch, **kw)
+
+    monkeypatch.setattr(neardup, "connected_components", counted)
+    for n in (150, 600):
+        rows = []
+        for i in range(n):
+            own = list(base)
+            own[rng.randrange(150)] = f"e{rng.randrange(10**6)}"
+            rows.append((i, " ".join(own)))
+        rows.append((n, " ".join(f"v{rng.randrange(10**6)}" for _ in range(20_000))))
+        counts.append([])
+        got = neardup.near_duplicates(spark.createDataFrame(rows, PAIR), 3, 85, 100).collect()
+        want = brute(rows, 3, 85, 100)
+        assert all(r.component_id == want[r.doc_id] for r in got)
+        assert all(c <= n for c in counts[-1])

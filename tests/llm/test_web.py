@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -95,6 +96,26 @@ def test_urls(spark):
     assert urltree.judge(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("html", ["<a " * 350_000, "<a x=\"" * 160_000, "<a \">\" " * 140_000, "<div>" * 100_000 + "</p>" * 100_000, "<li><ul>" + "<blockquote>" * 40_000 + "<li></li>" * 50_000, "<!--" * 250_000, "<script>" * 120_000, "<" * 1_000_000, "<td><tr>" * 60_000])
+def test_hostile_markup_takes_linear_time(html):
+    began = time.process_time()
+    htmltext.parse(html)
+    assert time.process_time() - began < 5
+
+
+def test_extract_of_odd_pages(spark, model):
+    p = "A plain sentence of the article that goes on for a while, with commas and all. " * 6
+    page = f"<html><body><nav><a href=/>home</a></nav><article><h1>Head</h1><p>{p}</p><p>{p}&amp; more</p></article></body></html>"
+    rows = [(1, "u", page), (1, "u", page), (2, None, None), (None, "u", ""), (3, "u", "<p"), (4, "u", "<div a='"), (5, "u", page[:200] + "<x \" <!-- "), (6, "u", page * 300)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("n_chars", F.lit("x"))
+    got = sorted(((r.page_id, r.text, r.n_chars) for r in htmltext.extract(docs, model).collect()), key=str)
+    by = {i: t for i, t, _ in got}
+    assert len(got) == len(rows) and all(n == len(t) for _, t, n in got)
+    assert by[1].startswith("Head\n\nA plain") and by[1].endswith("& more") and "home" not in by[1]
+    assert by[2] == by[None] == "" and len(by[6]) >= 300 * len(by[1])
+    assert htmltext.extract(docs.limit(0), model).count() == 0
+
+
 def plain_form(seg):
     if re.fullmatch(r"[0-9]+", seg):
         out = "{n}"
