@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lattica.llm.columns import fresh
 from lattica.llm.textbytes import BASE, U, Block, blocks, mix, powers, release, words
@@ -119,31 +119,31 @@ def repeated_spans(docs: DataFrame, sentences: int = SENTENCES, least_words: int
 
     Null texts or ids have none. Rows that share a doc_id are one document, whose
     texts each keep what is first in it. Equal texts repeat each other: all but
-    the least doc_id lose every sentence in a run.
+    the least doc_id lose every sentence in a run. Texts of any length count
+    whole; an empty table has no spans; other columns are ignored, whatever their names.
     """
-    found = sentence_runs(docs, sentences, least_words)
+    scratch = Scratch(docs.sparkSession)
+    # written, so that texts are read once and the join can split a large key
+    found = scratch.keep(sentence_runs(docs, sentences, least_words), "runs")
     key = ["hash_a", "hash_b"]
     shared = found.groupBy(*key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("again").alias("any_again"))
-    shared = shared.filter("last > first or any_again").select(*key, "first")
-    shared = Scratch(docs.sparkSession).keep(shared, "shared")  # written, so that the join can split a large key
-    gone = found.join(shared, key).filter("doc_id > first or again").select("doc_id", "start", "end")
-    per_doc = gone.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    return per_doc.select("doc_id", F.inline(F.aggregate("spans", empty, _merge)))
-
-
-def _merge(done, span):
-    """Add a span to the merged ones; spans come by start."""
-    top = F.element_at(done, -1)
-    joined = F.struct(top["start"].alias("start"), F.greatest(top["end"], span["end"]).alias("end"))
-    touches = (F.size(done) > 0) & (span["start"] <= F.try_element_at(done, F.lit(-1))["end"])
-    return F.when(touches, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(span)))
+    shared = scratch.keep(shared.filter("last > first or any_again").select(*key, "first"), "shared")
+    gone = scratch.keep(found.join(shared, key).filter("doc_id > first or again").select("doc_id", "start", "end"), "gone")
+    scratch.drop(found)
+    scratch.drop(shared)
+    # one exchange: spans meet by document, each merges with those before that reach it
+    spans = gone.repartition("doc_id").groupBy("doc_id", "start").agg(F.max("end").alias("end"))
+    by_start = Window.partitionBy("doc_id").orderBy("start")
+    reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(by_start))
+    return spans.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("doc_id", "start", "end")
 
 
 def remove_repeats(docs: DataFrame, sentences: int = SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with covered sentences cut out of ``text``; all rows and columns stay, ``n_chars`` follows the text if there is one.
 
     White space left around a cut becomes one line break; a text cut whole is empty.
+    Null texts and ids stay as they are, an empty table stays empty, columns may have any names.
     """
     key, cuts = fresh(docs, "key", "cuts")
     spans = repeated_spans(docs, sentences, least_words).groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start", "end")).alias(cuts))
