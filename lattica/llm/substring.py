@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lattica.llm.columns import fresh
 from lattica.llm.textbytes import BASE, U, Block, blocks, mix, powers, release, words
@@ -122,21 +122,33 @@ def repeated_spans(docs: DataFrame, sentences: int = SENTENCES, least_words: int
     the least doc_id lose every sentence in a run. Texts of any length count
     whole; an empty table has no spans; other columns are ignored, whatever their names.
     """
-    scratch = Scratch(docs.sparkSession)
-    # written, so that texts are read once and the join can split a large key
-    found = scratch.keep(sentence_runs(docs, sentences, least_words), "runs")
+    found = sentence_runs(docs, sentences, least_words)
     key = ["hash_a", "hash_b"]
     shared = found.groupBy(*key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("again").alias("any_again"))
-    shared = scratch.keep(shared.filter("last > first or any_again").select(*key, "first"), "shared")
-    gone = scratch.keep(found.join(shared, key).filter("doc_id > first or again").select("doc_id", "start", "end"), "gone")
-    scratch.drop(found)
-    scratch.drop(shared)
-    # one exchange: spans meet by document, each merges with those before that reach it
-    spans = gone.repartition("doc_id").groupBy("doc_id", "start").agg(F.max("end").alias("end"))
-    by_start = Window.partitionBy("doc_id").orderBy("start")
-    reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    spans = spans.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(by_start))
-    return spans.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("doc_id", "start", "end")
+    shared = shared.filter("last > first or any_again").select(*key, "first")
+    shared = Scratch(docs.sparkSession).keep(shared, "shared")  # written, so that the join can split a large key
+    gone = found.join(shared, key).filter("doc_id > first or again").select("doc_id", "start", "end")
+    per_doc = gone.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    return per_doc.mapInArrow(_merged, "doc_id long, start int, end int")
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of each document that touch become one."""
+    for batch in batches:
+        spans = batch.column(1)
+        flat = spans.flatten()
+        doc = np.repeat(np.arange(len(batch)), np.diff(spans.offsets.to_numpy()))
+        start, end = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+        order = np.lexsort((start, doc))
+        base = doc[order] << 32  # places of later documents lie beyond all of earlier ones
+        start, end = start[order] + base, end[order] + base
+        reach = np.maximum.accumulate(end)
+        first = np.flatnonzero(np.append(True, start[1:] > reach[:-1])) if len(start) else np.zeros(0, np.int64)
+        last = np.append(first[1:], len(start)) - 1 if len(start) else first
+        ids = batch.column(0).take(pa.array(start[first] >> 32))
+        places = [pa.array(x.astype(np.int32)) for x in (start[first] & 0xFFFFFFFF, reach[last] & 0xFFFFFFFF)]
+        yield pa.RecordBatch.from_arrays([ids, *places], ["doc_id", "start", "end"])
+    release()
 
 
 def remove_repeats(docs: DataFrame, sentences: int = SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
