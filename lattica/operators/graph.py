@@ -71,7 +71,8 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None, max_r
     both = ends.select("src", "dst", F.explode(F.array(F.lit(False), F.lit(True))).alias("_turn"))
     turned = F.when(F.col("_turn"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))).otherwise(F.struct("src", "dst"))
     both = scratch.keep(both.select(turned.alias("_e")).select("_e.*").distinct(), "both")
-    labels = scratch.keep(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("src")).alias("component")), "labels")
+    n = both.count()
+    labels = scratch.keep(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("src")).alias("component")), "labels", n)
     for _ in range(max_rounds):
         heard = (
             both.join(labels.withColumnRenamed("node", "src"), "src")
@@ -79,10 +80,10 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None, max_r
             .agg(F.min("component").alias("heard"))
         )
         lower = labels.join(heard, "node").select("node", F.least("component", "heard").alias("component"), F.col("component").alias("old"))
-        lower = scratch.keep(lower, "lower")
+        lower = scratch.keep(lower, "lower", n)
         root = lower.select(F.col("node").alias("component"), F.col("component").alias("root"))
         jumped = scratch.keep(
-            lower.join(root, "component").select("node", F.col("root").alias("component"), (F.col("root") < F.col("old")).alias("moved")), "labels"
+            lower.join(root, "component").select("node", F.col("root").alias("component"), (F.col("root") < F.col("old")).alias("moved")), "labels", n
         )
         moved = not jumped.filter("moved").isEmpty()
         scratch.drop(labels)

@@ -37,6 +37,10 @@ def delete(spark: SparkSession, path: str) -> None:
     system.delete(target, True)
 
 
+#: Rows of a file and task where the number of rows is known.
+FILE_ROWS = 200_000
+
+
 class Scratch:
     """Tables of one operator call: ``keep`` writes one and reads it back.
 
@@ -52,9 +56,15 @@ class Scratch:
         system.deleteOnExit(target)
         self._n = 0
 
-    def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Write ``df`` as Parquet in the shared folder and return the written table."""
+    def keep(self, df: DataFrame, name: str = "t", rows: int | None = None) -> DataFrame:
+        """Write ``df`` as Parquet in the shared folder and return the written table.
+
+        With ``rows``, about how many narrow rows it has, a small table is made by few tasks and
+        written in few files, ``FILE_ROWS`` rows in each; every file costs its executor a start of a process.
+        """
         self._n += 1
+        if rows is not None:
+            df = df.coalesce(1 + rows // FILE_ROWS)
         path = f"{self.path}/{self._n:04d}-{name}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
