@@ -185,16 +185,17 @@ def _chunked(rows: DataFrame, group: str, payload: DataFrame, chunk: int, parts:
     chunks of its own, which are not paired with each other; rows of smaller labels are dealt by hash. A group of
     one chunk is worked whole. Sorted by group and pair in partitions.
     """
+    count = rows.count()
     whole = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > chunk)
-    whole = scratch.keep(whole.select(group, F.ceil(F.col("n") / chunk).cast("int").alias("pool")), "many")
-    split = scratch.keep(rows.join(whole, group), "split")
+    whole = scratch.keep(whole.select(group, F.ceil(F.col("n") / chunk).cast("int").alias("pool")), "many", count)
+    split = scratch.keep(rows.join(whole, group), "split", count)
     large = split.groupBy(group, "label").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * 2 > chunk)
-    large = scratch.keep(large.select(group, "label", F.ceil(F.col("n") / chunk).cast("int").alias("own")), "large")
+    large = scratch.keep(large.select(group, "label", F.ceil(F.col("n") / chunk).cast("int").alias("own")), "large", count)
     at = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.coalesce("own", "pool")).cast("int")
     series = F.when(F.col("own").isNotNull(), F.col("label"))
     dealt = split.join(large, [group, "label"], "left").select(group, "label", "doc_id", F.struct(series.alias("s"), at.alias("c")).alias("x"))
-    dealt = scratch.keep(dealt, "dealt")
-    lists = scratch.keep(dealt.select(group, "x").distinct().groupBy(group).agg(F.collect_list("x").alias("chunks")), "chunks")
+    dealt = scratch.keep(dealt, "dealt", count)
+    lists = scratch.keep(dealt.select(group, "x").distinct().groupBy(group).agg(F.collect_list("x").alias("chunks")), "chunks", count)
     apart = lambda c: (c != F.col("x")) & ~F.coalesce(c["s"] == F.col("x.s"), F.lit(False))
     others = F.filter("chunks", apart)
     # a chunk that meets no other is worked alone, unless it holds one label
@@ -298,10 +299,11 @@ def leader_edges(pairs: DataFrame, sets: DataFrame, num: int, den: int, parts: i
     Classes of one leader are dealt into chunks, the leader's set once to each chunk.
     """
     chunk = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.ceil(F.col("_n") / CLUSTER_CHUNK)).cast("int")
-    sizes = scratch.keep(pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("_n")), "led")
-    dealt = scratch.keep(pairs.join(sizes, "leader").select("leader", chunk.alias("_chunk"), "doc_id"), "dealt")
+    n = pairs.count()
+    sizes = scratch.keep(pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("_n")), "led", n)
+    dealt = scratch.keep(pairs.join(sizes, "leader").select("leader", chunk.alias("_chunk"), "doc_id"), "dealt", n)
     heads = dealt.select("leader", "_chunk").distinct().select("leader", "_chunk", F.col("leader").alias("doc_id"))
-    rows = scratch.keep(dealt.unionByName(heads), "rows").join(sets, "doc_id").select("leader", "_chunk", "doc_id", "shingles")
+    rows = scratch.keep(dealt.unionByName(heads), "rows", 2 * n).join(sets, "doc_id").select("leader", "_chunk", "doc_id", "shingles")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, 2):
@@ -333,11 +335,12 @@ def leader_edges(pairs: DataFrame, sets: DataFrame, num: int, den: int, parts: i
 def _pairs_with_leaders(met: DataFrame, classes: DataFrame, match: int, scratch: Scratch) -> DataFrame:
     """``(doc_id, leader)`` of ``met(key, doc_id, leader)``: for each class the bucket leader it collides with most often in
     its prefix, if ``match`` times in all. One row a class at most."""
+    n = classes.count()
     shared = met.filter("doc_id != leader").groupBy("doc_id", "leader").agg(F.count(F.lit(1)).alias("n"))
     best = F.max_by("leader", F.struct("n", F.xxhash64("leader", F.lit(13)), "leader"))
-    pairs = scratch.keep(shared.groupBy("doc_id").agg(best.alias("leader")), "proposed")
+    pairs = scratch.keep(shared.groupBy("doc_id").agg(best.alias("leader")), "proposed", n)
     sig = classes.select("doc_id", "sig")
-    pairs = scratch.keep(pairs.join(sig, "doc_id").select("doc_id", "leader", F.col("sig").alias("own")), "own")
+    pairs = scratch.keep(pairs.join(sig, "doc_id").select("doc_id", "leader", F.col("sig").alias("own")), "own", n)
     pairs = pairs.join(sig.select(F.col("doc_id").alias("leader"), "sig"), "leader")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,7 +351,7 @@ def _pairs_with_leaders(met: DataFrame, classes: DataFrame, match: int, scratch:
         release()
 
     pairs = pairs.select("doc_id", "leader", "own", "sig").mapInArrow(work, "doc_id long, leader long")
-    return scratch.keep(pairs, "pairs")
+    return scratch.keep(pairs, "pairs", n)
 
 
 def _same_document(signed: DataFrame, able: DataFrame, classes: DataFrame) -> DataFrame:
@@ -392,8 +395,9 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, num: int = 80,
     scratch.drop(frequent)
     order = F.struct(F.xxhash64("doc_id", F.lit(13)), "doc_id")
     heads = first.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(order).alias("l")).filter("n > 1")
-    heads = scratch.keep(heads.select("key", F.col("l.doc_id").alias("leader")), "heads")
-    met = scratch.keep(first.join(heads, "key"), "met")
+    posts, many = first.count(), classes.count()
+    heads = scratch.keep(heads.select("key", F.col("l.doc_id").alias("leader")), "heads", posts)
+    met = scratch.keep(first.join(heads, "key"), "met", posts)
     scratch.drop(first)
 
     def sets_of(ids: DataFrame) -> DataFrame:
@@ -406,23 +410,23 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, num: int = 80,
     labels = connected_components(links, scratch).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
 
     labelled = met.select("key", "doc_id").join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    labelled = scratch.keep(labelled, "labelled")
+    labelled = scratch.keep(labelled, "labelled", posts)
     scratch.drop(met)
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    labelled = scratch.keep(labelled.join(scratch.keep(mixed.select("key"), "mixed"), "key"), "apart")
+    labelled = scratch.keep(labelled.join(scratch.keep(mixed.select("key"), "mixed", posts), "key"), "apart", posts)
     found = scratch.keep(meeting(labelled, sig, match, parts, scratch), "meeting")
-    flagged = scratch.keep(found.select("doc_id").dropna().distinct(), "flagged")
+    flagged = scratch.keep(found.select("doc_id").dropna().distinct(), "flagged", many)
     clusters = connected_components(found.select("src", "dst"), scratch)
     clusters = clusters.select(F.col("node").alias("label"), F.col("component").alias("cluster"))
     flagged = flagged.join(labels, "doc_id", "left").select("doc_id", F.coalesce("label", "doc_id").alias("label"))
-    flagged = scratch.keep(scratch.keep(flagged, "flagged").join(clusters, "label"), "clusters")
+    flagged = scratch.keep(scratch.keep(flagged, "flagged", many).join(clusters, "label"), "clusters", many)
     links = confirmed_edges(flagged, sets_of(flagged.select("doc_id")), num, den, parts, scratch)
-    links = scratch.keep(links.distinct(), "links")
+    links = scratch.keep(links.distinct(), "links", many)
 
     joined = connected_components(links, scratch).select(F.col("node").alias("label"), "component")
     named = classes.select("set_a", "set_b", "doc_id").join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    named = scratch.keep(named, "named").join(joined, "label", "left")
-    named = scratch.keep(named.select("set_a", "set_b", F.coalesce("component", "label").alias("component")), "components")
+    named = scratch.keep(named, "named", many).join(joined, "label", "left")
+    named = scratch.keep(named.select("set_a", "set_b", F.coalesce("component", "label").alias("component")), "components", many)
     out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
     reach = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", reach.alias("component_id"))
