@@ -9,14 +9,15 @@ levels. Factors are a written table and can be solved with again.
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lattica.functions import complexnum as C
 from lattica.functions.machine import EPS, TINY_SHARE
@@ -119,8 +120,41 @@ class Factor:
         """X of A X = B (or A' X = B) by the factors alone."""
         return _solve(self, b, trans)
 
+    def zeroed(self) -> Factor:
+        """The same blocks with zero values, ready to be filled again."""
+        blank = [F.unhex(F.repeat(F.lit("00"), F.octet_length(c))).alias(c) if c in ("lu", "low", "right") else F.col(c) for c in self.blocks.columns]
+        return replace(self, blocks=self.blocks.select(*blank))
+
     def save(self, path: str) -> None:
-        self.blocks.write.parquet(path)
+        """Blocks, permutations, scale factors and tree in a folder that ``load_factor`` reads."""
+        self.blocks.write.parquet(f"{path}/blocks")
+        a, f = self.analysis, self.analysis.fronts
+        arrays = {k: getattr(a, k) for k in ANALYSIS_ARRAYS} | {"first": f.first, "last": f.last, "front_parent": f.parent, "rows": self.rows, "cols": self.cols, "task": self.task}
+        arrays |= {"below": np.concatenate([*f.below, np.zeros(0, np.int64)]), "below_sizes": np.array([len(b) for b in f.below], np.int64)}
+        rows = [(k, str(np.asarray(v).dtype), np.ascontiguousarray(v).tobytes()) for k, v in arrays.items()]
+        self.blocks.sparkSession.createDataFrame(rows, "name string, kind string, raw binary").write.parquet(f"{path}/arrays")
+        plain = {k: getattr(self, k) for k in ("n", "equed", "tasks", "dtype", "info", "tiny", "anorm")} | {"analysis_info": a.info, "options": vars(self.options)}
+        self.blocks.sparkSession.createDataFrame([(json.dumps(plain, default=float),)], "value string").write.text(f"{path}/plain")
+
+
+ANALYSIS_ARRAYS = ("row_to", "col_to", "col_perm", "row_match", "log_row", "log_col", "tree", "owner")
+
+
+def load_factor(spark: SparkSession, path: str) -> Factor:
+    """A factor that ``Factor.save`` wrote; raises where its blocks and its analysis do not belong together."""
+    plain = json.loads(spark.read.text(f"{path}/plain").first()["value"])
+    arrays = {r.name: np.frombuffer(r.raw, np.dtype(r.kind)) for r in spark.read.parquet(f"{path}/arrays").collect()}
+    below = np.split(arrays["below"], np.cumsum(arrays["below_sizes"])[:-1]) if len(arrays["below_sizes"]) else []
+    fronts = K.Fronts(arrays["first"], arrays["last"], below, arrays["front_parent"])
+    analysis = local.Analysis(**{k: arrays[k] for k in ANALYSIS_ARRAYS}, fronts=fronts, info=plain["analysis_info"])
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
+    size = F.octet_length("index") / 8
+    found = blocks.agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("p"), F.sum(size.cast("long")).alias("rows")).first()
+    want = (len(fronts.first), plain["n"], plain["n"] + int(arrays["below_sizes"].sum()))
+    if (found.n, found.p or 0, found.rows or 0) != want:
+        raise ValueError(f"blocks, columns and rows {(found.n, found.p, found.rows)} are not {want}")
+    kept = {k: plain[k] for k in ("n", "equed", "tasks", "dtype", "info", "tiny", "anorm")}
+    return Factor(options=Options(**plain["options"]), analysis=analysis, rows=arrays["rows"], cols=arrays["cols"], task=arrays["task"], blocks=blocks, **kept)
 
 
 def _block(row, kind: np.dtype) -> K.Block:

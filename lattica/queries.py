@@ -243,20 +243,72 @@ def _kept(s: SparkSession, d: str) -> DataFrame:
     return Scratch(s).keep(band(s, d), "band")
 
 
-add("match_rows", "SELECT p_partkey src, p_partkey dst, 0 info FROM part")(lambda s, d: N.match_rows(_kept(s, d), n_parts(s, d)).select("src", "dst", "info"))
-add("heavy_matching", "SELECT p_partkey src, p_partkey dst FROM part")(lambda s, d: N.heavy_matching(_kept(s, d)))
+
+
+def shifted(s: SparkSession, d: str) -> DataFrame:
+    """The band with its rows turned by 7, so that the heaviest entries lie off the diagonal."""
+    n = n_parts(s, d)
+    turn = s.range(n).select(F.col("id").alias("src"), ((F.col("id") + 7) % n).alias("dst"))
+    return Scratch(s).keep(E.permute(band(s, d), turn), "shifted")
+
+
+add("match_rows", "SELECT p_partkey src, (p_partkey - 7 + n) % n dst, 0 info FROM part, (SELECT count(*) n FROM part)")(lambda s, d: N.match_rows(shifted(s, d), n_parts(s, d)).select("src", "dst", "info"))
+add("heavy_matching", "SELECT p_partkey src, (p_partkey - 7 + n) % n dst FROM part, (SELECT count(*) n FROM part)")(lambda s, d: N.heavy_matching(shifted(s, d)))
 for _how in ("mmd_at_plus_a", "mmd_ata", "nested_dissection", "natural"):
     add(f"order_{_how}", "SELECT count(*) n, true valid FROM part")(
         lambda s, d, how=_how: N.order_columns(_kept(s, d), how, n_parts(s, d)).agg(
             F.count(F.lit(1)).alias("n"), ((F.countDistinct("dst") == F.count(F.lit(1))) & (F.min("dst") == 0) & (F.max("dst") == F.count(F.lit(1)) - 1)).alias("valid")
         )
     )
+GRID = 12
+
+
+@add("order_fill", f"SELECT sum(CASE WHEN j < {GRID} - 1 THEN j + 3 ELSE least({GRID}, {GRID} * {GRID} - 1 - j) + 1 END)::BIGINT AS natural_entries, true AS degree_fewer, true AS dissection_fewer FROM range({GRID} * {GRID}) r(j)")
+def order_fill(s: SparkSession, d: str) -> DataFrame:
+    """Entries of L of a square grid: in natural order known by a formula, in fill-reducing orders fewer."""
+    n = GRID * GRID
+    a = Scratch(s).keep(T.laplacian(s, GRID), "grid")
+
+    def entries(how: str) -> int:
+        to = Scratch(s).keep(N.order_columns(a, how, n), "order")
+        return N.symbolic(E.permute(a, to, to), n).filter("part = 'L'").count()
+
+    natural = entries("natural")
+    return _one(s, "natural_entries long, degree_fewer boolean, dissection_fewer boolean", (natural, entries("mmd_at_plus_a") < natural, entries("nested_dissection") < natural))
+
+
+#: Pattern and values of the band's rows side by side, for recursion from row to row.
+ROWS_SQL = """w AS MATERIALIZED (SELECT p_partkey i, coalesce(max(v) FILTER (j = i - 2), 0) a2, coalesce(max(v) FILTER (j = i - 1), 0) a1, max(v) FILTER (j = i) a0,
+coalesce(max(v) FILTER (j = i + 1), 0) b1, coalesce(max(v) FILTER (j = i + 2), 0) b2 FROM part LEFT JOIN a ON i = p_partkey GROUP BY 1)"""
+_LU = """l2 AS (SELECT 0), lu AS (SELECT i, 0.0::DOUBLE l2, 0.0::DOUBLE l1, a0 d, b1 e, b2 f, 1.0::DOUBLE d1, 0.0::DOUBLE e1, 0.0::DOUBLE f1 FROM w WHERE i = 0 UNION ALL
+SELECT i, l2, l1, a0 - l2 * f1 - l1 * e, {e}, b2, d, e, f FROM (SELECT w.*, lu.d, lu.e, lu.f, lu.f1, w.a2 / lu.d1 l2, {l1} l1 FROM lu JOIN w ON w.i = lu.i + 1))"""
+LU_SQL = _LU.format(l1="(w.a1 - w.a2 / lu.d1 * lu.e1) / lu.d", e="b1 - l1 * f").removeprefix("l2 AS (SELECT 0), ")
+ILU_SQL = _LU.format(l1="CASE WHEN w.a1 = 0 THEN 0 ELSE (w.a1 - w.a2 / lu.d1 * lu.e1) / lu.d END", e="CASE WHEN b1 = 0 THEN 0 ELSE b1 - l1 * f END").removeprefix("l2 AS (SELECT 0), ")
+#: Exact patterns of L and U: whether the place one (two) left of and right of the diagonal is filled.
+FILL_SQL = """fl AS (SELECT i, false p2, false p1, b1 <> 0 q1, b2 <> 0 q2, false o1, false o2 FROM w WHERE i = 0 UNION ALL
+SELECT i, p2, p1, b1 <> 0 OR (p1 AND q2), b2 <> 0, q1, q2 FROM (SELECT w.*, fl.q1, fl.q2, w.a2 <> 0 p2, w.a1 <> 0 OR (w.a2 <> 0 AND fl.o1) p1 FROM fl JOIN w ON w.i = fl.i + 1))"""
+#: Cholesky pattern of the band's symmetric pattern: whether a row reaches one (two) to the left.
+TREE_SQL = """y AS MATERIALIZED (SELECT p_partkey i, coalesce(bool_or(t.d = 1), false) s1, coalesce(bool_or(t.d = 2), false) s2 FROM part LEFT JOIN (SELECT greatest(i, j) i, abs(i - j) d FROM a WHERE i <> j) t ON t.i = p_partkey GROUP BY 1),
+ch AS (SELECT 0::BIGINT i, false c1, false c2 UNION ALL SELECT y.i, y.s1 OR (y.s2 AND ch.c1), y.s2 FROM ch JOIN y ON y.i = ch.i + 1)"""
+
+add("elimination_parents", "SELECT k.p_partkey node, CASE WHEN x.c1 THEN x.i WHEN z.c2 THEN z.i ELSE n END::BIGINT parent FROM part k, n LEFT JOIN ch x ON x.i = k.p_partkey + 1 LEFT JOIN ch z ON z.i = k.p_partkey + 2", f"RECURSIVE {BAND_SQL}, {TREE_SQL}")(
+    lambda s, d: N.elimination_tree(_kept(s, d), n_parts(s, d)).select("node", "parent")
+)
 add("elimination_tree")(lambda s, d: N.elimination_tree(_kept(s, d), n_parts(s, d)))
 add("column_tree")(lambda s, d: N.elimination_tree(_kept(s, d), n_parts(s, d), "column"))
 add("supernodes")(lambda s, d: N.supernodes(_kept(s, d), n_parts(s, d), 8, 32, 4))
 add("load_imbalance")(lambda s, d: N.load_imbalance(N.supernodes(_kept(s, d), n_parts(s, d), 8, 32, 4)))
-add("symbolic")(lambda s, d: N.symbolic(_kept(s, d), n_parts(s, d)))
-add("incomplete_lu")(lambda s, d: _cells(N.incomplete_lu(_kept(s, d), n_parts(s, d))))
+add(
+    "symbolic",
+    "SELECT part, i, j FROM (SELECT 'L' part, i, i j FROM fl UNION ALL SELECT 'L', i, i - 1 FROM fl WHERE p1 UNION ALL SELECT 'L', i, i - 2 FROM fl WHERE p2 UNION ALL "
+    "SELECT 'U', i, i FROM fl UNION ALL SELECT 'U', i, i + 1 FROM fl WHERE q1 UNION ALL SELECT 'U', i, i + 2 FROM fl WHERE q2)",
+    f"RECURSIVE {BAND_SQL}, {ROWS_SQL}, {FILL_SQL}",
+)(lambda s, d: N.symbolic(_kept(s, d), n_parts(s, d)))
+add(
+    "incomplete_lu",
+    "SELECT a.i, a.j, round(CASE a.j - a.i WHEN -2 THEN l2 WHEN -1 THEN l1 WHEN 0 THEN d WHEN 1 THEN e ELSE f END, 6) + 0.0 v FROM a JOIN lu ON lu.i = a.i",
+    f"RECURSIVE {BAND_SQL}, {ROWS_SQL}, {ILU_SQL}",
+)(lambda s, d: _cells(N.incomplete_lu(_kept(s, d), n_parts(s, d))))
 
 # --- solving --------------------------------------------------------------------------------------------------------
 
@@ -329,7 +381,7 @@ def normalised_residual(s: SparkSession, d: str) -> DataFrame:
     return _one(s, "passes boolean", (P.normalised_residual(a, x, b) < 20,))
 
 
-@add("log_determinant")
+@add("log_determinant", "SELECT 1.0::DOUBLE sign, round(sum(ln(d)), 6) logdet FROM lu", f"RECURSIVE {BAND_SQL}, {ROWS_SQL}, {LU_SQL}")
 def log_determinant(s: SparkSession, d: str) -> DataFrame:
     sign, logdet = S.factorize(_kept(s, d), n_parts(s, d)).logdet()
     return _one(s, "sign double, logdet double", (float(sign), round(logdet, 6)))
@@ -353,7 +405,12 @@ def solve_batch(s: SparkSession, d: str) -> DataFrame:
     return S.solve_batch(a, b).select("batch_id", "i", "k", _r("x"))
 
 
-add("logdet_batch")(lambda s, d: S.logdet_batch(_systems(s, d)).select("batch_id", "sign", _r("logdet"), "info"))
+SYSTEMS_SQL = """so AS (SELECT c_nationkey::BIGINT batch_id, (o_orderkey % 12)::BIGINT i, (o_custkey % 12)::BIGINT j, count(*)::DOUBLE v FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 12 <> o_custkey % 12 GROUP BY 1, 2, 3),
+sd AS (SELECT b.batch_id, r.i, r.i j, 1.0 + coalesce(sum(v), 0) v FROM (SELECT DISTINCT batch_id FROM so) b CROSS JOIN range(12) r(i) LEFT JOIN so ON so.batch_id = b.batch_id AND so.i = r.i GROUP BY 1, 2),
+sf AS (SELECT b.batch_id, list(coalesce(x.v, 0.0) ORDER BY p) m FROM (SELECT DISTINCT batch_id FROM so) b CROSS JOIN range(144) r(p) LEFT JOIN (SELECT * FROM so UNION ALL SELECT * FROM sd) x ON x.batch_id = b.batch_id AND x.i * 12 + x.j = p GROUP BY 1),
+el AS (SELECT batch_id, 0 k, m, 0.0::DOUBLE t FROM sf UNION ALL
+SELECT batch_id, k + 1, list_transform(range(144), lambda p: m[p + 1] - CASE WHEN p // 12 > k THEN m[(p // 12) * 12 + k + 1] * m[k * 12 + p % 12 + 1] / m[k * 13 + 1] ELSE 0 END), t + ln(m[k * 13 + 1]) FROM el WHERE k < 12)"""
+add("logdet_batch", "SELECT batch_id, 1.0::DOUBLE sign, round(t, 6) + 0.0 logdet, 0::BIGINT info FROM el WHERE k = 12", f"RECURSIVE {SYSTEMS_SQL}")(lambda s, d: S.logdet_batch(_systems(s, d)).select("batch_id", "sign", _r("logdet"), "info"))
 
 
 @add("solve_components", "SELECT p_partkey + b * n i, 0 k, CASE WHEN (p_partkey + b * n) % 2 = 1 THEN 1.0 ELSE -1.0 END::DOUBLE x FROM part, n, range(3) r(b)", "n AS (SELECT count(*) n FROM part)")
@@ -483,22 +540,13 @@ def permutation_sign(s: SparkSession, d: str) -> DataFrame:
     return _one(s, "flipped int, turned int", (E.permutation_sign(flip, n), E.permutation_sign(turn, n)))
 
 
-LEVEL_SQL = "lv AS (SELECT p_partkey node, 0 AS lev FROM part UNION SELECT i, lev + 1 FROM lv JOIN a ON j = node WHERE i > j AND lev < 8)"
-
-
-@add("level_sets", "SELECT node, max(lev)::BIGINT AS lev FROM lv GROUP BY 1", f"RECURSIVE {BAND_SQL}, {LEVEL_SQL}")
-def level_sets(s: SparkSession, d: str) -> DataFrame:
-    """Levels up to 8 of the band's lower triangle."""
-    return N.level_sets(_kept(s, d), n_parts(s, d)).select("node", F.least("level", F.lit(8)).cast("long").alias("lev"))
-
-
 BELOW_SQL = """b AS MATERIALIZED (SELECT p_partkey node, coalesce(bool_or(j = i - 1), false) d1, coalesce(bool_or(j = i - 2), false) d2 FROM part LEFT JOIN a ON i = p_partkey AND j < i GROUP BY 1),
 lv AS (SELECT 0::BIGINT node, 0::BIGINT lev, 0::BIGINT prev UNION ALL
 SELECT b.node, greatest(CASE WHEN d1 THEN lev + 1 ELSE 0 END, CASE WHEN d2 THEN prev + 1 ELSE 0 END), lev FROM lv JOIN b ON b.node = lv.node + 1)"""
 
 
-@add("level_sets_full", "SELECT node, lev FROM lv", f"RECURSIVE {BAND_SQL}, {BELOW_SQL}")
-def level_sets_full(s: SparkSession, d: str) -> DataFrame:
+@add("level_sets", "SELECT node, lev FROM lv", f"RECURSIVE {BAND_SQL}, {BELOW_SQL}")
+def level_sets(s: SparkSession, d: str) -> DataFrame:
     """All levels of the band's lower triangle; its SQL goes from row to row, as a row needs only the two before it."""
     return N.level_sets(_kept(s, d), n_parts(s, d)).select("node", F.col("level").alias("lev"))
 
@@ -552,3 +600,109 @@ add("file_parquet", CELLS + "a", BAND_SQL)(_through_file("parquet", "parquet", F
 add("file_triplets", CELLS + "a", BAND_SQL)(_through_file("triplets", "datnh", False))
 add("file_matrix_market", CELLS + "a", BAND_SQL)(_through_file("market", "mtx", False))
 add("file_matrix_market_complex", ZCELLS, ZBAND_SQL)(_through_file("market", "mtx", True))
+add("file_sized_triplets", CELLS + "a", BAND_SQL)(_through_file("sized_triplets", "dat", False))
+add("file_harwell_boeing", CELLS + "a", BAND_SQL)(_through_file("boeing", "rua", False))
+add("file_rutherford_boeing", CELLS + "a", BAND_SQL)(_through_file("rutherford", "rb", False))
+
+
+@add("file_right_sides", "SELECT p_partkey i, 0 k, round(p_retailprice, 6) + 0.0 x FROM part")
+def file_right_sides(s: SparkSession, d: str) -> DataFrame:
+    path = f"{Scratch(s).path}/sides.txt"
+    files.write_rhs(_read(s, d, "part").select(F.col("p_partkey").alias("i"), F.col("p_retailprice").alias("x")), path)
+    return _vector(files.read_rhs(s, path))
+
+
+@add("file_unit_lower", "SELECT i, j, CASE WHEN i = j THEN 1.0 ELSE round(v, 6) + 0.0 END v FROM a WHERE i >= j", BAND_SQL)
+def file_unit_lower(s: SparkSession, d: str) -> DataFrame:
+    path = f"{Scratch(s).path}/matrix.mtx"
+    files.write_matrix(band(s, d), path, "market", n_parts(s, d))
+    return _cells(files.read_unit_lower(s, path))
+
+
+# --- factors kept, given permutations, systems of several sizes ---------------------------------------------------------
+
+add("fill_constant", "SELECT i, j, 2.5::DOUBLE v FROM m2", M2_SQL)(lambda s, d: E.fill(parts_suppliers(s, d), 2.5))
+add("permute_sides", "SELECT (i * 7 + 3) % n i, k::INTEGER k, round(x * (k + 1), 6) + 0.0 x FROM xt, n, range(2) r(k)", BAND_SQL)(
+    lambda s, d: (
+        lambda n: _vector(
+            E.permute_vector(T.true_solution(s, n, 2).withColumn("x", F.col("x") * (F.col("k") + 1)), s.range(n).select(F.col("id").alias("src"), ((F.col("id") * 7 + 3) % n).alias("dst")))
+        )
+    )(n_parts(s, d))
+)
+
+
+def _natural(s: SparkSession, d: str, a: DataFrame | None = None) -> S.Factor:
+    return S.factorize(_kept(s, d) if a is None else a, n_parts(s, d), Options(equilibrate=False, row_perm="none", col_perm="natural"))
+
+
+def _in_rows(f: S.Factor, cells: DataFrame) -> DataFrame:
+    """Cells of a factor with the matrix's own indices for its permuted ones."""
+    at = cells.sparkSession.createDataFrame([(int(r), i) for i, r in enumerate(f.analysis.row_to)], "r long, own long")
+    out = cells.join(at.withColumnRenamed("own", "oi"), F.col("i") == F.col("r")).drop("r", "i").withColumnRenamed("oi", "i")
+    return out.join(at, F.col("j") == F.col("r")).select("i", F.col("own").alias("j"), "v")
+
+
+def _saved(s: SparkSession, d: str) -> S.Factor:
+    path = f"{Scratch(s).path}/factor"
+    S.factorize(_kept(s, d), n_parts(s, d), Options(task_rows=64)).save(path)
+    return S.load_factor(s, path)
+
+
+@add("factor_saved", X_SQL.format(n=2))
+def factor_saved(s: SparkSession, d: str) -> DataFrame:
+    """Factors written, read again and solved with."""
+    a, n = _kept(s, d), n_parts(s, d)
+    return _vector(_saved(s, d).solve(P.spmv(a, T.true_solution(s, n, 2))))
+
+
+@add("factor_zeroed", "SELECT p_partkey i, p_partkey j, 1.0::DOUBLE v FROM part")
+def factor_zeroed(s: SparkSession, d: str) -> DataFrame:
+    """With its values zeroed L has its units alone and U nothing."""
+    f = _natural(s, d).zeroed()
+    return _cells(_in_rows(f, f.triangle(True).unionByName(f.triangle(False))))
+
+
+@add("solve_factored", "SELECT i, k::INTEGER k, x * (k + 1) x FROM (" + X_SQL.format(n=2) + ")")
+def solve_factored(s: SparkSession, d: str) -> DataFrame:
+    """Solve once, then other right-hand sides with the same factors."""
+    a, n = _kept(s, d), n_parts(s, d)
+    first = S.factorize(a, n)
+    S.solve(a, P.spmv(a, T.true_solution(s, n)), n, Options(fact="factored"), first)
+    x = T.true_solution(s, n, 2).withColumn("x", F.col("x") * (F.col("k") + 1))
+    return _vector(S.solve(a, P.spmv(a, x), n, Options(fact="factored"), first).x)
+
+
+@add("solve_grid", f"SELECT i, 0 k, CASE WHEN i % 2 = 1 THEN 1.0 ELSE -1.0 END::DOUBLE x FROM range(1600) r(i)")
+def solve_grid(s: SparkSession, d: str) -> DataFrame:
+    """A grid of 40 by 40, which fills in, factored by subtrees."""
+    a = Scratch(s).keep(T.laplacian(s, 40), "grid")
+    return _vector(S.solve(a, P.spmv(a, T.true_solution(s, 1600)), 1600, Options(task_rows=200, col_perm="nested_dissection")).x)
+
+
+@add("solve_shifted", X_SQL.format(n=1))
+def solve_shifted(s: SparkSession, d: str) -> DataFrame:
+    """A matrix whose diagonal is empty before rows are matched."""
+    a, n = shifted(s, d), n_parts(s, d)
+    return _vector(S.solve(a, P.spmv(a, T.true_solution(s, n)), n).x)
+
+
+@add("solve_given_permutations", X_SQL.format(n=1))
+def solve_given_permutations(s: SparkSession, d: str) -> DataFrame:
+    """Row and column permutations of the caller."""
+    a, n = shifted(s, d), n_parts(s, d)
+    ids = s.range(n).withColumnRenamed("id", "src")
+    rows, cols = ids.withColumn("dst", (F.col("src") - 7 + n) % n), ids.withColumn("dst", n - 1 - F.col("src"))
+    f = S.factorize(a, n, row_perm=rows, col_perm=cols)
+    return _vector(S.solve(a, P.spmv(a, T.true_solution(s, n)), n, Options(fact="factored"), f).x)
+
+
+SIZED = "SELECT DISTINCT c_nationkey::BIGINT batch_id, i, 0 k, CASE WHEN i % 2 = 1 THEN 1.0 ELSE -1.0 END::DOUBLE x FROM orders JOIN customer ON o_custkey = c_custkey, range(12) r(i) WHERE o_orderkey % 12 <> o_custkey % 12 AND i < 4 + c_nationkey % 9"
+
+
+@add("solve_batch_sizes", SIZED)
+def solve_batch_sizes(s: SparkSession, d: str) -> DataFrame:
+    """Systems of 4 to 12 rows in one batch."""
+    a = _systems(s, d).filter("i < 4 + batch_id % 9 and j < 4 + batch_id % 9")
+    x = F.when(F.col("j") % 2 == 1, 1.0).otherwise(-1.0)
+    b = a.groupBy("batch_id", "i").agg(F.sum(F.col("v") * x).alias("x")).select("batch_id", "i", F.lit(0).alias("k"), "x")
+    return S.solve_batch(a, b).select("batch_id", "i", "k", _r("x"))

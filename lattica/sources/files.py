@@ -148,6 +148,27 @@ def decode_cards(text: str, rutherford: bool) -> tuple[int, list[tuple[int, int,
     return ncol, cells
 
 
+def encode_cards(n: int, i: np.ndarray, j: np.ndarray, v: np.ndarray, rutherford: bool = False) -> list[str]:
+    """Lines of a real, assembled, unsymmetric file of cells in column order."""
+
+    def cards(numbers: list[str], per: int) -> list[str]:
+        return ["".join(numbers[k : k + per]) for k in range(0, len(numbers), per)]
+
+    ptr = cards([f"{x:14d}" for x in np.searchsorted(j, np.arange(n + 1)) + 1], 5)
+    ind = cards([f"{x:14d}" for x in i + 1], 5)
+    val = cards([f"{x:25.16E}" for x in v], 3)
+    total = len(ptr) + len(ind) + len(val)
+    count = "".join(f"{x:14d}" for x in ((total, len(ptr), len(ind), len(val)) + (() if rutherford else (0,))))
+    kind = ("rua" if rutherford else "RUA") + " " * 11 + "".join(f"{x:14d}" for x in (n, n, len(i), 0))
+    formats = f"{'(5I14)':16}{'(5I14)':16}{'(3E25.16)':20}"
+    return [f"{'matrix':72}{'key':8}", count, kind, formats, *ptr, *ind, *val]
+
+
+def write_rhs(b: DataFrame, path: str) -> None:
+    """The values of ``b(i, x)`` by index, one a line, in one file."""
+    b.repartition(1).sortWithinPartitions("i").select(F.col("x").cast("string")).write.text(path)
+
+
 def read_boeing(spark: SparkSession, path: str, rutherford: bool = False, complex_values: bool = False) -> DataFrame:
     """A Harwell-Boeing (or Rutherford-Boeing) file; one task a file."""
 
@@ -199,9 +220,11 @@ def read_matrix(spark: SparkSession, path: str, complex_values: bool = False) ->
 
 
 def write_matrix(matrix: DataFrame, path: str, kind: str = "parquet", n: int | None = None) -> None:
-    """Parquet, text lines ``i j v`` in column order ("triplets"), or one Matrix Market file of an n by n matrix ("market").
+    """Parquet, text lines ``i j v`` in column order ("triplets"), or one file of an n by n matrix: Matrix Market ("market"),
+    1-based triplets after a line of sizes ("sized_triplets"), real Harwell-Boeing ("boeing") or Rutherford-Boeing ("rutherford").
 
-    The header of a Matrix Market file must come first, so one task writes it; sorting spills to disk.
+    A header must come first, so one task writes such a file; sorting spills to disk. The Boeing
+    formats list all columns before all rows before all values, so their task holds the matrix.
     """
     wide = C.is_complex(matrix, "v")
     values = [F.col("v.re").cast("string"), F.col("v.im").cast("string")] if wide else [F.col("v").cast("string")]
@@ -210,15 +233,25 @@ def write_matrix(matrix: DataFrame, path: str, kind: str = "parquet", n: int | N
     elif kind == "triplets":
         ordered = matrix.repartitionByRange("j", "i").sortWithinPartitions("j", "i")
         ordered.select(F.concat_ws(" ", "i", "j", *values)).write.text(path)
-    elif kind == "market":
+    elif kind in ("boeing", "rutherford"):
+        if n is None or wide:
+            raise ValueError("a Boeing file needs the order n and real values")
+
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = pd.concat([pd.DataFrame({"i": np.zeros(0, np.int64), "j": np.zeros(0, np.int64), "v": np.zeros(0)}), *batches])
+            yield pd.DataFrame({"value": encode_cards(n, held["i"].to_numpy(), held["j"].to_numpy(), held["v"].to_numpy(), kind == "rutherford")})
+
+        ordered = matrix.select("i", "j", "v").repartition(1).sortWithinPartitions("j", "i")
+        ordered.mapInPandas(work, "value string").write.text(path)
+    elif kind in ("market", "sized_triplets"):
         if n is None:
-            raise ValueError("a Matrix Market file needs the order n")
+            raise ValueError("a file with a header needs the order n")
         spark = matrix.sparkSession
         title = f"%%MatrixMarket matrix coordinate {'complex' if wide else 'real'} general"
         head = spark.createDataFrame([(-2, title)], "j long, value string").withColumn("i", F.lit(0).cast("long"))
         size = matrix.agg(F.concat(F.lit(f"{n} {n} "), F.count(F.lit(1)).cast("string")).alias("value")).select(F.lit(-1).cast("long").alias("j"), "value", F.lit(0).cast("long").alias("i"))
         lines = matrix.select("j", F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1, *values).alias("value"), "i")
-        every = head.unionByName(size).unionByName(lines).repartition(1).sortWithinPartitions("j", "i")
+        every = (head if kind == "market" else head.limit(0)).unionByName(size).unionByName(lines).repartition(1).sortWithinPartitions("j", "i")
         every.select("value").write.text(path)
     else:
         raise ValueError(f"no writer for {kind}")

@@ -335,7 +335,7 @@ def test_level_sets_beyond_eight(spark, tmp_path):
     lines = [(k % 50, k % 7, 0.5) for k in range(400)]
     spark.createDataFrame(lines, "l_partkey long, l_suppkey long, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.range(50).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
-    assert max(r.lev for r in entry.queries()["level_sets_full"](spark, str(tmp_path)).collect()) > 8
+    assert max(r.lev for r in entry.queries()["level_sets"](spark, str(tmp_path)).collect()) > 8
 
 
 def greedy(cells):
@@ -357,3 +357,28 @@ def test_heavy_matching_takes_every_entry(spark, max_rounds):
     for cells in [chain] if max_rounds == 50 else [chain, ties]:
         got = N.heavy_matching(spark.createDataFrame(cells, "i long, j long, v double"), max_rounds)
         assert {tuple(r) for r in got.collect()} == greedy(cells)
+
+
+def test_saved_factor_is_checked(spark, tmp_path):
+    a = T.laplacian(spark, 6)
+    f = S.factorize(a, 36, Options(task_rows=8))
+    f.save(str(tmp_path / "factor"))
+    again = S.load_factor(spark, str(tmp_path / "factor"))
+    b = P.spmv(a, T.true_solution(spark, 36))
+    assert {(r.i, round(r.x, 9)) for r in again.solve(b).collect()} == {(i, 1.0 if i % 2 else -1.0) for i in range(36)}
+    assert again.logdet() == f.logdet() and again.options == f.options
+    f.blocks.limit(1).write.mode("overwrite").parquet(str(tmp_path / "factor" / "blocks"))
+    with pytest.raises(ValueError):
+        S.load_factor(spark, str(tmp_path / "factor"))
+
+
+@pytest.mark.parametrize(("kind", "suffix"), [("boeing", "rua"), ("rutherford", "rb"), ("sized_triplets", "dat")])
+def test_headed_files_keep_every_bit(spark, tmp_path, kind, suffix):
+    cells = [(0, 0, 1 / 3), (3, 0, -2.5e-300), (1, 1, 7.0), (0, 2, 1e17 / 3), (2, 2, -0.1), (3, 3, 5e-9)]
+    a = spark.createDataFrame(cells, "i long, j long, v double")
+    path = str(tmp_path / f"m.{suffix}")
+    files.write_matrix(a, path, kind, 4)
+    assert sorted(map(tuple, files.read_matrix(spark, path).collect())) == sorted(cells)
+    if kind != "sized_triplets":
+        with pytest.raises(ValueError):
+            files.write_matrix(a, path, kind)
