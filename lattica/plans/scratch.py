@@ -38,7 +38,7 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 #: Rows of a file and task where the number of rows is known.
-FILE_ROWS = 200_000
+FILE_ROWS = 50_000
 
 
 class Scratch:
