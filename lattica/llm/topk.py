@@ -7,7 +7,8 @@ distance to it; the key order is dealt into blocks, each an annulus of one pivot
 A query first searches the annulus next to its own place under its nearest
 pivot. Its k-th score there is a radius, and by the triangle inequality only
 annuli that meet [d(q, p) - radius, d(q, p) + radius] can hold better ones: these
-alone are searched. Scores are exact integer products.
+alone are searched, and of an annulus only the part within the bounds. Scores
+are exact integer products.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ def _by_dim(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def build_index(points: DataFrame, pivots, parts: int, rows: int = BLOCK_ROWS) -> DataFrame:
-    """Blocks ``(block, dim, pivot, low, high, n, ids, vectors)`` of candidates in key order."""
+    """Blocks ``(block, dim, pivot, low, high, n, ids, distances, vectors)`` of candidates in key order."""
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,9 +99,9 @@ def build_index(points: DataFrame, pivots, parts: int, rows: int = BLOCK_ROWS) -
         def block() -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
             ids, dist = t.column("vec_id").to_numpy(), t.column("distance").to_numpy()
-            one = [last[0], last[1], float(dist.min()), float(dist.max()), len(ids), ids.tobytes(), b"".join(t.column("ints").to_pylist())]
-            types = [pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(one, types, strict=True)], ["dim", "pivot", "low", "high", "n", "ids", "vectors"])
+            one = [last[0], last[1], float(dist.min()), float(dist.max()), len(ids), ids.tobytes(), dist.tobytes(), b"".join(t.column("ints").to_pylist())]
+            types = [pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(one, types, strict=True)], ["dim", "pivot", "low", "high", "n", "ids", "distances", "vectors"])
 
         for batch in batches:
             dim, pivot = batch.column("dim").to_numpy(), batch.column("pivot").to_numpy()
@@ -123,27 +124,34 @@ def build_index(points: DataFrame, pivots, parts: int, rows: int = BLOCK_ROWS) -
     keyed = points.mapInArrow(key, "vec_id long, dim int, pivot int, distance double, ints binary")
     order = ["dim", "pivot", "distance", "vec_id"]
     dealt = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    packed = dealt.mapInArrow(pack, "dim int, pivot int, low double, high double, n int, ids binary, vectors binary")
+    packed = dealt.mapInArrow(pack, "dim int, pivot int, low double, high double, n int, ids binary, distances binary, vectors binary")
     return packed.withColumn("block", F.monotonically_increasing_id())
 
 
-def _search(pairs: DataFrame, queries: DataFrame, index: DataFrame, k: int, n_queries: int) -> DataFrame:
-    """Best k of each (query, block) pair: ``(query_id, vec_id, score)``."""
+def _search(pairs: DataFrame, queries: DataFrame, index: DataFrame, k: int, n_queries: int, scratch: Scratch) -> DataFrame:
+    """Best k of each of ``pairs(block, query_row, near, far)``, within these distances to the pivot: ``(query_id, vec_id, score)``.
+
+    A block is sent to each turn of queries that visits it, and to no other.
+    """
     turns = 1 + n_queries // QUERY_ROWS
-    turn = F.pmod(F.xxhash64("query_id"), F.lit(turns)).cast("int")
-    left = pairs.join(queries, "query_id").select("block", turn.alias("turn"), "query_id", "ints")
-    every_turn = F.explode(F.sequence(F.lit(0), F.lit(turns - 1)))
-    right = index.select(F.col("block").alias("_block"), every_turn.alias("_turn"), "dim", "ids", "vectors")
+    turn = F.pmod(F.xxhash64("query_row"), F.lit(turns)).cast("int")
+    pairs = scratch.keep(pairs.select("block", turn.alias("turn"), "query_row", "near", "far"), "visits")
+    left = pairs.join(queries.select("query_row", "query_id", "ints"), "query_row").select("block", "turn", "query_id", "near", "far", "ints")
+    seen = pairs.select("block", "turn").distinct()
+    right = index.join(seen, "block").select(F.col("block").alias("_block"), F.col("turn").alias("_turn"), "dim", "ids", "distances", "vectors")
 
     def work(q: pa.Table, x: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
         if not len(q) or not len(x):
             return pa.table([pa.array([], pa.int64())] * 3, names)
         dim = x.column("dim")[0].as_py()
-        ids = np.frombuffer(x.column("ids")[0].as_py(), np.int64)
+        dist = np.frombuffer(x.column("distances")[0].as_py(), np.float64)
+        a = int(np.searchsorted(dist, q.column("near").to_numpy().min()))
+        b = int(np.searchsorted(dist, q.column("far").to_numpy().max(), "right"))
+        ids = np.frombuffer(x.column("ids")[0].as_py(), np.int64)[a:b]
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
-        vectors = np.frombuffer(x.column("vectors")[0].as_py(), np.int64).reshape(len(ids), dim)[order]
+        vectors = np.frombuffer(x.column("vectors")[0].as_py(), np.int64).reshape(-1, dim)[a:b][order]
         own = q.column("query_id").to_numpy()
         points = np.frombuffer(b"".join(q.column("ints").to_pylist()), np.int64).reshape(-1, dim)
         large = float(np.abs(points).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * dim >= 2.0**52
@@ -166,19 +174,20 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, n_pivots: int = PIVOTS) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: each query's k highest integer inner products with the other rows.
+    """``(query_id, rank, vec_id, score)``: each query's k highest integer inner products with the rows of other ids.
 
     ``vectors(vec_id, embedding)``; ``is_query`` marks queries by vec_id. Ties go
     to the smaller vec_id. Vectors that are null or hold null or non-finite
     components, and null ids, take no part; vectors of another length are not
-    comparable. An id given twice is one row (any of equal ones; else the least vector).
+    comparable. Rows that share an id are all candidates of other ids, each for
+    itself; if they are queries, the k best of all their vectors are given. An
+    empty table, or one without queries, gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = ["query_id", "rank", "vec_id", "score"]
-    points = quantised(vectors).groupBy("vec_id").agg(F.min(F.struct("dim", "norm", "ints")).alias("p")).select("vec_id", "p.*")
-    points = scratch.keep(points, "points")
+    points = scratch.keep(quantised(vectors), "points")
     most = {r.dim: r.most for r in points.groupBy("dim").agg(F.max("norm").alias("most")).collect() if r.dim}
     if not most:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -188,7 +197,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, n_pivots: int = PIVO
     pivots = spark.sparkContext.broadcast(Pivots(found, most))
     points = points.filter(F.col("dim") > 0)
     index = scratch.keep(build_index(points, pivots, parts), "index")
-    queries = scratch.keep(points.filter(is_query).select(F.col("vec_id").alias("query_id"), "dim", "norm", "ints"), "queries")
+    queries = points.filter(is_query).select(F.col("vec_id").alias("query_id"), "dim", "norm", "ints")
+    queries = scratch.keep(queries.withColumn("query_row", F.monotonically_increasing_id()), "queries")
     n_queries = queries.count()
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,24 +207,25 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, n_pivots: int = PIVO
                 own = batch.take(pa.array(at))
                 d = pivots.value.distances(_rows(own.column("ints"), dim), False)
                 n, p = d.shape
-                ids = np.repeat(own.column("query_id").to_numpy(), p)
+                ids = np.repeat(own.column("query_row").to_numpy(), p)
                 home = np.zeros((n, p), bool)
                 home[np.arange(n), d.argmin(axis=1)] = True
                 cols = [ids, np.full(n * p, dim, np.int32), np.tile(np.arange(p, dtype=np.int32), n), d.ravel(), home.ravel()]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "dim", "pivot", "d", "home"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_row", "dim", "pivot", "d", "home"])
 
-    reached = queries.select("query_id", "dim", "ints").mapInArrow(reach, "query_id long, dim int, pivot int, d double, home boolean")
+    reached = queries.select("query_row", "dim", "ints").mapInArrow(reach, "query_row long, dim int, pivot int, d double, home boolean")
     annuli = index.select("block", "dim", "pivot", "low", "high")
     gap = F.greatest(F.col("low") - F.col("d"), F.col("d") - F.col("high"), F.lit(0.0))
-    near = reached.filter("home").join(annuli, ["dim", "pivot"]).groupBy("query_id").agg(F.min_by("block", F.struct(gap, "block")).alias("block"))
-    vectors_of = queries.select("query_id", "ints")
-    first = _best(_search(near.select("query_id", "block"), vectors_of, index, k, n_queries), k)
+    near = reached.filter("home").join(annuli, ["dim", "pivot"]).groupBy("query_row").agg(F.min_by("block", F.struct(gap, "block")).alias("block"))
+    near = near.select("block", "query_row", F.lit(float("-inf")).alias("near"), F.lit(float("inf")).alias("far"))
+    first = _best(_search(near, queries, index, k, n_queries, scratch), k)
     limit = first.groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("have"))
 
     ball = F.create_map(*[x for d, m in most.items() for x in (F.lit(d), F.lit(float(m)))])
     radius = F.sqrt(F.greatest(F.lit(0.0), F.col("norm") + ball[F.col("dim")] - 2.0 * F.col("least")))
     radius = F.when(F.col("have") >= k, radius * (1 + SLACK) + SLACK * F.sqrt(ball[F.col("dim")]) + SLACK).otherwise(F.lit(float("inf")))
-    bounds = scratch.keep(queries.join(limit, "query_id", "left").select("query_id", F.coalesce(radius, F.lit(float("inf"))).alias("radius")), "radius")
-    visits = reached.join(bounds, "query_id").join(annuli, ["dim", "pivot"])
-    visits = visits.filter((F.col("low") <= F.col("d") + F.col("radius")) & (F.col("high") >= F.col("d") - F.col("radius")))
-    return _best(_search(visits.select("query_id", "block"), vectors_of, index, k, n_queries), k).select(*names)
+    bounds = scratch.keep(queries.join(limit, "query_id", "left").select("query_row", F.coalesce(radius, F.lit(float("inf"))).alias("radius")), "radius")
+    near, far = (F.col("d") - F.col("radius")).alias("near"), (F.col("d") + F.col("radius")).alias("far")
+    visits = reached.join(bounds, "query_row").select("query_row", "dim", "pivot", near, far).join(annuli, ["dim", "pivot"])
+    visits = visits.filter("low <= far and high >= near").select("block", "query_row", "near", "far")
+    return _best(_search(visits, queries, index, k, n_queries, scratch), k).select(*names)

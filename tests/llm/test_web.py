@@ -260,19 +260,18 @@ def test_top_k(spark, rows_per_block, monkeypatch):
     centres = rng.normal(size=(6, 5))
     data = [(i, [float(x) for x in centres[i % 6] * 0.4 + rng.normal(size=5) * 0.1]) for i in range(400)]
     data += [(1000 + i, data[7][1]) for i in range(120)]  # one very common vector
-    odd = [(2000, None), (2050, [1.0, None, 0.0, 0.0, 0.0]), (2100, [float("nan")] * 5), (2150, [float("inf")] * 5), (None, data[1][1]), (2200, []), (2250, [0.1] * 3), (2300, [0.2] * 3), data[3]]
+    odd = [(2000, None), (2050, [1.0, None, 0.0, 0.0, 0.0]), (2100, [float("nan")] * 5), (2150, [float("inf")] * 5), (None, data[1][1]), (2200, []), (2250, [0.1] * 3), (2300, [0.2] * 3), data[3], (50, data[9][1])]
     vectors = spark.createDataFrame(data + odd, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
     got = topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5, n_pivots=4)
     found: dict[int, list] = {}
     for r in sorted(got.collect(), key=lambda r: (r.query_id, r.rank)):
         assert r.rank == len(found.setdefault(r.query_id, [])) + 1
         found[r.query_id].append((r.vec_id, r.score))
-    usable = dict(data) | {2250: [0.1] * 3, 2300: [0.2] * 3}
-    ints = {i: np.floor(256 * np.float32(v).astype(np.float64)).astype(np.int64) for i, v in usable.items()}
+    usable = data + [(2250, [0.1] * 3), (2300, [0.2] * 3), data[3], (50, data[9][1])]
+    ints = [(i, np.floor(256 * np.float32(v).astype(np.float64)).astype(np.int64)) for i, v in usable]
     want = {}
-    for q in ints:
-        if q % 50 == 0:
-            ranked = sorted((-int(ints[q] @ x), i) for i, x in ints.items() if i != q and len(x) == len(ints[q]))
-            want[q] = [(i, -s) for s, i in ranked[:5]]
+    for q in {i for i, _ in ints if i % 50 == 0}:
+        ranked = sorted((-int(y @ x), i) for j, y in ints if j == q for i, x in ints if i != q and len(x) == len(y))
+        want[q] = [(i, -s) for s, i in ranked[:5]]
     assert found == want
     assert topk.top_k(vectors.limit(0), F.col("vec_id") % 50 == 0).count() == 0
