@@ -201,7 +201,9 @@ def learn(docs: DataFrame, labels: DataFrame, positive_rows: int = POSITIVE_ROWS
     if not share:
         return None
     docs = docs.select("doc_id", "text").dropna()
-    positive = _sampled(docs.join(labels.filter("toxic = 1").select("doc_id"), "doc_id", "left_semi"), positive_rows, 11)
+    toxic = labels.filter("toxic = 1").select("doc_id").distinct()
+    toxic = toxic.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(positive_rows)  # so few ids can go to all texts
+    positive = _sampled(docs.join(F.broadcast(toxic), "doc_id", "left_semi"), positive_rows, 11)
     if not positive:
         return None
     return train(positive, _sampled(docs, unlabelled_rows, 12), min(0.9, float(share)))
