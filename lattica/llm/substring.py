@@ -122,13 +122,11 @@ def repeated_spans(docs: DataFrame, sentences: int = SENTENCES, least_words: int
     the least doc_id lose every sentence in a run. Texts of any length count
     whole; an empty table has no spans; other columns are ignored, whatever their names.
     """
-    scratch = Scratch(docs.sparkSession)
-    # written, so that texts are read once and the join can split a large key
-    found = scratch.keep(sentence_runs(docs, sentences, least_words), "runs")
+    found = sentence_runs(docs, sentences, least_words)  # mapped twice: written runs would take as much disk as the texts
     key = ["hash_a", "hash_b"]
     shared = found.groupBy(*key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("again").alias("any_again"))
     shared = shared.filter("last > first or any_again").select(*key, "first")
-    shared = scratch.keep(shared, "shared")
+    shared = Scratch(docs.sparkSession).keep(shared, "shared")  # written, so that the join can split a large key
     gone = found.join(shared, key).filter("doc_id > first or again").select("doc_id", "start", "end")
     per_doc = gone.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     return per_doc.mapInArrow(_merged, "doc_id long, start int, end int")
