@@ -89,7 +89,7 @@ def permutation_sign(perm: DataFrame, n: int) -> int:
 
 
 def to_msr(a: DataFrame, n: int) -> DataFrame:
-    """Modified sparse rows ``(at, val, bindx)`` of a real matrix.
+    """Modified sparse rows ``(at, val, bindx)``.
 
     Places 0 to n - 1 hold the diagonal (0 if not stored) and where each row's
     other entries begin, place n the end, later places those entries with their
@@ -98,8 +98,8 @@ def to_msr(a: DataFrame, n: int) -> DataFrame:
     off = a.filter("i != j")
     starts = pointers(off, "i", n)
     head = starts.join(a.filter("i = j").select(F.col("i").alias("p"), "v"), "p", "left")
-    head = head.select(F.col("p").alias("at"), F.coalesce("v", F.lit(0.0)).alias("val"), (F.col("start") + n + 1).alias("bindx"))
-    end = off.agg(F.count(F.lit(1)).alias("c")).select(F.lit(n).cast("long").alias("at"), F.lit(None).cast("double").alias("val"), (F.col("c") + n + 1).alias("bindx"))
+    head = head.select(F.col("p").alias("at"), F.coalesce("v", C.widen(F.lit(0.0), not C.is_complex(a, "v"))).alias("val"), (F.col("start") + n + 1).alias("bindx"))
+    end = off.agg(F.count(F.lit(1)).alias("c")).select(F.lit(n).cast("long").alias("at"), F.lit(None).cast(a.schema["v"].dataType).alias("val"), (F.col("c") + n + 1).alias("bindx"))
     within = F.row_number().over(Window.partitionBy("i").orderBy("j")) - 1
     tail = off.withColumn("w", within).join(starts.select(F.col("p").alias("i"), "start"), "i")
     return head.unionByName(end).unionByName(tail.select((F.col("start") + F.col("w") + n + 1).alias("at"), F.col("v").alias("val"), F.col("j").alias("bindx")))

@@ -41,9 +41,9 @@ def spmv(a: DataFrame, x: DataFrame, trans: bool = False, absolute: bool = False
     return every.join(out, ["i", "k"], "left").select("i", "k", F.coalesce("x", C.widen(F.lit(0.0), not wide)).alias("x"))
 
 
-def gemv(a: DataFrame, x: DataFrame, y: DataFrame, alpha: float = 1.0, beta: float = 0.0, trans: bool = False) -> DataFrame:
-    """alpha A x + beta y; also for several right-hand sides."""
-    product = spmv(a, x, trans)
+def gemv(a: DataFrame, x: DataFrame, y: DataFrame, alpha: float = 1.0, beta: float = 0.0, trans: bool = False, conj: bool = False) -> DataFrame:
+    """alpha A x + beta y, with A' or conjugated entries as in ``spmv``; also for several right-hand sides."""
+    product = spmv(a, x, trans, conj=conj)
     product = product.select("i", "k", C.times(F.col("x"), F.lit(alpha), C.is_complex(product, "x")).alias("x"))
     return add_vectors(product, y.select("i", "k", C.times(F.col("x"), F.lit(beta), C.is_complex(y, "x")).alias("x")))
 
@@ -72,8 +72,10 @@ def schur_step(a: DataFrame, k: int) -> DataFrame:
     left = a.filter((F.col("j") == k) & (F.col("i") != k)).select("i", F.col("v").alias("l"))
     right = a.filter((F.col("i") == k) & (F.col("j") != k)).select("j", F.col("v").alias("u"))
     # one column by one row of the matrix and the one pivot
-    update = left.crossJoin(right).crossJoin(pivot).select("i", "j", (-F.col("l") * F.col("u") / F.col("p")).alias("v"))
-    return a.filter((F.col("i") != k) & (F.col("j") != k)).unionByName(update).groupBy("i", "j").agg(F.sum("v").alias("v"))
+    wide = C.is_complex(a, "v")
+    taken = C.divide(C.multiply(F.col("l"), F.col("u")), F.col("p")) if wide else F.col("l") * F.col("u") / F.col("p")
+    update = left.crossJoin(right).crossJoin(pivot).select("i", "j", C.times(taken, F.lit(-1.0), wide).alias("v"))
+    return a.filter((F.col("i") != k) & (F.col("j") != k)).unionByName(update).groupBy("i", "j").agg(C.total(F.col("v"), wide).alias("v"))
 
 
 def a_plus_at_pattern(a: DataFrame) -> DataFrame:

@@ -97,6 +97,26 @@ class Factor:
         sums = [F.count(F.lit(1)).alias("blocks"), F.sum(values.cast("long")).alias("value_bytes"), F.sum(F.octet_length("index").cast("long")).alias("index_bytes")]
         return self.blocks.groupBy("task").agg(*sums)
 
+    def diagonal_inverses(self, lower: bool) -> DataFrame:
+        """``(s, i, j, v)``: the inverse of each supernode's own block of L (unit diagonal) or U, in the permuted order.
+
+        A block with a zero pivot has no inverse and raises.
+        """
+        kind = np.dtype(self.dtype)
+
+        def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for row in frame.itertuples():
+                    b = _block(row, kind)
+                    own = b.index[: b.p]
+                    flat = np.linalg.inv(np.tril(b.lu, -1) + np.eye(b.p) if lower else np.triu(b.lu)).ravel()
+                    on = flat != 0
+                    i, j = np.repeat(own, b.p)[on], np.tile(own, b.p)[on]
+                    yield pd.DataFrame({"s": b.s, "i": i, "j": j, "re": np.real(flat[on]).astype(float), "im": np.imag(flat[on]).astype(float)})
+
+        cells = self.blocks.mapInPandas(work, "s long, i long, j long, re double, im double")
+        return cells.select("s", "i", "j", (C.make(F.col("re"), F.col("im")) if kind.kind == "c" else F.col("re")).alias("v"))
+
     def diagonal(self) -> DataFrame:
         """``(i, v)`` of U's diagonal, in the permuted order."""
         return self.triangle(False).filter("i = j").select("i", "v")

@@ -468,6 +468,19 @@ add("spmv_conjugate_transposed", ZSPMV.format(r="j", c="i", s="-1 *"), f"{ZBAND_
 add("matmul_complex", "SELECT l.i, r.j, round(sum(l.re * r.re - l.im * r.im), 9) + 0.0 re, round(sum(l.re * r.im + l.im * r.re), 9) + 0.0 im FROM z l JOIN z r ON l.j = r.i GROUP BY 1, 2", ZBAND_SQL)(
     lambda s, d: (lambda a: _zcells(P.matmul(a, a.select("i", "j", "v")), 9))(Scratch(s).keep(zband(s, d)))
 )
+add(
+    "gemv_conjugate",
+    "SELECT z.j i, 0 k, round(2 * sum(re * t.xr + im * t.xi) - 3 * any_value(o.xr), 6) + 0.0 re, round(2 * sum(re * t.xi - im * t.xr) - 3 * any_value(o.xi), 6) + 0.0 im FROM z JOIN zx t ON t.i = z.i JOIN zx o ON o.i = z.j GROUP BY 1",
+    f"{ZBAND_SQL}, {ZX_SQL}",
+)(lambda s, d: (lambda n: _zvector(P.gemv(zband(s, d), ztrue(s, n), ztrue(s, n), 2.0, -3.0, trans=True, conj=True)))(n_parts(s, d)))
+add(
+    "schur_step_complex",
+    "SELECT i, j, round(sum(re), 6) + 0.0 re, round(sum(im), 6) + 0.0 im FROM (SELECT i, j, re, im FROM y WHERE i <> 0 AND j <> 0 UNION ALL "
+    "SELECT l.i, u.j, -((l.re * u.re - l.im * u.im) * p.re + (l.re * u.im + l.im * u.re) * p.im) / (p.re * p.re + p.im * p.im), "
+    "-((l.re * u.im + l.im * u.re) * p.re - (l.re * u.re - l.im * u.im) * p.im) / (p.re * p.re + p.im * p.im) "
+    "FROM y l, y u, y p WHERE l.j = 0 AND l.i <> 0 AND u.i = 0 AND u.j <> 0 AND p.i = 0 AND p.j = 0) GROUP BY 1, 2",
+    BAND_SQL + ", y AS (SELECT i, j, v re, v * (i - j + 1) / 4 im FROM a)",
+)(lambda s, d: _zcells(P.schur_step(band(s, d).select("i", "j", C.make(F.col("v"), F.col("v") * (F.col("i") - F.col("j") + 1) / 4).alias("v")), 0)))
 add("scale_add_identity_complex", "SELECT i, j, round(2.5 * re + CASE WHEN i = j THEN 1 ELSE 0 END, 6) + 0.0 re, round(2.5 * im, 6) + 0.0 im FROM z", ZBAND_SQL)(lambda s, d: _zcells(E.scale_add_identity(zband(s, d), 2.5)))
 add("norms_complex", NORMS_SQL.replace("FROM a", "FROM (SELECT i, j, sqrt(re * re + im * im) v FROM z)"), ZBAND_SQL)(
     lambda s, d: (lambda a: _one(s, "kind string, value double", *[(k, round(P.norm(a, k), 6) + 0.0) for k in "M1IF"]))(Scratch(s).keep(zband(s, d)))
@@ -532,6 +545,14 @@ add(
 )(lambda s, d: E.to_msr(_kept(s, d), n_parts(s, d)).select("at", _r("val"), "bindx"))
 
 
+add(
+    "modified_rows_complex",
+    "SELECT r::BIGINT AS at, round(re, 6) + 0.0 re, round(im, 6) + 0.0 im, b::BIGINT bindx FROM st JOIN z ON i = r AND j = r UNION ALL SELECT n, NULL, NULL, n + 1 + (SELECT sum(c) FROM p)::BIGINT FROM n "
+    "UNION ALL SELECT (b + row_number() OVER (PARTITION BY i ORDER BY j) - 1)::BIGINT, round(re, 6) + 0.0, round(im, 6) + 0.0, j FROM z JOIN st ON i = r WHERE i <> j",
+    f"{ZBAND_SQL}, {MSR_SQL}",
+)(lambda s, d: E.to_msr(Scratch(s).keep(zband(s, d)), n_parts(s, d)).select("at", F.col("val.re").alias("re"), F.col("val.im").alias("im"), "bindx").select("at", _r("re"), _r("im"), "bindx"))
+
+
 @add("permutation_sign", "SELECT CASE WHEN (n // 2) % 2 = 0 THEN 1 ELSE -1 END flipped, CASE WHEN (n - 1) % 2 = 0 THEN 1 ELSE -1 END turned FROM (SELECT count(*) n FROM part)")
 def permutation_sign(s: SparkSession, d: str) -> DataFrame:
     n = n_parts(s, d)
@@ -662,6 +683,20 @@ def factor_zeroed(s: SparkSession, d: str) -> DataFrame:
     return _cells(_in_rows(f, f.triangle(True).unionByName(f.triangle(False))))
 
 
+@add("diagonal_inverses", "SELECT side, p_partkey i, p_partkey j, 1.0::DOUBLE v FROM part, (VALUES ('L'), ('U')) t(side)")
+def diagonal_inverses(s: SparkSession, d: str) -> DataFrame:
+    """Each supernode's own block of L and of U times its inverse: units."""
+    f = _natural(s, d)
+    sides = []
+    for side, lower in (("L", True), ("U", False)):
+        inverse = f.diagonal_inverses(lower)
+        member = inverse.select("s", F.col("i").alias("c")).distinct()
+        own = f.triangle(lower).join(member.select(F.col("s").alias("si"), F.col("c").alias("i")), "i").join(member.withColumnRenamed("c", "j"), "j").filter("s = si")
+        product = P.matmul(own.select("i", "j", "v"), inverse.select("i", "j", "v"))
+        sides.append(_cells(_in_rows(f, product)).filter("v != 0").withColumn("side", F.lit(side)))
+    return sides[0].unionByName(sides[1])
+
+
 @add("solve_factored", "SELECT i, k::INTEGER k, x * (k + 1) x FROM (" + X_SQL.format(n=2) + ")")
 def solve_factored(s: SparkSession, d: str) -> DataFrame:
     """Solve once, then other right-hand sides with the same factors."""

@@ -88,6 +88,14 @@ def test_factors_multiply_to_the_permuted_matrix(spark, grid):
     want = np.zeros((100, 100))
     want[np.ix_(f.analysis.row_to, f.analysis.col_to)] = d * f.rows[:, None] * f.cols[None, :]
     assert np.allclose(low @ up, want) and np.allclose(np.diag(low), 1)
+    for lower, m in ((True, low), (False, up)):
+        inverse = f.diagonal_inverses(lower).toPandas()
+        assert set(inverse.i) == set(range(100))
+        for _, block in inverse.groupby("s"):
+            own = np.unique(block.i)
+            got = np.zeros((100, 100))
+            got[block.i, block.j] = block.v
+            assert np.allclose(m[np.ix_(own, own)] @ got[np.ix_(own, own)], np.eye(len(own)))
     assert f.nonzeros()[0] >= (low != 0).sum() and [p for p, _ in f.stats] == ["EQUIL", "ANALYSIS", "FACT"]
 
 
@@ -263,6 +271,11 @@ def test_complex_products_and_norms(spark):
     assert np.allclose(complex_dense(P.spmv(a, v, trans=True, conj=True), 5, 2), ZFIVE.conj().T @ x)
     assert np.allclose(complex_dense(P.spmv(a, T.ones(spark, 5)), 5), ZFIVE @ np.ones((5, 1)))
     assert np.allclose(complex_dense(P.gemv(a, v, T.ones(spark, 5, 2), 2.0, -1.0), 5, 2), 2 * ZFIVE @ x - 1)
+    assert np.allclose(complex_dense(P.gemv(a, v, v, 2.0, -1.0, trans=True, conj=True), 5, 2), 2 * ZFIVE.conj().T @ x - x)
+    turned = ZFIVE * (1 + 2j)
+    left = turned - np.outer(turned[:, 0], turned[0]) / turned[0, 0]
+    got = cells(P.schur_step(complex_frame(spark, turned), 0))
+    assert np.allclose([got.get((i, j), 0) for i in range(1, 5) for j in range(1, 5)], left[1:, 1:].ravel())
     assert np.allclose([P.norm(a, k) for k in "M1IF"], [abs(ZFIVE).max(), *(np.linalg.norm(ZFIVE, o) for o in (1, np.inf, "fro"))])
     assert np.allclose([cells(P.matmul(a, frame(spark, FIVE))).get((i, j), 0) for i in range(5) for j in range(5)], (ZFIVE @ FIVE).ravel())
     e = P.error_norms(v, complex_sides(spark, x + 0.5j)).orderBy("k").collect()
@@ -301,6 +314,8 @@ def test_storage_and_schedules(spark):
     a = frame(spark, np.array([[2.0, 0, 1], [0, 0, 3], [4, 5, 6]]))
     msr = [(r.at, r.val, r.bindx) for r in E.to_msr(a, 3).orderBy("at").collect()]
     assert msr == [(0, 2.0, 4), (1, 0.0, 5), (2, 6.0, 6), (3, None, 8), (4, 1.0, 2), (5, 3.0, 2), (6, 4.0, 0), (7, 5.0, 1)]
+    wide = E.to_msr(complex_frame(spark, np.array([[2j, 1 + 1j], [0, 0]])), 2).orderBy("at").collect()
+    assert [(r.at, r.val and (r.val.re, r.val.im), r.bindx) for r in wide] == [(0, (0.0, 2.0), 3), (1, (0.0, 0.0), 4), (2, None, 4), (3, (1.0, 1.0), 1)]
     for perm in itertools.permutations(range(4)):
         odd = round(np.linalg.det(np.eye(4)[list(perm)]))
         if perm in ((0, 1, 2, 3), (1, 0, 2, 3), (1, 2, 0, 3), (1, 2, 3, 0)):
