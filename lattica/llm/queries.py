@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lattica.llm import bpe, decontam, htmltext, langid, neardup, pipeline, sharding, substring, topk, toxicity, urltree
+from lattica.llm import bpe, decontam, htmltext, langid, merkle, neardup, pipeline, sharding, substring, topk, toxicity, urltree
 from lattica.llm.sampling import crc_share
 
 SHARDS = 40
@@ -70,10 +70,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urltree.judge(_table(spark, sf_dir, "pages"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    fields = lambda n_chars: merkle.digest(*[F.col(c) for c in ("doc_id", "source", "lang")], n_chars, F.col("text"))
+    changed = F.coalesce(crc_share("doc_id", 7) == 0, F.lit(False)) & F.col("n_chars").isNotNull()
+    rows = docs.select("doc_id", "lang", fields(F.col("n_chars")).alias("leaf"), F.when(changed, fields(F.col("n_chars") + 1)).alias("tampered"))
+    out = merkle.manifest(rows, "lang", "doc_id", "leaf", ["doc_id", "tampered"])
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("path"))
+    out = out.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")).cast("binary"), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = [
         op1_language_id, op2_sharding, op3_bpe, op4_decontamination, op5_toxicity,
-        op6_near_duplicates, op7_html_text, op8_top_k, op9_substring_dedup, op10_url_filter,
+        op6_near_duplicates, op7_html_text, op8_top_k, op9_substring_dedup, op10_url_filter, op11_merkle_manifest,
     ]
     return {f.__name__: f for f in ops} | {"pipeline": pipeline.run}
 
@@ -95,8 +106,56 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+#: crc32 of a text ``s``, byte by byte (the texts here are ASCII), each by its eight bits.
+CRC32_SQL = """xor(list_reduce(list_transform(string_split(s, ''), lambda x: ascii(x)::BIGINT),
+  lambda c, b: list_reduce(range(8), lambda y, i: xor(y >> 1, 3988292384 * (y & 1)), xor(c, b)), 4294967295::BIGINT), 4294967295)"""
+
+
+def _field_sql(c: str) -> str:
+    return f"coalesce(strlen(({c})::VARCHAR) || ':' || ({c})::VARCHAR, '-')"
+
+
+#: Trees climb level by level to (tree, level, pos); proofs walk up again from every leaf.
+MERKLE_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT *, {"||".join(map(_field_sql, ("doc_id", "source", "lang")))} a, {_field_sql("text")} z FROM documents
+), l AS (
+  SELECT doc_id, coalesce('=' || lang, '') tree, sha256(a || {_field_sql("n_chars")} || z) leaf,
+    CASE WHEN {CRC32_SQL.replace("(s,", "(doc_id::VARCHAR,")} % 7 = 0 AND n_chars IS NOT NULL THEN sha256(a || {_field_sql("n_chars + 1")} || z) END tampered FROM d
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 pos, count(*) OVER (PARTITION BY tree) n FROM l
+), t AS (
+  SELECT tree, 0 level, pos, leaf h, n FROM p
+  UNION ALL
+  SELECT tree, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (max(n) + 1) // 2 FROM t WHERE n > 1 GROUP BY tree, level, pos // 2
+), s AS (
+  SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 pos, count(*) OVER () n FROM t WHERE n = 1
+), r AS (
+  SELECT 0 level, pos, h, n FROM s
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (max(n) + 1) // 2 FROM r WHERE n > 1 GROUP BY level, pos // 2
+), up AS (
+  SELECT p.tree, p.pos AS leaf_pos, p.pos, 0 level, coalesce(tampered, leaf) folded, '' proof FROM p
+  UNION ALL
+  SELECT up.tree, leaf_pos, up.pos // 2, up.level + 1,
+    sha256(CASE WHEN up.pos % 2 = 1 THEN b.h || folded ELSE folded || coalesce(b.h, '') END), proof || coalesce(b.h, '')
+  FROM up JOIN t a ON a.tree = up.tree AND a.level = up.level AND a.pos = up.pos AND a.n > 1
+  LEFT JOIN t b ON b.tree = up.tree AND b.level = up.level AND b.pos = xor(up.pos, 1::BIGINT)
+), up2 AS (
+  SELECT up.tree, leaf_pos, s.pos, 0 level, folded, proof FROM up JOIN t ON t.tree = up.tree AND t.level = up.level AND t.pos = up.pos AND t.n = 1 JOIN s ON s.tree = up.tree
+  UNION ALL
+  SELECT up2.tree, leaf_pos, up2.pos // 2, up2.level + 1,
+    sha256(CASE WHEN up2.pos % 2 = 1 THEN b.h || folded ELSE folded || coalesce(b.h, '') END), proof || coalesce(b.h, '')
+  FROM up2 JOIN r a ON a.level = up2.level AND a.pos = up2.pos AND a.n > 1
+  LEFT JOIN r b ON b.level = up2.level AND b.pos = xor(up2.pos, 1::BIGINT)
+)
+SELECT p.doc_id, p.leaf, s.h AS subroot, r.h AS root, sha256(up2.proof) AS proof_sha256, up2.folded AS folded_root, up2.folded = r.h AS verified
+FROM p JOIN up2 ON up2.tree = p.tree AND up2.leaf_pos = p.pos JOIN s ON s.tree = p.tree JOIN r ON r.n = 1 AND r.level = up2.level
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    out = {"op8_top_k": TOP_K_SQL}
+    out = {"op8_top_k": TOP_K_SQL, "op11_merkle_manifest": MERKLE_SQL}
     if pipeline.ORACLE_SQL is not None:
         out["pipeline"] = pipeline.ORACLE_SQL
     return out
