@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lattica.llm import bpe, decontam, htmltext, langid, merkle, neardup, pipeline, sharding, substring, topk, toxicity, urltree
+from lattica.llm import bpe, decontam, htmltext, langid, merkle, neardup, pipeline, quality, repair, sharding, substring, topk, toxicity, urltree
 from lattica.llm.sampling import crc_share
 
 SHARDS = 40
@@ -81,10 +81,37 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judge(_table(spark, sf_dir, "documents"), ["doc_id"])
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~F.col("depleted"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_common_words")
+
+
+def _damaged(turns: DataFrame) -> DataFrame:
+    """The rows with faults put in by what their keys hash to; nulls are one blank."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(blank("conv_id"), F.lit(":"), blank("turn")).cast("binary")) % 20
+    rows = turns.select("conv_id", "turn", blank("role").alias("role"), blank("text").alias("text"), kind.alias("kind")).filter("kind != 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    times = F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return rows.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), times.alias("copy")).drop("copy")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    found = repair.audits(_damaged(turns))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    every = turns.select("conv_id").distinct()
+    out = every.join(found, every["conv_id"].eqNullSafe(found["conv"]), "left")
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return out.select("conv_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = [
         op1_language_id, op2_sharding, op3_bpe, op4_decontamination, op5_toxicity,
-        op6_near_duplicates, op7_html_text, op8_top_k, op9_substring_dedup, op10_url_filter, op11_merkle_manifest,
+        op6_near_duplicates, op7_html_text, op8_top_k, op9_substring_dedup, op10_url_filter, op11_merkle_manifest, op12_quality_rules, op13_conversation_repair,
     ]
     return {f.__name__: f for f in ops} | {"pipeline": pipeline.run}
 
@@ -154,8 +181,99 @@ FROM p JOIN up2 ON up2.tree = p.tree AND up2.leaf_pos = p.pos JOIN s ON s.tree =
 """
 
 
+_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+#: Words by position, windows by their three words, lines by what they say without case and digits.
+QUALITY_SQL = f"""
+WITH d AS (
+  SELECT doc_id, source, md5(text) print, coalesce(text, '') text, row_number() OVER () id FROM documents
+), w AS (
+  SELECT id, unnest({_WORDS.format("text")}) word, generate_subscripts({_WORDS.format("text")}, 1) place FROM d
+), g AS (
+  SELECT id, place, word, lead(word) OVER x AS w2, lead(word, 2) OVER x AS w3 FROM w WINDOW x AS (PARTITION BY id ORDER BY place)
+), f AS (
+  SELECT id, place, count(*) OVER (PARTITION BY id, word, w2, w3) times FROM g WHERE w3 IS NOT NULL
+), c AS (
+  SELECT id, count(DISTINCT place + k) n FROM f, range(3) r(k) WHERE times > 1 GROUP BY id
+), l AS (
+  SELECT id, source, print, unnest(string_split(text, chr(10))) line FROM d
+), k AS (
+  SELECT *, len({_WORDS.format("line")}) words,
+    array_to_string({_WORDS.format("translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000')")}, ' ') says FROM l WHERE len({_WORDS.format("line")}) > 0
+), u AS (
+  SELECT id, sum(m - 1) n FROM (SELECT id, line, count(*) m FROM k GROUP BY 1, 2) GROUP BY 1
+), o AS (
+  SELECT source, count(DISTINCT print) texts FROM d WHERE len({_WORDS.format("text")}) > 0 GROUP BY 1
+), b AS (
+  SELECT k.source, says, count(DISTINCT print) texts FROM k GROUP BY 1, 2
+), h AS (
+  SELECT b.source, says FROM b JOIN o ON b.source IS NOT DISTINCT FROM o.source WHERE b.texts > greatest({float(quality.LEAST)}::DOUBLE, o.texts * {quality.SHARE}::DOUBLE)
+), x AS (
+  SELECT k.id, sum(words) n FROM k JOIN h ON h.says = k.says AND h.source IS NOT DISTINCT FROM k.source GROUP BY 1
+), e AS (
+  SELECT d.doc_id, len({_WORDS.format("text")}) n_words, length(array_to_string({_WORDS.format("text")}, '')) word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]')) n_symbols, coalesce(u.n, 0)::BIGINT n_dup_lines, coalesce(c.n, 0)::BIGINT n_repeat_words, coalesce(x.n, 0)::BIGINT n_common_words
+  FROM d LEFT JOIN u USING (id) LEFT JOIN c USING (id) LEFT JOIN x USING (id)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT n_common_words > n_words * {quality.DEPLETED}::DOUBLE AS kept FROM e
+"""
+
+
+#: From the last turn to the first the least cost behind each role (none, system, user, assistant), then from the first on the least letters.
+REPAIR_SQL = f"""
+WITH RECURSIVE o AS (
+  SELECT conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') says FROM conversations
+), m AS (
+  SELECT *, {CRC32_SQL.replace("(s,", "(says,")} % 20 kind FROM o
+), d AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END text
+  FROM m, range(2) r(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)
+), p AS (
+  SELECT *, dense_rank() OVER (ORDER BY conv_id) c, row_number() OVER x - 1 i, left(role, 1) f, lead(left(role, 1)) OVER x g,
+    sha256(strlen(role) || ':' || role || text) same, count(*) OVER (PARTITION BY conv_id) n
+  FROM d WINDOW x AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(strlen(role) || ':' || role || text))
+), q AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, same ORDER BY i) > 1 THEN 'd'
+    WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 't' ELSE '' END fault FROM p
+), k AS MATERIALIZED (
+  SELECT *, CASE fault WHEN 't' THEN 5 WHEN '' THEN 0 ELSE 1000000000 END + CASE f WHEN 's' THEN 0 ELSE 1000000000 END s,
+    CASE fault WHEN 't' THEN 5 WHEN '' THEN 0 ELSE 1000000000 END + CASE f WHEN 'u' THEN 0 ELSE 1 END u,
+    CASE fault WHEN 't' THEN 5 WHEN '' THEN 0 ELSE 1000000000 END + CASE f WHEN 'a' THEN 0 ELSE 1 END a FROM q
+), w AS (
+  SELECT DISTINCT c, n i, 0::BIGINT w0, 10::BIGINT w1, 5::BIGINT w2, 0::BIGINT w3 FROM k
+  UNION ALL
+  SELECT k.c, k.i, least(2 + w0, s + w1, u + w2, 5 + a + w3), least(2 + w1, u + w2, 5 + a + w3), least(2 + w2, 5 + u + w2, a + w3), least(2 + w3, u + w2, 5 + a + w3)
+  FROM w JOIN k ON k.c = w.c AND k.i = w.i - 1
+), y AS MATERIALIZED (SELECT * FROM w), x AS (
+  SELECT k.*, v.w0 v0, v.w1 v1, v.w2 v2, v.w3 v3, y.w0, y.w1, y.w2, y.w3,
+    CASE f WHEN 'u' THEN 'K' ELSE 'R' END || '2' lu, CASE f WHEN 'a' THEN 'K' ELSE 'R' END || '3' la FROM k JOIN y ON y.c = k.c AND y.i = k.i JOIN y v ON v.c = k.c AND v.i = k.i + 1
+), z AS MATERIALIZED (
+  SELECT *, [CASE WHEN 2 + v0 = w0 THEN 'D0' ELSE list_min([CASE WHEN s + v1 = w0 THEN 'K1' END, CASE WHEN u + v2 = w0 THEN lu END, CASE WHEN 5 + a + v3 = w0 THEN 'I' || la END]) END,
+    CASE WHEN 2 + v1 = w1 THEN 'D1' ELSE list_min([CASE WHEN u + v2 = w1 THEN lu END, CASE WHEN 5 + a + v3 = w1 THEN 'I' || la END]) END,
+    CASE WHEN 2 + v2 = w2 THEN 'D2' ELSE list_min([CASE WHEN 5 + u + v2 = w2 THEN 'I' || lu END, CASE WHEN a + v3 = w2 THEN la END]) END,
+    CASE WHEN 2 + v3 = w3 THEN 'D3' ELSE list_min([CASE WHEN u + v2 = w3 THEN lu END, CASE WHEN 5 + a + v3 = w3 THEN 'I' || la END]) END] best FROM x
+), e AS (
+  SELECT DISTINCT c, n, 0::BIGINT i, 0 state, '' audit, ''::VARCHAR body FROM z
+  UNION ALL
+  SELECT e.c, e.n, e.i + 1, right(best[state + 1], 1)::INTEGER, audit || left(best[state + 1], -1),
+    body || CASE WHEN best[state + 1][1] = 'I' THEN CASE state WHEN 2 THEN 'assistant:' ELSE 'user:' END || chr(10) ELSE '' END
+    || CASE WHEN best[state + 1][1] = 'D' THEN '' WHEN contains(best[state + 1], 'K') THEN role || ':' || text || chr(10) WHEN right(best[state + 1], 1) = '2' THEN 'user:' || text || chr(10) ELSE 'assistant:' || text || chr(10) END
+  FROM e JOIN z ON z.c = e.c AND z.i = e.i
+), r AS (
+  SELECT c, audit || CASE state WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END audit,
+    sha256(left(body || CASE state WHEN 1 THEN 'user:' || chr(10) || 'assistant:' || chr(10) WHEN 2 THEN 'assistant:' || chr(10) ELSE '' END, -1)) digest FROM e WHERE i = n
+), t AS (
+  SELECT conv_id, c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) gaps, count(*) FILTER (fault = 'b') blank, count(*) FILTER (fault = 'd') duplicate,
+    count(*) FILTER (fault = 't') truncated, count(*) FILTER (i < n - 1 AND f || g NOT IN ('su', 'ua', 'au')) illegal FROM k GROUP BY ALL
+)
+SELECT DISTINCT h.conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate, coalesce(truncated, 0) truncated, coalesce(illegal, 0) illegal,
+  coalesce(y.w0, 0) AS cost, coalesce(audit, '') audit, coalesce(digest, sha256('')) repaired_sha256
+FROM conversations h LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM h.conv_id LEFT JOIN r ON r.c = t.c LEFT JOIN y ON y.c = t.c AND y.i = 0
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    out = {"op8_top_k": TOP_K_SQL, "op11_merkle_manifest": MERKLE_SQL}
+    out = {"op8_top_k": TOP_K_SQL, "op11_merkle_manifest": MERKLE_SQL, "op12_quality_rules": QUALITY_SQL, "op13_conversation_repair": REPAIR_SQL}
     if pipeline.ORACLE_SQL is not None:
         out["pipeline"] = pipeline.ORACLE_SQL
     return out
