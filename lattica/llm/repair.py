@@ -275,8 +275,8 @@ def repaired(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     empty = lambda c: F.transform(c, lambda r: F.struct(name(r).alias("role"), F.lit("").alias("text")))
     own = F.when(F.col("gets") > 0, F.array(F.struct(_new_role().alias("role"), "text"))).otherwise(F.array().cast("array<struct<role:string,text:string>>"))
     out = edited(turns, conv, turn, role, text, block).select("key", "conv", "pos", F.posexplode(F.concat(empty("ahead"), own, empty("behind"))).alias("step", "said"))
-    out = scratch.keep(out.select("key", "conv", "pos", "step", "said.role", "said.text"), "repaired")
-    return numbered(scratch, out, "key", ["pos", "step"]).select("conv", F.col("pos").alias("place"), "role", "text")
+    out = scratch.keep(out.select("key", "conv", F.col("pos").alias("after"), "step", "said.role", "said.text"), "repaired")
+    return numbered(scratch, out, "key", ["after", "step"]).select("conv", F.col("pos").alias("place"), "role", "text")
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

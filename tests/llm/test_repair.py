@@ -45,7 +45,7 @@ def plain(rows: list[tuple]) -> tuple[int, str, list[str]]:
             if fault[i] in ("", "t"):
                 role, text = rows[i]
                 more = 5 if fault[i] == "t" else 0
-                heapq.heappush(heap, (cost + more, audit + "K", i + 1, roles + role[:1], (*lines, f"{role}:{text}")))
+                heapq.heappush(heap, (cost + more, audit + "K", i + 1, roles + (role[:1] or "?"), (*lines, f"{role}:{text}")))
                 for r in ("user", "assistant"):
                     heapq.heappush(heap, (cost + more + 1, audit + "R", i + 1, roles + r[0], (*lines, f"{r}:{text}")))
     raise AssertionError
