@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lattica.llm.columns import fresh
 from lattica.llm.textbytes import release, text_array
@@ -21,8 +21,8 @@ from lattica.plans.scratch import Scratch
 
 #: A line is common on a host if more than this share of its distinct texts hold it, and more than so many of them.
 SHARE, LEAST = 0.05, 10
-#: A document is depleted if its common lines hold more than this share of its words.
-DEPLETED = 0.5
+#: A document with common lines is depleted if they hold more than this share of its words, or leave it fewer words than this.
+DEPLETED, LEFT = 0.5, 50
 #: Copies of a common line's key in the join, so that a line of many documents is many tasks' work.
 SALTS = 16
 
@@ -123,11 +123,16 @@ def common_lines(measured: DataFrame, share: float = SHARE, least: int = LEAST)
     return held.join(sizes.withColumnRenamed("host_", "of_host"), F.col("host_").eqNullSafe(F.col("of_host"))).withColumn("limit", limit).filter("texts > limit").select("host_", "line", "texts", "limit")
 
 
-def judge(docs: DataFrame, ids: list[str], host: str = "source", text: str = "text", share: float = SHARE, least: int = LEAST, depleted: float = DEPLETED) -> DataFrame:
+def _depleted(words: Column, common: Column, share: float, left: int) -> Column:
+    return (common > 0) & ((common > words * F.lit(share)) | (words - common < left))
+
+
+def judge(docs: DataFrame, ids: list[str], host: str = "source", text: str = "text", share: float = SHARE, least: int = LEAST, depleted: float = DEPLETED, left: int = LEFT) -> DataFrame:
     """``ids`` of every row with its counts, ``n_common_words`` and ``depleted``.
 
     ``n_common_words`` are the words of lines that more than ``share`` of the host's distinct
-    texts (and more than ``least``) hold; a document with more than the share ``depleted`` of its words in such lines is depleted.
+    texts (and more than ``least``) hold; a document is depleted if it has such a line and they hold more than the share ``depleted``
+    of its words, or leave fewer than ``left`` words.
     A null text counts as empty and is not depleted; rows without a host form a host of their own;
     repeated rows are judged each, alike; a text of any length is read whole; an empty table gives no rows.
     ``ids`` must not have the names of results; no other column is read.
@@ -140,11 +145,11 @@ def judge(docs: DataFrame, ids: list[str], host: str = "source", text: str = "te
     hit = held.join(common, (F.col("line") == F.col("of_line")) & (F.col("salt") == F.col("of_salt")) & F.col("host_").eqNullSafe(F.col("of_host")))
     lost = scratch.keep(hit.groupBy("row_").agg(F.sum("words").alias("n_common_words")), "lost")
     out = rows.join(lost, "row_", "left").withColumn("n_common_words", F.coalesce("n_common_words", F.lit(0)))
-    out = out.withColumn("depleted", F.col("n_common_words") > F.col("n_words") * F.lit(depleted))
+    out = out.withColumn("depleted", _depleted(F.col("n_words"), F.col("n_common_words"), depleted, left))
     return out.select(*ids, *[f for f, _ in FIELDS], "n_common_words", "depleted")
 
 
-def without_common_lines(docs: DataFrame, host: str = "source", text: str = "text", share: float = SHARE, least: int = LEAST, depleted: float = DEPLETED) -> DataFrame:
+def without_common_lines(docs: DataFrame, host: str = "source", text: str = "text", share: float = SHARE, least: int = LEAST, depleted: float = DEPLETED, left: int = LEFT) -> DataFrame:
     """``docs`` without depleted rows, and without common lines in the texts that stay; other columns, and texts without a common line, stay as they are.
 
     Nulls, repeated rows, long texts and empty tables as in ``judge``.
@@ -156,7 +161,7 @@ def without_common_lines(docs: DataFrame, host: str = "source", text: str = "tex
     common = common_lines(rows, share, least).select(F.col("host_").alias("of_host"), F.col("line").alias("of_line"))
     held = rows.select(row, "host_", "n_words", F.inline("lines_"))
     hit = held.join(common, (F.col("line") == F.col("of_line")) & F.col("host_").eqNullSafe(F.col("of_host")))
-    hit = hit.groupBy(F.col(row).alias(told)).agg((F.sum("words") > F.first("n_words") * F.lit(depleted)).alias(gone), F.collect_list("line").alias(lines))
+    hit = hit.groupBy(F.col(row).alias(told)).agg(_depleted(F.first("n_words"), F.sum("words"), depleted, left).alias(gone), F.collect_list("line").alias(lines))
     out = kept.join(hit, F.col(row) == F.col(told), "left").filter(~F.coalesce(F.col(gone), F.lit(False)))
 
     @F.pandas_udf("string")

@@ -215,7 +215,7 @@ WITH d AS (
   FROM d LEFT JOIN u USING (id) LEFT JOIN c USING (id) LEFT JOIN x USING (id)
 )
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT n_common_words > n_words * {quality.DEPLETED}::DOUBLE AS kept FROM e
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (n_common_words > 0 AND (n_common_words > n_words * {quality.DEPLETED}::DOUBLE OR n_words - n_common_words < {quality.LEFT})) AS kept FROM e
 """
 
 

@@ -10,7 +10,7 @@ import pytest
 from lattica.llm import quality
 
 
-def plain(rows: list[tuple], share: float, least: int) -> dict:
+def plain(rows: list[tuple], share: float, least: int, left: int = 0) -> dict:
     """id -> counts, common words and whether depleted, of rows (id, host, text)."""
     split = lambda t: re.findall("[^\x20\x09-\x0d]+", t or "")
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", "abcdefghijklmnopqrstuvwxyz000000000")
@@ -29,7 +29,7 @@ def plain(rows: list[tuple], share: float, least: int) -> dict:
         grams = Counter(zip(w, w[1:], w[2:], strict=False))
         covered = {k + d for k in range(len(w) - 2) if grams[tuple(w[k : k + 3])] > 1 for d in range(3)}
         lost = sum(len(split(x)) for x in lines[i] if (h, norm(x)) in common)
-        out[i] = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines[i]) - len(set(lines[i])), len(covered), lost, lost > len(w) * quality.DEPLETED)
+        out[i] = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines[i]) - len(set(lines[i])), len(covered), lost, lost > 0 and (lost > len(w) * quality.DEPLETED or len(w) - lost < left))
     return out
 
 
@@ -53,7 +53,8 @@ ROWS = [
 
 def test_judge_equals_a_plain_version(spark):
     df = spark.createDataFrame([(*r, "x") for r in ROWS], "doc_id long, source string, text string, n_words string")
-    out = quality.judge(df, ["doc_id"], share=0.2, least=2)
+    assert {r.doc_id for r in quality.judge(df, ["doc_id"], share=0.2, least=2, left=11).collect() if r.depleted} == {k for k, v in plain(ROWS, 0.2, 2, 11).items() if v[-1]} == {1, 3, 4}
+    out = quality.judge(df, ["doc_id"], share=0.2, least=2, left=0)
     want = plain(ROWS, 0.2, 2)
     got = out.collect()
     assert len(got) == len(ROWS)
@@ -64,7 +65,7 @@ def test_judge_equals_a_plain_version(spark):
 
 def test_without_common_lines(spark):
     df = spark.createDataFrame([(*r, "x") for r in ROWS], "doc_id long, source string, text string, row string")
-    got = {r.doc_id: r for r in quality.without_common_lines(df, share=0.2, least=2).collect()}
+    got = {r.doc_id: r for r in quality.without_common_lines(df, share=0.2, least=2, left=0).collect()}
     assert set(got) == {r[0] for r in ROWS} - {3, 4}
     assert got[1].text == "One two three.\nmore words stand here é ü" and got[1].row == "x"
     assert got[5].text == "Footer 12 of HOST\nand more" and got[7].text is None
