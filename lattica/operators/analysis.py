@@ -1,7 +1,7 @@
 """Orderings, matchings, trees and factor patterns as tables.
 
-These graph algorithms are sequential over the pattern, so each runs in one task
-on ``(i, j, v)``; systems of a batch run side by side with ``per`` = their key.
+Those that work in one task on ``(i, j, v)`` serve systems of a batch side by side, with ``per`` = their key; for
+one large system there are ``dissection``, ``blocks``, ``matching`` and ``trees``, on which some of these build.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from lattica.functions import complexnum as C
+from lattica.operators import blocks as B
 from lattica.plans import kernels as K, local
 from lattica.plans.scratch import Scratch
 
@@ -133,6 +134,14 @@ def supernodes(a: DataFrame, n: int | None = None, relax: int = 30, maxsup: int
     return _per(a, per, "s long, first long, last long, rows long, parent long, level long, task long", fn)
 
 
+def symbolic_parallel(a: DataFrame, n: int, layout: B.Layout | None = None) -> DataFrame:
+    """``(part, i, j)`` as ``symbolic``, by blocks of ``layout`` (the separator tree's, or neighbouring rows): level by level
+    each block's pattern is the union of its entries and of products of the panels before it. Indices are the matrix's own,
+    the order of elimination is the layout's.
+    """
+    return B.factorize_blocks(a, n, layout or B.in_order(a, n), B.Pattern()).entries().select("part", "i", "j")
+
+
 def symbolic(a: DataFrame, n: int | None = None, per: str | None = None) -> DataFrame:
     """``(part, i, j)``: the exact patterns of L (with its diagonal) and U (with it) for diagonal pivots."""
 
@@ -149,9 +158,22 @@ def symbolic(a: DataFrame, n: int | None = None, per: str | None = None) -> Data
     return _per(a, per, "part string, i long, j long", fn)
 
 
+def _rows_of(*frames: tuple[DataFrame, list[str]]) -> int:
+    """One more than the greatest index of some columns."""
+    most = [frame.agg(F.greatest(*[F.coalesce(F.max(c), F.lit(-1)) for c in columns], F.lit(-1)).alias("m")).first()["m"] for frame, columns in frames]
+    return int(max(most)) + 1
+
+
 def incomplete_lu(a: DataFrame, n: int | None = None, per: str | None = None) -> DataFrame:
-    """ILU of level 0, ``(i, j, v)`` on the pattern of A: L below the diagonal (units not stored), U on and above."""
+    """ILU of level 0, ``(i, j, v)`` on the pattern of A: L below the diagonal (units not stored), U on and above.
+
+    One system is factored by blocks of neighbouring rows, a batch member in a task of its own.
+    """
     wide = C.is_complex(a, "v")
+    if per is None:
+        n = _rows_of((a, ["i", "j"])) if n is None else n
+        f = B.factorize_blocks(a, n, B.in_order(a, n), B.NoFill("complex128" if wide else "float64"))
+        return f.entries().filter("part = 'U' or i != j").select("i", "j", "v")
     parts = a.withColumn("re", C.widen(F.col("v"), wide)["re"]).withColumn("im", C.widen(F.col("v"), wide)["im"]).drop("v")
 
     def fn(m: pd.DataFrame) -> pd.DataFrame:
@@ -161,32 +183,34 @@ def incomplete_lu(a: DataFrame, n: int | None = None, per: str | None = None) ->
 
     out = _per(parts, per, "i long, j long, re double, im double", fn)
     value = C.make(F.col("re"), F.col("im")) if wide else F.col("re")
-    return out.select(*([per] if per else []), "i", "j", value.alias("v"))
+    return out.select(per, "i", "j", value.alias("v"))
 
 
 def triangular_solve(a: DataFrame, b: DataFrame, lower: bool = True, unit: bool = False, trans: bool = False, conj: bool = False) -> DataFrame:
-    """X of T X = B with T the lower or upper triangle of ``a`` (its transpose, its conjugate), in one task; a zero diagonal gives infinities."""
-    va, vb = C.is_complex(a, "v"), C.is_complex(b, "x")
-    wide = va or vb
-
-    def values(frame: pd.DataFrame, re: str, im: str) -> np.ndarray:
-        return frame[re].to_numpy(float) + 1j * frame[im].to_numpy(float) if wide else frame[re].to_numpy(float)
-
-    def work(m: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        r = r.set_axis(["one", "i", "k", "re", "im"], axis=1)
-        n = int(max([f[c].max() for f, c in ((m, "i"), (m, "j"), (r, "i")) if len(f)], default=-1)) + 1
-        ks = np.unique(r["k"])
-        rhs = np.zeros((n, len(ks)), complex if wide else float)
-        np.add.at(rhs, (r["i"].to_numpy(np.int64), np.searchsorted(ks, r["k"])), values(r, "re", "im"))
-        with np.errstate(all="ignore"):
-            x = local.triangular(n, m["i"].to_numpy(np.int64), m["j"].to_numpy(np.int64), values(m, "re", "im"), rhs, lower, unit, trans, conj)
-        return pd.DataFrame({"i": np.repeat(np.arange(n), len(ks)), "k": np.tile(ks, n).astype(np.int32), "re": np.real(x).ravel(), "im": np.imag(x).ravel()})
-
-    v, x = C.widen(F.col("v"), va), C.widen(F.col("x"), vb)
-    left = a.select(F.lit(0).alias("one"), "i", "j", v["re"].alias("re"), v["im"].alias("im"))
-    right = b.select(F.lit(0).alias("other"), F.col("i").alias("r_i"), F.col("k").alias("r_k"), x["re"].alias("r_re"), x["im"].alias("r_im"))
-    out = left.groupBy("one").cogroup(right.groupBy("other")).applyInPandas(work, "i long, k int, re double, im double")
-    return out.select("i", "k", (C.make(F.col("re"), F.col("im")) if wide else F.col("re")).alias("x"))
+    """X of T X = B with T the lower or upper triangle of ``a`` (its transpose, its conjugate); a zero diagonal gives infinities.
+
+    Blocks of neighbouring rows are solved level by level, as their entries allow: ``blocks.by_need``.
+    """
+    wide = C.is_complex(a, "v")
+    v = C.conjugate(F.col("v")) if conj and wide else F.col("v")
+    t = a.filter("i >= j" if lower else "i <= j").select("i", "j", v.alias("v"))
+    if trans:
+        t, lower = t.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"), not lower
+    n = _rows_of((a, ["i", "j"]), (b, ["i"]))
+    if unit and not lower:
+        ones = C.widen(F.lit(1.0), False) if wide else F.lit(1.0)
+        t = t.filter("i != j").unionByName(a.sparkSession.range(n).select(F.col("id").alias("i"), F.col("id").alias("j"), ones.alias("v")))
+    elif not unit and lower:  # rows divided by their diagonal: a unit lower triangle
+        t = Scratch(a.sparkSession).keep(t, "triangle")
+        diag = t.filter("i = j").select("i", F.col("v").alias("d"))
+        endless, none = C.make(F.lit(float("inf")), F.lit(0.0)) if wide else F.lit(float("inf")), C.size(F.coalesce("d", C.widen(F.lit(0.0), not wide)), wide) == 0
+        one = C.widen(F.lit(1.0), False) if wide else F.lit(1.0)
+        by = F.when(none, endless).otherwise(C.divide(one, F.col("d")) if wide else F.try_divide(one, F.col("d")))
+        s = b.sparkSession.range(n).withColumnRenamed("id", "i").join(diag, "i", "left").select("i", by.alias("s"))
+        times = lambda x, w: C.multiply(C.widen(x, w), F.col("s")) if wide else C.times(x, F.col("s"), w)
+        t = t.join(s, "i").select("i", "j", times(F.col("v"), wide).alias("v"))
+        b = b.join(s, "i").select("i", "k", times(F.col("x"), C.is_complex(b, "x")).alias("x"))
+    return B.triangle_factor(t, n, B.by_need(t, n, upper=not lower), lower).solve(b, lower=lower, upper=not lower)
 
 
 def level_sets(low: DataFrame, n: int | None = None, per: str | None = None) -> DataFrame:

@@ -22,8 +22,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lattica.functions import complexnum as C
 from lattica.functions.machine import EPS, TINY_SHARE
 from lattica.operators import products as P
+from lattica.operators.distributed import BlockSystem, factorize_system
 from lattica.operators.elementwise import scale
 from lattica.operators.graph import connected_components
+from lattica.operators.matching import heavy_perfect_matching
 from lattica.plans import kernels as K
 from lattica.plans import local
 from lattica.plans.local import Options
@@ -203,6 +205,8 @@ def factorize(a: DataFrame, n: int, options: Options | None = None, previous: Fa
         raise ValueError(f"fact={o.fact} needs a previous factor")
     if o.fact == "factored":
         return previous
+    if o.col_perm == "parallel_dissection":  # of a matrix that is analysed in one place
+        o = o.but(col_perm="nested_dissection")
     spark, scratch = a.sparkSession, Scratch(a.sparkSession)
     stats: list[tuple[str, float]] = []
     clock = [time.time()]
@@ -216,7 +220,7 @@ def factorize(a: DataFrame, n: int, options: Options | None = None, previous: Fa
     same_rows = o.fact == "same_pattern_same_row_perm"
     entries = a.count()
     if entries > o.analysis_entries:
-        raise ValueError(f"{entries} entries are more than Options.analysis_entries; solve its components as a batch")
+        raise ValueError(f"{entries} entries are more than Options.analysis_entries; solve() goes by blocks then, factorize_system() keeps the factors")
     rows = cols = np.ones(n)
     equed, info = "N", 0
     i, j, v = _arrays(a.withColumn("t", size), "i", "j", "t")
@@ -228,7 +232,11 @@ def factorize(a: DataFrame, n: int, options: Options | None = None, previous: Fa
     if same_rows:
         an = previous.analysis
     else:
-        to = _arrays(row_perm.orderBy("src"), "dst")[0] if o.row_perm == "given" else None
+        if o.row_perm == "heavy_weight" and not info:
+            found = heavy_perfect_matching(a, n)
+            info = n + 1 if found.missing else 0
+            row_perm = None if info else found.pairs
+        to = _arrays(row_perm.orderBy("src"), "dst")[0] if row_perm is not None and o.row_perm in ("given", "heavy_weight") else None
         given = _arrays(col_perm.orderBy("src"), "dst")[0] if o.col_perm == "given" else None
         if o.fact == "same_pattern":
             given = previous.analysis.col_perm
@@ -419,10 +427,10 @@ def _backward_transposed(blocks: list[K.Block], x: np.ndarray) -> None:
 class Solved:
     x: DataFrame
     meta: DataFrame  # (k, berr, refine_steps, info)
-    factor: Factor
+    factor: Factor | BlockSystem
 
 
-def refine(a: DataFrame, f: Factor, b: DataFrame, x: DataFrame, trans: bool = False, precision: str = "double", limit: int = 20) -> tuple[DataFrame, dict[int, tuple[float, int]]]:
+def refine(a: DataFrame, f: Factor | BlockSystem, b: DataFrame, x: DataFrame, trans: bool = False, precision: str = "double", limit: int = 20) -> tuple[DataFrame, dict[int, tuple[float, int]]]:
     """Iterative refinement in double precision; each right-hand side stops by itself. Returns X and (berr, steps) by k."""
     scratch = Scratch(a.sparkSession)
     matrix = scratch.keep(a.select(F.col("j").alias("i"), F.col("i").alias("j"), "v") if trans else a, "matrix")
@@ -457,6 +465,8 @@ def solve(a: DataFrame, b: DataFrame, n: int, options: Options | None = None, pr
     """
     o = options or Options()
     spark = a.sparkSession
+    if previous is None and not perms and (o.col_perm == "parallel_dissection" or a.count() > o.analysis_entries):
+        return solve_blocks(a, b, n, o)
     f = factorize(a, n, o, previous, **perms)
     ks = b.select("k").distinct()
     zero = C.widen(F.lit(0.0), not C.is_complex(b, "x"))
@@ -469,6 +479,30 @@ def solve(a: DataFrame, b: DataFrame, n: int, options: Options | None = None, pr
     return Solved(x, spark.createDataFrame(rows, "k int, berr double, refine_steps int, info long"), f)
 
 
+def solve_blocks(a: DataFrame, b: DataFrame, n: int, options: Options | None = None, leaf: int = 256, size: int = 256) -> Solved:
+    """``solve`` without a step in one task: separator tree, factors by blocks and levels (``distributed.factorize_system``), refinement.
+
+    Parts of the tree have about ``leaf`` rows, blocks at most ``size``. The steps for a level take a few seconds of
+    fixed cost, so small systems are better solved by subtrees.
+    """
+    o = options or Options()
+    work = a.select(F.col("j").alias("i"), F.col("i").alias("j"), "v") if o.trans else a
+    work = Scratch(a.sparkSession).keep(work, "matrix")
+    f = factorize_system(work, n, o, leaf, size)
+    ks = b.select("k").distinct()
+    zero = C.widen(F.lit(0.0), not C.is_complex(b, "x"))
+    full = a.sparkSession.range(n).withColumnRenamed("id", "i").crossJoin(F.broadcast(ks)).join(b, ["i", "k"], "left").select("i", "k", F.coalesce("x", zero).alias("x"))
+    state: dict[int, tuple[float, int]] = {}
+    if f.info:
+        x = full.select("i", "k", F.lit(None).cast(full.schema["x"].dataType).alias("x"))
+    else:
+        x = f.solve(full)
+        if o.refine != "none" and n:
+            x, state = refine(work, f, full, x, False, o.refine, o.refine_limit)
+    rows = [(int(r.k), *state.get(r.k, (None, 0)), f.info) for r in ks.collect()]
+    return Solved(x, a.sparkSession.createDataFrame(rows, "k int, berr double, refine_steps int, info long"), f)
+
+
 def _parts(df: DataFrame, name: str, prefix: str = "") -> DataFrame:
     """The value column as ``re`` and ``im``; every column under a new name, so that a side made from the other can be told apart."""
     value = C.widen(F.col(name), C.is_complex(df, name))

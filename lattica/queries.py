@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lattica.functions import complexnum as C
-from lattica.operators import analysis as N, elementwise as E, products as P, solver as S
+from lattica.operators import analysis as N, blocks as B, dissection as D, elementwise as E, matching as M, products as P, solver as S
 from lattica.plans.local import Options
 from lattica.plans.scratch import Scratch
 from lattica.sources import files, tables as T
@@ -100,10 +101,26 @@ add(
     BAND_SQL,
 )(lambda s, d: _cells(T.perturbed(band(s, d))))
 add("batch_copies", "SELECT b batch_id, i, j, round(v, 6) + 0.0 v FROM a, range(2) r(b)", BAND_SQL)(lambda s, d: T.batch_of(band(s, d), 2).select("batch_id", "i", "j", _r("v")))
+
+
+def _side(spark: SparkSession, d: str) -> int:
+    """Side of the square grid that the parts fill."""
+    return math.isqrt(n_parts(spark, d))
+
+
+def priced_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Five-point stencil on the grid of parts, each row times its part's price."""
+    price = _read(spark, d, "part").select(F.col("p_partkey").alias("i"), "p_retailprice")
+    return T.laplacian(spark, _side(spark, d)).join(price, "i").select("i", "j", (F.col("v") * F.col("p_retailprice")).alias("v"))
+
+
+SIDE_SQL = "k AS (SELECT floor(sqrt(count(*)))::BIGINT k FROM part)"
 add(
     "laplacian",
-    "g AS (SELECT g.i, g.i // 40 r, g.i % 40 c FROM range(1600) g(i)) SELECT a.i, b.i j, CASE WHEN a.i = b.i THEN 4.0 ELSE -1.0 END::DOUBLE v FROM g a JOIN g b ON abs(a.r - b.r) + abs(a.c - b.c) <= 1".replace("g AS", "WITH g AS", 1),
-)(lambda s, d: T.laplacian(s, 40))
+    "SELECT i, j, round(CASE WHEN i = j THEN 4.0 ELSE -1.0 END * p_retailprice, 6) + 0.0 v FROM (SELECT g.i, g.i + o.o j, k, o.o FROM range(1000000) g(i), k, (VALUES (0), (-1), (1), (-k.k), (k.k)) o(o) WHERE g.i < k * k) JOIN part ON p_partkey = i "
+    "WHERE j >= 0 AND j < k * k AND (abs(o) <> 1 OR i // k = j // k)".replace("(VALUES (0), (-1), (1), (-k.k), (k.k)) o(o)", "LATERAL (SELECT unnest([0, -1, 1, -k, k]) o) o"),
+    SIDE_SQL,
+)(lambda s, d: _cells(priced_grid(s, d)))
 add("true_solution", "SELECT p_partkey i, k::INTEGER k, CASE WHEN p_partkey % 2 = 1 THEN 1.0 ELSE -1.0 END::DOUBLE x FROM part, range(2) r(k)")(lambda s, d: T.true_solution(s, n_parts(s, d), 2))
 add("column_pointers", "SELECT p_partkey p, coalesce(sum(c) OVER (ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT start, c count FROM (SELECT p_partkey, count(j) c FROM part LEFT JOIN a ON j = p_partkey GROUP BY 1)", BAND_SQL)(
     lambda s, d: T.pointers(band(s, d), "j", n_parts(s, d))
@@ -260,21 +277,25 @@ for _how in ("mmd_at_plus_a", "mmd_ata", "nested_dissection", "natural"):
             F.count(F.lit(1)).alias("n"), ((F.countDistinct("dst") == F.count(F.lit(1))) & (F.min("dst") == 0) & (F.max("dst") == F.count(F.lit(1)) - 1)).alias("valid")
         )
     )
-GRID = 12
 
 
-@add("order_fill", f"SELECT sum(CASE WHEN j < {GRID} - 1 THEN j + 3 ELSE least({GRID}, {GRID} * {GRID} - 1 - j) + 1 END)::BIGINT AS natural_entries, true AS degree_fewer, true AS dissection_fewer FROM range({GRID} * {GRID}) r(j)")
+@add(
+    "order_fill",
+    "SELECT sum(CASE WHEN j < k - 1 THEN j + 3 ELSE least(k, k * k - 1 - j) + 1 END)::BIGINT AS natural_entries, true AS degree_fewer, true AS dissection_fewer, true AS separators_fewer FROM k, range(1000000) r(j) WHERE j < k * k",
+    SIDE_SQL,
+)
 def order_fill(s: SparkSession, d: str) -> DataFrame:
-    """Entries of L of a square grid: in natural order known by a formula, in fill-reducing orders fewer."""
-    n = GRID * GRID
-    a = Scratch(s).keep(T.laplacian(s, GRID), "grid")
+    """Entries of L of the grid of parts: in natural order known by a formula, in fill-reducing orders fewer."""
+    n = _side(s, d) ** 2
+    a = Scratch(s).keep(priced_grid(s, d), "grid")
 
-    def entries(how: str) -> int:
-        to = Scratch(s).keep(N.order_columns(a, how, n), "order")
+    def entries(to: DataFrame) -> int:
+        to = Scratch(s).keep(to, "order")
         return N.symbolic(E.permute(a, to, to), n).filter("part = 'L'").count()
 
-    natural = entries("natural")
-    return _one(s, "natural_entries long, degree_fewer boolean, dissection_fewer boolean", (natural, entries("mmd_at_plus_a") < natural, entries("nested_dissection") < natural))
+    natural = entries(N.order_columns(a, "natural", n))
+    found = [entries(N.order_columns(a, how, n)) < natural for how in ("mmd_at_plus_a", "nested_dissection")]
+    return _one(s, "natural_entries long, degree_fewer boolean, dissection_fewer boolean, separators_fewer boolean", (natural, *found, entries(D.dissect(a, n).permutation()) < natural))
 
 
 #: Pattern and values of the band's rows side by side, for recursion from row to row.
@@ -425,13 +446,18 @@ add("events_matrix", "SELECT user_id i, ascii(event_type)::BIGINT j, round(sum(v
 )
 
 
-@add("solve_complex", "SELECT i, 0 k, 1.0::DOUBLE re, -1.0::DOUBLE im FROM range(192) r(i)")
+@add("solve_complex", "SELECT i, 0 k, 1.0::DOUBLE re, -1.0::DOUBLE im FROM (SELECT count(*) n FROM part), range(1000000) r(i) WHERE i < greatest(2, n // 500) * 48")
 def solve_complex(s: SparkSession, d: str) -> DataFrame:
-    a = Scratch(s).keep(T.lattice(s, (4, 2, 2, 4), 3))
+    """A lattice as long as there are parts for, each row times its part's price."""
+    parts = n_parts(s, d)
+    length = max(2, parts // 500)
+    price = _read(s, d, "part").select(F.col("p_partkey").alias("p"), "p_retailprice")
+    a = T.lattice(s, (length, 2, 2, 4), 3).withColumn("p", F.col("i") % parts).join(price, "p")
+    a = Scratch(s).keep(a.select("i", "j", C.times(F.col("v"), F.col("p_retailprice"), True).alias("v")))
     x = C.make(F.lit(1.0), F.lit(-1.0))
     b = a.withColumn("t", C.multiply(F.col("v"), x)).groupBy("i").agg(F.sum("t.re").alias("re"), F.sum("t.im").alias("im"))
     b = b.select("i", F.lit(0).alias("k"), F.struct("re", "im").alias("x"))
-    got = S.solve(a, b, 192).x.select("i", "k", F.col("x.re").alias("re"), F.col("x.im").alias("im"))
+    got = S.solve(a, b, length * 48).x.select("i", "k", F.col("x.re").alias("re"), F.col("x.im").alias("im"))
     return got.select("i", "k", _r("re"), _r("im"))
 
 
@@ -707,11 +733,11 @@ def solve_factored(s: SparkSession, d: str) -> DataFrame:
     return _vector(S.solve(a, P.spmv(a, x), n, Options(fact="factored"), first).x)
 
 
-@add("solve_grid", f"SELECT i, 0 k, CASE WHEN i % 2 = 1 THEN 1.0 ELSE -1.0 END::DOUBLE x FROM range(1600) r(i)")
+@add("solve_grid", "SELECT p_partkey i, 0 k, CASE WHEN p_partkey % 2 = 1 THEN 1.0 ELSE -1.0 END::DOUBLE x FROM part, k WHERE p_partkey < k * k", SIDE_SQL)
 def solve_grid(s: SparkSession, d: str) -> DataFrame:
-    """A grid of 40 by 40, which fills in, factored by subtrees."""
-    a = Scratch(s).keep(T.laplacian(s, 40), "grid")
-    return _vector(S.solve(a, P.spmv(a, T.true_solution(s, 1600)), 1600, Options(task_rows=200, col_perm="nested_dissection")).x)
+    """The grid of parts, which fills in, factored by subtrees."""
+    a, n = Scratch(s).keep(priced_grid(s, d), "grid"), _side(s, d) ** 2
+    return _vector(S.solve(a, P.spmv(a, T.true_solution(s, n)), n, Options(task_rows=200, col_perm="nested_dissection")).x)
 
 
 @add("solve_shifted", X_SQL.format(n=1))
@@ -741,3 +767,70 @@ def solve_batch_sizes(s: SparkSession, d: str) -> DataFrame:
     x = F.when(F.col("j") % 2 == 1, 1.0).otherwise(-1.0)
     b = a.groupBy("batch_id", "i").agg(F.sum(F.col("v") * x).alias("x")).select("batch_id", "i", F.lit(0).alias("k"), "x")
     return S.solve_batch(a, b).select("batch_id", "i", "k", _r("x"))
+
+
+# --- without a step in one task -----------------------------------------------------------------------------------------
+
+
+def parts_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Parts linked with neighbours in a row or a column of a grid, by what was sold of them; dominant, and fills in."""
+    n, w = n_parts(spark, d), _side(spark, d)
+    to = f"l_partkey + element_at(array(-{w}, -1, 1, {w}), int(l_suppkey % 4) + 1)"
+    off = T.from_table(_read(spark, d, "lineitem"), "l_partkey", to, "l_discount").filter(f"j >= 0 and j < {n}").withColumn("v", F.col("v") + 0.01)
+    sums = off.groupBy("i").agg(F.sum("v").alias("s"))
+    diag = spark.range(n).withColumnRenamed("id", "i").join(sums, "i", "left")
+    return off.unionByName(diag.select("i", F.col("i").alias("j"), (F.lit(1.0) + F.coalesce("s", F.lit(0.0))).alias("v")))
+
+
+PARTS_GRID_SQL = """n AS (SELECT count(*) n, floor(sqrt(count(*)))::BIGINT w FROM part),
+off AS (SELECT i, j, v FROM (SELECT l_partkey i, l_partkey + [-w, -1, 1, w][l_suppkey % 4 + 1] j, sum(l_discount) + 0.01 v FROM lineitem, n GROUP BY 1, 2), n WHERE j >= 0 AND j < n),
+a AS (SELECT i, j, v FROM off UNION ALL SELECT p_partkey, p_partkey, 1 + coalesce(s, 0) FROM part LEFT JOIN (SELECT i, sum(v) s FROM off GROUP BY 1) ON i = p_partkey)"""
+add("matrix_grid", CELLS + "a", PARTS_GRID_SQL)(lambda s, d: _cells(parts_grid(s, d)))
+SQL["symbolic_parallel"] = SQL["symbolic"]
+add("symbolic_parallel")(lambda s, d: N.symbolic_parallel(_kept(s, d), n_parts(s, d)))
+
+
+@add("separator_tree", "SELECT count(*) AS placed, count(*) AS in_nodes, true AS is_order, 0::BIGINT AS crossing FROM part")
+def separator_tree(s: SparkSession, d: str) -> DataFrame:
+    """Rows placed and in the tree's nodes, and entries that link two nodes of which neither is above the other."""
+    a, n = Scratch(s).keep(parts_grid(s, d), "grid"), n_parts(s, d)
+    found = D.dissect(a, n)
+    at = found.order.select("i", "height", "node")
+    ends = a.join(at, "i").join(at.select(F.col("i").alias("j"), F.col("height").alias("h"), F.col("node").alias("m")), "j")
+    apart = ends.filter("case when height <= h then shiftright(node, h - height) != m else shiftright(m, height - h) != node end").count()
+    return _one(s, "placed long, in_nodes long, is_order boolean, crossing long", (found.order.count(), found.tree.agg(F.sum("size")).first()[0], E.is_permutation(found.permutation(), n), apart))
+
+
+@add("factor_blocks", "SELECT count(*) AS own, 0.0::DOUBLE AS worst FROM a", PARTS_GRID_SQL)
+def factor_blocks(s: SparkSession, d: str) -> DataFrame:
+    """Entries of the grid of parts, and the greatest of L U - A with factors made level by level of its separator tree."""
+    a, n = Scratch(s).keep(parts_grid(s, d), "grid"), n_parts(s, d)
+    f = Scratch(s).keep(B.factorize_blocks(a, n, B.by_tree(D.dissect(a, n))).entries(), "factors")
+    product = P.matmul(f.filter("part = 'L'").drop("part"), f.filter("part = 'U'").drop("part"))
+    gap = product.unionByName(a.select("i", "j", (-F.col("v")).alias("v"))).groupBy("i", "j").agg(F.sum("v").alias("v"))
+    return gap.agg((F.round(F.max(F.abs("v")), 9) + 0.0).alias("worst")).withColumn("own", F.lit(a.count())).select("own", "worst")
+
+
+@add("solve_blocks", X_SQL.format(n=2))
+def solve_blocks(s: SparkSession, d: str) -> DataFrame:
+    """The grid of parts with its rows turned: matched, cut by separators, factored and solved by blocks."""
+    n = n_parts(s, d)
+    turn = s.range(n).select(F.col("id").alias("src"), ((F.col("id") + 7) % n).alias("dst"))
+    a = Scratch(s).keep(E.permute(parts_grid(s, d), turn), "grid")
+    return _vector(S.solve(a, P.spmv(a, T.true_solution(s, n, 2)), n, Options(col_perm="parallel_dissection")).x)
+
+
+@add("solve_blocks_complex", "SELECT i, 0 k, xr::DOUBLE re, xi::DOUBLE im FROM zx", ZX_SQL)
+def solve_blocks_complex(s: SparkSession, d: str) -> DataFrame:
+    a, n = Scratch(s).keep(zband(s, d), "band"), n_parts(s, d)
+    return _zvector(S.solve(a, P.spmv(a, ztrue(s, n)), n, Options(col_perm="parallel_dissection", row_perm="none")).x)
+
+
+@add("perfect_matching", "SELECT p_partkey src, p_partkey dst FROM part")
+def perfect_matching(s: SparkSession, d: str) -> DataFrame:
+    """Chains of eight parts whose heaviest entries leave a row without a column; only the light diagonal is perfect."""
+    sold = T.from_table(_read(s, d, "lineitem"), "l_partkey", "l_partkey + 1", "l_quantity").filter("i % 8 < 7")
+    n = n_parts(s, d)
+    one = s.range(n).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("v"))
+    a = Scratch(s).keep(one.unionByName(sold.filter(f"j < {n}").withColumn("v", F.col("v") + 1)), "chains")
+    return M.heavy_perfect_matching(a, n).pairs
