@@ -160,7 +160,7 @@ class NoFill:
 
 @dataclass
 class Layout:
-    """``places(i, block, at, n, level)``: each row's block, its place there, the block's rows and level; ``levels`` in all."""
+    """``places(i, block, at, n, level)``: each row's block (its first position), its place there, the block's rows and level; ``levels`` in all."""
 
     places: DataFrame
     levels: int
@@ -171,9 +171,9 @@ def in_order(a: DataFrame, n: int, size: int = BLOCK, order: DataFrame | None =
     rows = a.sparkSession.range(n).select(F.col("id").alias("i"), F.col("id").alias("pos"))
     if order is not None:
         rows = order.select(F.col("src").alias("i"), F.col("dst").alias("pos"))
-    block = F.expr(f"pos div {size}")
-    width = F.least(F.lit(size), F.lit(n) - block * size).cast("int")
-    places = rows.select("i", block.alias("block"), (F.col("pos") % size).cast("int").alias("at"), width.alias("n"), block.cast("int").alias("level"))
+    turn = F.expr(f"pos div {size}")
+    width = F.least(F.lit(size), F.lit(n) - turn * size).cast("int")
+    places = rows.select("i", (turn * size).alias("block"), (F.col("pos") % size).cast("int").alias("at"), width.alias("n"), turn.cast("int").alias("level"))
     return Layout(Scratch(a.sparkSession).keep(places, "places"), -(-n // size))
 
 
@@ -198,7 +198,7 @@ def by_need(low: DataFrame, n: int, size: int = BLOCK, upper: bool = False) -> L
     """Neighbouring rows as blocks with the least levels that a triangle's entries allow, found by rounds of joins on blocks."""
     plain = in_order(low, n, size)
     scratch = Scratch(low.sparkSession)
-    links = low.select(F.expr(f"i div {size}").alias("to"), F.expr(f"j div {size}").alias("of")).filter("to < of" if upper else "to > of").distinct()
+    links = low.select(F.expr(f"(i div {size}) * {size}").alias("to"), F.expr(f"(j div {size}) * {size}").alias("of")).filter("to < of" if upper else "to > of").distinct()
     links = scratch.keep(links, "links")
     level = scratch.keep(plain.places.select("block").distinct().withColumn("level", F.lit(0)), "levels")
     while True:
@@ -429,8 +429,7 @@ def _due(scratch: Scratch, path: str) -> DataFrame | None:
 def factorize_blocks(a: DataFrame, n: int, layout: Layout, arith=None) -> BlockFactor:
     """LU of ``a`` by levels of ``layout``. Missing diagonal blocks count as zero blocks; entries at one place are summed.
 
-    ``info`` is 1 + the first zero pivot's place in its block, plus the block's number; then solves give infinities. n = 0 gives
-    empty factors.
+    ``info`` is 1 + the position of a zero pivot; then solves give infinities. n = 0 gives empty factors.
     """
     spark = a.sparkSession
     arith = arith or Values("complex128" if C.is_complex(a, "v") else "float64")

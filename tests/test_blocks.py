@@ -147,4 +147,4 @@ def test_levels_by_need(spark):
     a = frame(spark, [(k, k, 2.0) for k in range(12)] + [(9, 0, 1.0), (6, 3, 1.0), (11, 6, 1.0)])
     layout = B.by_need(a, 12, 3)
     levels = {r.block: r.level for r in layout.places.collect()}
-    assert levels == {0: 0, 1: 0, 2: 1, 3: 2} and layout.levels == 3
+    assert levels == {0: 0, 3: 0, 6: 1, 9: 2} and layout.levels == 3
