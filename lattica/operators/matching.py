@@ -10,6 +10,10 @@ from lattica.functions import complexnum as C
 from lattica.plans.scratch import Scratch
 
 
+#: Least raises of the sales, as shares of the spread of weights.
+STEPS = (1 / 8, 1 / 32, 1 / 128, 1 / 512)
+
+
 @dataclass
 class Matching:
     """``pairs(src, dst)``: row src goes to the place of column dst; ``missing`` rows have no partner (structurally singular)."""
@@ -22,30 +26,39 @@ def _auctioned(scratch: Scratch, edges: DataFrame, n: int, rounds: int) -> DataF
     """Columns sold to rows: every free row bids for the column that is worth most to it less its price.
 
     A bid raises the price by what the row gains over its second choice, and a step more; the highest bid takes the column
-    from its owner. The step shrinks from an eighth of the spread of weights to a 64th. Ends after ``rounds``,
-    when no row is free or when the last five rounds sold nothing new.
+    from its owner. The sale is held once for each of ``STEPS`` (shares of the spread of weights): each keeps the prices of the one
+    before and sells all columns anew, so what was sold by coarse steps binds nobody. A sale ends when no row is free, after
+    ``rounds`` bids, or, but for the last sale, when five of them sold no more columns. Where all rows get their first choice at
+    once nothing can be better. What the last sale leaves free is left to augmenting paths.
     """
     ends = edges.agg(F.max("w").alias("a"), F.min("w").alias("b")).first()
-    spread = max((ends["a"] or 0.0) - (ends["b"] or 0.0), 1.0) if ends["a"] is not None else 1.0
-    sold = scratch.keep(edges.select("j", "i", F.col("w").alias("price")).limit(0), "sold")
-    most = still = 0
-    for k in range(rounds):
-        step = spread / min(8 << (k // 6), 64)
-        free = edges.join(sold.select("i"), "i", "left_anti").join(sold.select("j", "price"), "j", "left")
-        worth = free.select("i", "j", (F.col("w") - F.coalesce("price", F.lit(0.0))).alias("worth"), F.coalesce("price", F.lit(0.0)).alias("price"))
-        rank = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("worth"), "j"))
-        two = worth.withColumn("rank", rank).filter("rank <= 2").groupBy("i")
-        bids = two.agg(F.max(F.when(F.col("rank") == 1, F.struct("j", "price", "worth"))).alias("b"), F.max(F.when(F.col("rank") == 2, F.col("worth"))).alias("second"))
-        gain = F.coalesce(F.col("b.worth") - F.col("second"), F.lit(spread)) + step
-        best = bids.select("i", F.col("b.j").alias("j"), (F.col("b.price") + gain).alias("bid")).groupBy("j").agg(F.max(F.struct("bid", (-F.col("i")).alias("o"))).alias("b"))
-        best = best.select("j", (-F.col("b.o")).alias("i"), F.col("b.bid").alias("price"))
-        after = scratch.keep(sold.join(best.select("j"), "j", "left_anti").unionByName(best), "sold", n)
-        scratch.drop(sold)
-        sold, have = after, after.count()
-        most, still = max(most, have), 0 if have > most else still + 1
-        if have == n or still >= 5:
+    spread = max(ends["a"] - ends["b"], 1.0) if ends["a"] is not None else 1.0
+    prices = scratch.keep(edges.select("j", F.col("w").alias("price")).limit(0), "prices")
+    sold = prices.select("j", F.lit(0).cast("long").alias("i"), "price")
+    for at, share in enumerate(STEPS):
+        step, most, still = spread * share, 0, 0
+        sold = scratch.keep(prices.select("j", F.lit(None).cast("long").alias("i"), "price"), "sold", n)
+        for k in range(rounds):
+            taken = sold.filter("i is not null").select("i")
+            free = edges.join(taken, "i", "left_anti").join(sold.select("j", "price"), "j", "left").withColumn("price", F.coalesce("price", F.lit(0.0)))
+            worth = free.select("i", "j", (F.col("w") - F.col("price")).alias("worth"), "price")
+            rank = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("worth"), "j"))
+            two = worth.withColumn("rank", rank).filter("rank <= 2").groupBy("i")
+            bids = two.agg(F.max(F.when(F.col("rank") == 1, F.struct("j", "price", "worth"))).alias("b"), F.max(F.when(F.col("rank") == 2, F.col("worth"))).alias("second"))
+            gain = F.coalesce(F.col("b.worth") - F.col("second"), F.lit(spread)) + step
+            best = bids.select("i", F.col("b.j").alias("j"), (F.col("b.price") + gain).alias("bid")).groupBy("j").agg(F.max(F.struct("bid", (-F.col("i")).alias("o"))).alias("b"))
+            best = best.select("j", (-F.col("b.o")).alias("i"), F.col("b.bid").alias("price"))
+            after = scratch.keep(sold.join(best.select("j"), "j", "left_anti").unionByName(best), "sold", n)
+            scratch.drop(sold)
+            sold, have = after, after.filter("i is not null").count()
+            still = 0 if have > most else still + 1
+            most = max(most, have)
+            if have == n or (still >= 5 and at + 1 < len(STEPS)):
+                break
+        if at == 0 and most == n and k == 0:
             break
-    return scratch.keep(sold.select("i", "j"), "found", n)
+        prices = scratch.keep(sold.select("j", "price"), "prices", n)
+    return scratch.keep(sold.filter("i is not null").select("i", "j"), "found", n)
 
 
 def _augmented(scratch: Scratch, edges: DataFrame, found: DataFrame, rows: DataFrame) -> tuple[DataFrame, int]:
@@ -104,10 +117,10 @@ def _exchanged(scratch: Scratch, edges: DataFrame, found: DataFrame) -> tuple[Da
     return scratch.keep(found.join(moved.select("i"), "i", "left_anti").unionByName(moved), "found"), True
 
 
-def heavy_perfect_matching(a: DataFrame, n: int, auction_rounds: int = 40, exchange_rounds: int = 5) -> Matching:
+def heavy_perfect_matching(a: DataFrame, n: int, auction_rounds: int = 30, exchange_rounds: int = 5) -> Matching:
     """A perfect matching of the nonzero entries of n rows and columns whose product of sizes is large.
 
-    First an auction of at most ``auction_rounds`` rounds; then augmenting paths until every row has a column, or none is left to gain (``missing`` rows
+    First an auction of at most ``auction_rounds`` rounds for each of its steps; then augmenting paths until every row has a column, or none is left to gain (``missing`` rows
     of a structurally singular matrix); then rows exchange columns in pairs as long as the product grows, at most
     ``exchange_rounds`` times. The greatest product is not promised. Zeros count as no entries.
     """
