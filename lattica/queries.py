@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lattica.functions import complexnum as C
-from lattica.operators import analysis as N, blocks as B, dissection as D, elementwise as E, matching as M, products as P, solver as S
+from lattica.operators import analysis as N, blocks as B, dissection as D, elementwise as E, matching as M, products as P, solver as S, trees as R
 from lattica.plans.local import Options
 from lattica.plans.scratch import Scratch
 from lattica.sources import files, tables as T
@@ -312,11 +312,24 @@ SELECT i, p2, p1, b1 <> 0 OR (p1 AND q2), b2 <> 0, q1, q2 FROM (SELECT w.*, fl.q
 TREE_SQL = """y AS MATERIALIZED (SELECT p_partkey i, coalesce(bool_or(t.d = 1), false) s1, coalesce(bool_or(t.d = 2), false) s2 FROM part LEFT JOIN (SELECT greatest(i, j) i, abs(i - j) d FROM a WHERE i <> j) t ON t.i = p_partkey GROUP BY 1),
 ch AS (SELECT 0::BIGINT i, false c1, false c2 UNION ALL SELECT y.i, y.s1 OR (y.s2 AND ch.c1), y.s2 FROM ch JOIN y ON y.i = ch.i + 1)"""
 
-add("elimination_parents", "SELECT k.p_partkey node, CASE WHEN x.c1 THEN x.i WHEN z.c2 THEN z.i ELSE n END::BIGINT parent FROM part k, n LEFT JOIN ch x ON x.i = k.p_partkey + 1 LEFT JOIN ch z ON z.i = k.p_partkey + 2", f"RECURSIVE {BAND_SQL}, {TREE_SQL}")(
-    lambda s, d: N.elimination_tree(_kept(s, d), n_parts(s, d)).select("node", "parent")
+#: Pattern of A'A beside the band (a row's columns are neighbours) and its Cholesky pattern: whether a row reaches one to four to the left.
+COLUMN_TREE_SQL = """ap AS MATERIALIZED (SELECT DISTINCT greatest(l.j, r.j) i, abs(l.j - r.j) d FROM a l JOIN a r USING (i) WHERE l.j <> r.j),
+y AS MATERIALIZED (SELECT p_partkey i, coalesce(bool_or(d = 1), false) s1, coalesce(bool_or(d = 2), false) s2, coalesce(bool_or(d = 3), false) s3, coalesce(bool_or(d = 4), false) s4 FROM part LEFT JOIN ap ON i = p_partkey GROUP BY 1),
+ch AS (SELECT 0::BIGINT i, false f1, false f2, false f3, false f4, false g1, false g2, false g3, false h1, false h2, false k1 UNION ALL
+SELECT i, s1 OR (s4 AND g3) OR (e3 AND g2) OR (e2 AND g1), e2, e3, s4, g1, g2, g3, h1, h2, k1 FROM (SELECT *, s2 OR (s4 AND h2) OR (e3 AND h1) e2 FROM (SELECT y.*, ch.f1 g1, ch.f2 g2, ch.f3 g3, ch.g1 h1, ch.g2 h2, ch.h1 k1, y.s3 OR (y.s4 AND ch.h1) e3 FROM ch JOIN y ON y.i = ch.i + 1)))"""
+SYMMETRIC_PARENTS = "pa AS MATERIALIZED (SELECT k.p_partkey node, CASE WHEN x.c1 THEN x.i WHEN z.c2 THEN z.i ELSE n END::BIGINT parent FROM part k, n LEFT JOIN ch x ON x.i = k.p_partkey + 1 LEFT JOIN ch z ON z.i = k.p_partkey + 2)"
+COLUMN_PARENTS = "pa AS MATERIALIZED (SELECT k.p_partkey node, CASE WHEN x.f1 THEN x.i WHEN z.f2 THEN z.i WHEN t.f3 THEN t.i WHEN u.f4 THEN u.i ELSE n END::BIGINT parent FROM part k, n LEFT JOIN ch x ON x.i = k.p_partkey + 1 LEFT JOIN ch z ON z.i = k.p_partkey + 2 LEFT JOIN ch t ON t.i = k.p_partkey + 3 LEFT JOIN ch u ON u.i = k.p_partkey + 4)"
+#: All pairs of a node and what is above it; then counts below, and in postorder what comes before by earlier children.
+MEASURES_SQL = """ab AS (SELECT node, node up, 0::BIGINT d FROM pa UNION ALL SELECT ab.node, parent, d + 1 FROM ab JOIN pa ON pa.node = ab.up, n WHERE parent < n.n),
+sz AS MATERIALIZED (SELECT up node, count(*) size, max(d) lev FROM ab GROUP BY 1),
+os AS MATERIALIZED (SELECT pa.node, parent, size, lev, coalesce(sum(size) OVER (PARTITION BY parent ORDER BY pa.node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) o FROM pa JOIN sz USING (node))"""
+MEASURES = "SELECT v.node, any_value(v.parent)::BIGINT parent, (sum(u.o) + any_value(v.size) - 1)::BIGINT post, any_value(v.lev)::BIGINT AS level, (any_value(v.size) - 1)::BIGINT descendants FROM ab JOIN os v ON v.node = ab.node JOIN os u ON u.node = ab.up GROUP BY 1"
+
+add("elimination_parents", "SELECT * FROM pa", f"RECURSIVE {BAND_SQL}, {TREE_SQL}, {SYMMETRIC_PARENTS}")(
+    lambda s, d: R.elimination_parents(P.a_plus_at_pattern(band(s, d)), n_parts(s, d))
 )
-add("elimination_tree")(lambda s, d: N.elimination_tree(_kept(s, d), n_parts(s, d)))
-add("column_tree")(lambda s, d: N.elimination_tree(_kept(s, d), n_parts(s, d), "column"))
+add("elimination_tree", MEASURES, f"RECURSIVE {BAND_SQL}, {TREE_SQL}, {SYMMETRIC_PARENTS}, {MEASURES_SQL}")(lambda s, d: R.elimination_tree(_kept(s, d), n_parts(s, d)))
+add("column_tree", MEASURES, f"RECURSIVE {BAND_SQL}, {COLUMN_TREE_SQL}, {COLUMN_PARENTS}, {MEASURES_SQL}")(lambda s, d: R.elimination_tree(_kept(s, d), n_parts(s, d), "column"))
 add("supernodes")(lambda s, d: N.supernodes(_kept(s, d), n_parts(s, d), 8, 32, 4))
 add("load_imbalance")(lambda s, d: N.load_imbalance(N.supernodes(_kept(s, d), n_parts(s, d), 8, 32, 4)))
 add(
