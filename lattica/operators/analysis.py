@@ -186,10 +186,10 @@ def incomplete_lu(a: DataFrame, n: int | None = None, per: str | None = None) ->
     return out.select(per, "i", "j", value.alias("v"))
 
 
-def triangular_solve(a: DataFrame, b: DataFrame, lower: bool = True, unit: bool = False, trans: bool = False, conj: bool = False) -> DataFrame:
+def triangular_solve(a: DataFrame, b: DataFrame, lower: bool = True, unit: bool = False, trans: bool = False, conj: bool = False, size: int = B.BLOCK) -> DataFrame:
     """X of T X = B with T the lower or upper triangle of ``a`` (its transpose, its conjugate); a zero diagonal gives infinities.
 
-    Blocks of neighbouring rows are solved level by level, as their entries allow: ``blocks.by_need``.
+    Blocks of ``size`` neighbouring rows are solved level by level, as their entries allow: ``blocks.by_need``.
     """
     wide = C.is_complex(a, "v")
     v = C.conjugate(F.col("v")) if conj and wide else F.col("v")
@@ -210,7 +210,7 @@ def triangular_solve(a: DataFrame, b: DataFrame, lower: bool = True, unit: bool
         times = lambda x, w: C.multiply(C.widen(x, w), F.col("s")) if wide else C.times(x, F.col("s"), w)
         t = t.join(s, "i").select("i", "j", times(F.col("v"), wide).alias("v"))
         b = b.join(s, "i").select("i", "k", times(F.col("x"), C.is_complex(b, "x")).alias("x"))
-    return B.triangle_factor(t, n, B.by_need(t, n, upper=not lower), lower).solve(b, lower=lower, upper=not lower)
+    return B.triangle_factor(t, n, B.by_need(t, n, size, upper=not lower), lower).solve(b, lower=lower, upper=not lower)
 
 
 def level_sets(low: DataFrame, n: int | None = None, per: str | None = None) -> DataFrame:

@@ -208,6 +208,8 @@ def by_need(low: DataFrame, n: int, size: int = BLOCK, upper: bool = False) -> L
             break
         level = nxt.select("block", "level")
     most = level.agg(F.max("level")).first()[0]
+    if upper:  # solves go up from the highest level, so what needs nothing is highest
+        level = level.withColumn("level", F.lit(most) - F.col("level"))
     places = plain.places.drop("level").join(level.select("block", "level"), "block")
     return Layout(scratch.keep(places, "places"), 0 if most is None else most + 1)
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.functions import complexnum as C
-from lattica.operators import blocks as B, dissection as D, products as P
+from lattica.operators import analysis as N, blocks as B, dissection as D, products as P
 from lattica.plans import kernels as K, local
 from lattica.sources import tables as T
 
@@ -148,3 +148,23 @@ def test_levels_by_need(spark):
     layout = B.by_need(a, 12, 3)
     levels = {r.block: r.level for r in layout.places.collect()}
     assert levels == {0: 0, 3: 0, 6: 1, 9: 2} and layout.levels == 3
+
+
+@pytest.mark.parametrize(("lower", "unit", "trans", "wide"), [(True, True, False, False), (False, False, False, False), (True, False, True, True), (False, True, True, False)])
+def test_triangles_of_several_blocks(spark, lower, unit, trans, wide):
+    n = 40
+    m = random_system(9, n, 0.15, wide)
+    t = np.tril(m) if lower else np.triu(m)
+    if unit:
+        np.fill_diagonal(t, 1.0)
+        t = np.where(np.eye(n) == 1, t, t / 20)
+    a = cells_of(spark, t)
+    full = t.conj().T if trans and wide else t.T if trans else t
+    x = np.where(np.arange(n) % 2 == 1, 1.0, -1.0)
+    b = full @ x
+    kind = "i long, k int, re double, im double"
+    rhs = spark.createDataFrame([(i, 0, float(v.real), float(v.imag)) for i, v in enumerate(b)], kind)
+    rhs = rhs.select("i", "k", C.make(F.col("re"), F.col("im")).alias("x")) if wide else rhs.select("i", "k", F.col("re").alias("x"))
+    got = N.triangular_solve(a, rhs, lower, unit, trans, conj=wide, size=8)
+    p = got.select("i", C.widen(F.col("x"), wide)["re"].alias("re"), C.widen(F.col("x"), wide)["im"].alias("im")).toPandas().sort_values("i")
+    assert len(p) == n and np.allclose(p["re"], x) and np.allclose(p["im"], 0.0)
