@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lattica.functions import complexnum as C
-from lattica.operators import analysis as N, blocks as B, dissection as D, elementwise as E, matching as M, products as P, solver as S, trees as R
+from lattica.operators import analysis as N, blocks as B, degree as G, dissection as D, elementwise as E, matching as M, products as P, solver as S, trees as R
 from lattica.plans.local import Options
 from lattica.plans.scratch import Scratch
 from lattica.sources import files, tables as T
@@ -847,3 +847,46 @@ def perfect_matching(s: SparkSession, d: str) -> DataFrame:
     one = s.range(n).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("v"))
     a = Scratch(s).keep(one.unionByName(sold.filter(f"j < {n}").withColumn("v", F.col("v") + 1)), "chains")
     return M.heavy_perfect_matching(a, n).pairs
+
+
+def order_forest(s: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """Orders under customers under nations under regions: ``(i, j, v)`` from each row to the one above, and the number of rows."""
+    customers, nations, regions = (_read(s, d, t).count() for t in ("customer", "nation", "region"))
+    orders = _read(s, d, "orders")
+    found = Scratch(s).keep(orders.repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").select("o_custkey", F.monotonically_increasing_id().alias("at")), "orders")
+    pieces = found.groupBy(F.shiftright("at", 33).alias("piece")).agg(F.count(F.lit(1)).alias("rows"))
+    starts = pieces.select("piece", F.coalesce(F.sum("rows").over(Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    base = regions + nations
+    own = found.withColumn("piece", F.shiftright("at", 33)).join(starts, "piece")
+    low = own.select((F.col("at") - F.shiftleft("piece", 33) + F.col("start") + base + customers).alias("i"), (F.col("o_custkey") + base).cast("long").alias("j"))
+    mid = _read(s, d, "customer").select((F.col("c_custkey") + base).cast("long").alias("i"), (F.col("c_nationkey") + regions).cast("long").alias("j"))
+    top = _read(s, d, "nation").select((F.col("n_nationkey") + regions).cast("long").alias("i"), F.col("n_regionkey").cast("long").alias("j"))
+    a = Scratch(s).keep(low.unionByName(mid).unionByName(top).withColumn("v", F.lit(1.0)), "forest")
+    return a, base + customers + orders.count()
+
+
+def _later(a: DataFrame, order: DataFrame) -> DataFrame:
+    """``(later, nodes)``: how many nodes have how many neighbours after them; an order of a forest makes no fill if none has two."""
+    at = Scratch(a.sparkSession).keep(order, "order")
+    ends = a.join(at.select(F.col("src").alias("i"), F.col("dst").alias("x")), "i").join(at.select(F.col("src").alias("j"), F.col("dst").alias("y")), "j")
+    after = ends.select(F.least("x", "y").alias("dst")).groupBy("dst").agg(F.count(F.lit(1)).alias("later"))
+    return at.join(after, "dst", "left").groupBy(F.coalesce("later", F.lit(0)).alias("later")).agg(F.count(F.lit(1)).alias("nodes"))
+
+
+LATER_SQL = """SELECT 1::BIGINT AS later, edges AS nodes FROM f UNION ALL SELECT 0::BIGINT, rows - edges FROM f"""
+FOREST_SQL = """f AS (SELECT o + c + n AS edges, o + c + n + r AS rows FROM (SELECT count(*) o FROM orders), (SELECT count(*) c FROM customer), (SELECT count(*) n FROM nation), (SELECT count(*) r FROM region))"""
+
+
+@add("order_degree_rounds", LATER_SQL, FOREST_SQL)
+def order_degree_rounds(s: SparkSession, d: str) -> DataFrame:
+    """Minimum degree by rounds on the forest of orders: an order without fill exists, and it must be found."""
+    a, n = order_forest(s, d)
+    return _later(a, G.minimum_degree(a, n, tail=0))
+
+
+@add("order_column_degree_rounds", LATER_SQL, FOREST_SQL)
+def order_column_degree_rounds(s: SparkSession, d: str) -> DataFrame:
+    """The same of A' A, where each row of A holds a node and the one above it."""
+    a, n = order_forest(s, d)
+    own = a.select("i", F.col("i").alias("j"), "v")
+    return _later(a, G.minimum_degree(a.unionByName(own), n, "column", tail=0))
