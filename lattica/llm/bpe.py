@@ -48,15 +48,39 @@ def cuts(data: np.ndarray, bits: int = CUT_BITS) -> np.ndarray:
     return at[(data[at] & 0xC0) != 0x80]
 
 
+#: Texts whose tokens must be those of their words, one word after the other.
+_PROBES = ("a b", "ab12 c-d", " a", "a ", "a  b", "hello  world!\t,x\r\n \x0b\x0cthe end. ", "\u00e9t\u00e9 \u4e2d\u6587 \u0301x a\u0301 \U0001f600 'll it's")
+
+
+def _require_words(tok, path: str) -> None:
+    """Refuse a tokenizer whose words, between ASCII white space, can't be encoded and decoded one by one.
+
+    That is one with a decoder of its own, with added tokens that hold or take in white space, or one that gives a
+    probing text other tokens than its words alone, as byte-level and prefix-space ones do.
+    """
+    if tok.decoder is not None:
+        raise ValueError(f"{path}: a tokenizer with a decoder is not understood")
+    for added in tok.get_added_tokens_decoder().values():
+        if added.lstrip or added.rstrip or added.single_word or any(c.isspace() for c in added.content):
+            raise ValueError(f"{path}: added token {added.content!r} depends on white space around it")
+    white = _WHITE.decode()
+    for text in [*_PROBES, *(f"x{w}y{w}{w}z" for w in white)]:
+        whole = tok.encode(text, add_special_tokens=False).ids
+        words = [w.decode() for w in text.encode().split()]
+        if whole != [i for w in words for i in tok.encode(w, add_special_tokens=False).ids]:
+            raise ValueError(f"{path}: a tokenizer whose tokens reach across white space is not understood")
+
+
 @lru_cache(maxsize=1)
 def _tokenizer(path: str) -> tuple:
-    """The tokenizer and its tokens by id, read once in a worker."""
+    """The tokenizer and its tokens by id, read once in a worker; one that is not understood is refused."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
+    _require_words(tok, path)
     vocab = tok.get_vocab(with_added_tokens=True)
     names = [""] * (max(vocab.values()) + 1)
     for token, i in vocab.items():
@@ -146,6 +170,8 @@ _SPACES = {bytes([b]) for b in _WHITE}
 
 
 def _encoded(docs: DataFrame, path: str, schema: str, types: list[pa.DataType], row) -> DataFrame:
+    _tokenizer(path)  # one that is not understood is refused before a task starts
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Encoder(path)  # its caches go with the task
         yield from encoded(own, batches)
@@ -167,7 +193,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     Texts of any length count whole, one word of megabytes as well. Each of
     several equal rows is encoded, a null doc_id stays null, an empty table
-    gives no rows; other columns are ignored, whatever their names.
+    gives no rows; other columns are ignored, whatever their names. Tokenizers
+    whose words between white space can't be encoded alone (byte-level ones,
+    those with a decoder) are refused with a ValueError.
     """
 
     def row(n: int, ids: str, tokens: str) -> tuple:

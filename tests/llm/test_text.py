@@ -253,3 +253,26 @@ def test_crc_is_of_the_text(spark):
 
     got = spark.createDataFrame([(123,)], "doc_id long").select(crc_share("doc_id", 4)).first()[0]
     assert got == zlib.crc32(b"123") % 4
+
+
+@pytest.mark.parametrize("kind", ["decoder", "byte level", "prefix space", "no pattern", "greedy added token"])
+def test_bpe_refuses_what_it_cannot_encode_by_words(spark, tmp_path, kind):
+    from tokenizers import AddedToken, models, pre_tokenizers
+
+    if kind in ("decoder", "byte level"):
+        tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+        if kind == "byte level":
+            tok.decoder = None
+    else:
+        letters = " ▁abcdehlmnotwxyz!.,0123456789"
+        tok = Tokenizer(models.BPE(vocab={c: i for i, c in enumerate(letters)}, merges=[], unk_token=None))
+        if kind == "prefix space":
+            tok.pre_tokenizer = pre_tokenizers.Metaspace()
+        if kind == "greedy added token":
+            tok.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            tok.add_tokens([AddedToken("ab", lstrip=True)])
+    path = str(tmp_path / "tokenizer.json")
+    tok.save(path)
+    docs = spark.createDataFrame([(1, "hello world this")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        bpe.encode(docs, path)
