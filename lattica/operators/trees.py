@@ -142,3 +142,52 @@ def elimination_tree(a: DataFrame, n: int, kind: str = "symmetric", layout: Layo
     """``(node, parent, post, level, descendants)`` of the elimination tree of A + A' ("symmetric") or A' A ("column")."""
     edges = row_paths(a) if kind == "column" else a_plus_at_pattern(a)
     return tree_measures(elimination_parents(edges, n, layout), n)
+
+
+def subtree_sums(parents: DataFrame, n: int, loads: DataFrame) -> DataFrame:
+    """``(node, parent, load, total)``: the sum of ``loads(node, load)``, whole numbers, over each node and those below it.
+
+    A node without a load counts 0; a root's parent is n. Sums run up by jumps of 1, 2, 4, ... parents.
+    """
+    scratch = Scratch(parents.sparkSession)
+    own = parents.select("node", "parent").join(loads.select("node", F.col("load").cast("long").alias("load")), "node", "left")
+    own = own.select("node", "parent", F.coalesce("load", F.lit(0)).alias("load"))
+    now = scratch.keep(own.select("*", F.col("load").alias("total"), F.when(F.col("parent") < n, F.col("parent")).alias("jump")), "sums", n)
+    while not now.filter("jump is not null").isEmpty():
+        below = now.filter("jump is not null").groupBy(F.col("jump").alias("node")).agg(F.sum("total").alias("more"))
+        farther = now.select(F.col("node").alias("jump"), F.col("jump").alias("far"))
+        nxt = now.join(below, "node", "left").join(farther, "jump", "left")
+        nxt = nxt.select("node", "parent", "load", (F.col("total") + F.coalesce("more", F.lit(0))).alias("total"), F.col("far").alias("jump"))
+        nxt = scratch.keep(nxt, "sums", n)
+        scratch.drop(now)
+        now = nxt
+    return now.select("node", "parent", "load", "total")
+
+
+def forest_partition(parents: DataFrame, n: int, loads: DataFrame, parts: int, pieces: int = 4) -> DataFrame:
+    """``(node, parent, load, total, task)``: whole subtrees dealt to tasks 0 to ``parts`` - 1; what lies above them has task -1.
+
+    Heavy subtrees are split from the top until none holds more than 1 / (``pieces`` x ``parts``) of all load. Neighbouring
+    ones, by index, share a task, so a task holds at most its mean and one such piece more; a task may stay empty. A
+    node that is heavier than a piece by itself belongs to the top. Loads are whole numbers, none below 0; a forest
+    without load goes to task 0, and an empty one gives no rows.
+    """
+    scratch = Scratch(parents.sparkSession)
+    sums = scratch.keep(subtree_sums(parents, n, loads), "sums", n)
+    most = (sums.agg(F.sum("load")).first()[0] or 0) // (pieces * parts)
+    above = sums.select(F.col("node").alias("parent"), F.col("total").alias("upper"))
+    light = sums.filter(F.col("total") <= most).join(above, "parent", "left").withColumn("top", F.col("upper").isNull() | (F.col("upper") > most))
+    light = scratch.keep(light.select("node", "parent", "total", "top"), "light", n)
+    tops = scratch.keep(_before(scratch, light.filter("top").select(F.lit(0).alias("one"), "node", "total"), "one", "node", "total", "before"), "tops", n)
+    dealt = max(1, tops.agg(F.sum("total")).first()[0] or 0)
+    place = F.expr(f"least(cast(before as decimal(38, 0)) * {parts} div {dealt}, {parts - 1})").cast("int")
+    task = tops.select("node", place.alias("task"))
+    # the others look for the top of their subtree by jumps
+    now = scratch.keep(light.join(task, "node", "left").select("node", "task", F.when(~F.col("top"), F.col("parent")).alias("jump")), "tasks", n)
+    while not now.filter("task is null").isEmpty():
+        there = now.select(F.col("node").alias("jump"), F.col("task").alias("found"), F.col("jump").alias("far"))
+        nxt = now.join(there, "jump", "left").select("node", F.coalesce("task", "found").alias("task"), F.when(F.coalesce("task", "found").isNull(), F.col("far")).alias("jump"))
+        nxt = scratch.keep(nxt, "tasks", n)
+        scratch.drop(now)
+        now = nxt
+    return sums.join(now.select("node", "task"), "node", "left").select("node", "parent", "load", "total", F.coalesce("task", F.lit(-1)).alias("task"))

@@ -890,3 +890,30 @@ def order_column_degree_rounds(s: SparkSession, d: str) -> DataFrame:
     a, n = order_forest(s, d)
     own = a.select("i", F.col("i").alias("j"), "v")
     return _later(a, G.minimum_degree(a.unionByName(own), n, "column", tail=0))
+
+
+DEALT_SQL = """b AS (SELECT r + n + c AS orders0, r + n AS customers0, r AS nations0, o + c + n + r AS rows FROM (SELECT count(*) o FROM orders), (SELECT count(*) c FROM customer), (SELECT count(*) n FROM nation), (SELECT count(*) r FROM region)),
+t4 AS (SELECT i, p, 1 + i % 7 t FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 + orders0 i, o_custkey + customers0 p FROM orders, b)),
+t3 AS (SELECT i, p, 1 + i % 7 + coalesce(s, 0) t FROM (SELECT c_custkey + customers0 i, c_nationkey + nations0 p FROM customer, b) LEFT JOIN (SELECT p u, sum(t) s FROM t4 GROUP BY 1) ON u = i),
+t2 AS (SELECT i, p, 1 + i % 7 + coalesce(s, 0) t FROM (SELECT n_nationkey + nations0 i, n_regionkey p FROM nation, b) LEFT JOIN (SELECT p u, sum(t) s FROM t3 GROUP BY 1) ON u = i),
+t1 AS (SELECT i, p, 1 + i % 7 + coalesce(s, 0) t FROM (SELECT r_regionkey i, rows p FROM region, b) LEFT JOIN (SELECT p u, sum(t) s FROM t2 GROUP BY 1) ON u = i),
+e AS (SELECT i::BIGINT i, p::BIGINT p, t::BIGINT t FROM (SELECT * FROM t4 UNION ALL SELECT * FROM t3 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t1)),
+most AS (SELECT (sum(1 + i % 7) // 32)::BIGINT most FROM e),
+tops AS (SELECT e.i, e.t FROM most, e LEFT JOIN e u ON e.p = u.i WHERE e.t <= most AND (u.i IS NULL OR u.t > most)),
+dealt AS (SELECT i, least(coalesce(sum(t) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 8 // sum(t) OVER (), 7)::INTEGER task FROM tops)"""
+
+
+@add(
+    "forest_partition",
+    """SELECT e.i AS node, e.p AS parent, 1 + e.i % 7 AS load, e.t AS total, coalesce(d0.task, d1.task, d2.task, d3.task, -1)::INTEGER AS task
+FROM e LEFT JOIN e u ON u.i = e.p LEFT JOIN e w ON w.i = u.p
+LEFT JOIN dealt d0 ON d0.i = e.i LEFT JOIN dealt d1 ON d1.i = e.p LEFT JOIN dealt d2 ON d2.i = u.p LEFT JOIN dealt d3 ON d3.i = w.p""",
+    DEALT_SQL,
+)
+def forest_partition(s: SparkSession, d: str) -> DataFrame:
+    """The forest of orders among eight tasks, each node with its load, its subtree's and its task."""
+    a, n = order_forest(s, d)
+    parents = a.select(F.col("i").alias("node"), F.col("j").alias("parent"))
+    roots = _read(s, d, "region").select(F.col("r_regionkey").cast("long").alias("node"), F.lit(n).cast("long").alias("parent"))
+    every = Scratch(s).keep(parents.unionByName(roots), "parents")
+    return R.forest_partition(every, n, every.select("node", (F.col("node") % 7 + 1).alias("load")), 8)

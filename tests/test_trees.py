@@ -92,3 +92,30 @@ def test_solve_by_blocks_beyond_one_place(spark):
         assert got.meta.filter("berr < 1e-14 and info = 0").count() == 2
     bad = S.solve(frame(spark, [(0, 0, 1.0), (1, 0, 1.0), (2, 1, 1.0), (2, 2, 1.0)]), T.ones(spark, 3), 3, Options(col_perm="parallel_dissection", equilibrate=False))
     assert bad.meta.first().info == 4 and bad.x.filter("x is null").count() == 3
+
+
+@pytest.mark.parametrize("shape", ["random", "chain", "star", "forest of singles", "no load", "empty"])
+def test_forest_partition(spark, shape):
+    rng = np.random.default_rng(6)
+    n, parts, pieces = {"empty": 0}.get(shape, 90), 3, 2
+    up = {"random": lambda k: int(rng.integers(k + 1, n + 1)), "chain": lambda k: k + 1, "star": lambda k: n - 1 if k < n - 1 else n}.get(shape, lambda k: n)
+    parent = [up(k) for k in range(n)]
+    load = [0 if shape == "no load" else int(x) for x in rng.integers(0, 9, n)]
+    parents = spark.createDataFrame(list(enumerate(parent)), "node long, parent long")
+    loads = spark.createDataFrame([(k, x) for k, x in enumerate(load) if x], "node long, load long")
+    got = R.forest_partition(parents, n, loads, parts, pieces).orderBy("node").collect()
+    assert [(r.node, r.parent, r.load) for r in got] == list(zip(range(n), parent, load, strict=True))
+    total = load.copy()
+    for k in range(n):  # parents come after their children
+        if parent[k] < n:
+            total[parent[k]] += total[k]
+    assert [r.total for r in got] == total
+    most, task = sum(load) // (pieces * parts), [r.task for r in got]
+    held = [0] * parts
+    for k in range(n):
+        assert (task[k] == -1) == (total[k] > most)
+        if task[k] >= 0:
+            held[task[k]] += load[k]
+            above = task[parent[k]] if parent[k] < n else -1
+            assert above in (-1, task[k])  # nothing below another task
+    assert max(held) <= sum(held) / parts + most
