@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lattica.functions import complexnum as C
 from lattica.sources.tables import MATRIX
@@ -25,17 +25,37 @@ def _fields(spark: SparkSession, path: str) -> DataFrame:
     return lines.withColumn("f", F.split("line", r"\s+"))
 
 
-def _zero_based(cells: DataFrame) -> DataFrame:
-    """Indices that never reach 0 are taken as 1-based."""
-    low = cells.agg(F.least(F.min("i"), F.min("j")).alias("low")).first()["low"]
-    shift = 1 if low is not None and low >= 1 else 0
+def _zero_based(cells: DataFrame, size: tuple[int, int, int] | None = None) -> DataFrame:
+    """Indices that never reach 0 are taken as 1-based; with the header's ``size`` (rows, columns, entries) all are held
+    against it in the same pass. Entries that can't be read raise ValueError."""
+    found = cells.agg(F.min("i"), F.min("j"), F.max("i"), F.max("j"), F.count(F.lit(1)), F.count_if(F.col("i").isNull() | F.col("j").isNull() | F.col("v").isNull())).first()
+    rows, cols, most_rows, most_cols, entries, broken = found
+    shift = 1 if rows is not None and cols is not None and min(rows, cols) >= 1 else 0
+    if broken:
+        raise ValueError("an entry can't be read")
+    if size is not None:
+        if entries != size[2]:
+            raise ValueError(f"{size[2]} entries are announced, {entries} are there")
+        if entries and (min(rows, cols) < 0 or most_rows - shift >= size[0] or most_cols - shift >= size[1]):
+            raise ValueError("an index is out of range")
     return cells.withColumn("i", F.col("i") - shift).withColumn("j", F.col("j") - shift)
 
 
 def _cells(rows: DataFrame, kind: str = "real") -> DataFrame:
-    number = lambda n: F.regexp_replace(F.col("f")[n], "[dD]", "e").cast("double")
-    value = F.struct(number(2).alias("re"), number(3).alias("im")) if kind == "complex" else number(2)
-    return rows.select(F.col("f")[0].cast("long").alias("i"), F.col("f")[1].cast("long").alias("j"), value.alias("v"))
+    """What can't be read becomes null; ``_zero_based`` refuses it."""
+    number = lambda n: F.regexp_replace(F.get("f", F.lit(n)), "[dD]", "e").try_cast("double")
+    index = lambda n: F.get("f", F.lit(n)).try_cast("long")
+    pair = F.when(number(2).isNotNull() & number(3).isNotNull(), F.struct(number(2).alias("re"), number(3).alias("im")))
+    return rows.select(index(0).alias("i"), index(1).alias("j"), (pair if kind == "complex" else number(2)).alias("v"))
+
+
+def _header(rows: DataFrame) -> tuple[int, int, int]:
+    """Rows, columns and entries of the first line."""
+    first = rows.orderBy("at").first()
+    words = first["f"] if first else []
+    if len(words) != 3 or not all(w.isdecimal() for w in words):
+        raise ValueError("the line of sizes must hold rows, columns and entries")
+    return int(words[0]), int(words[1]), int(words[2])
 
 
 def read_matrix_market(spark: SparkSession, path: str, complex_values: bool = False) -> DataFrame:
@@ -53,24 +73,17 @@ def read_matrix_market(spark: SparkSession, path: str, complex_values: bool = Fa
     if symmetry not in ("general", "symmetric", "hermitian"):
         raise ValueError(f"symmetry {symmetry} is not read here")
     rows = _fields(spark, path).filter("line != '' and not startswith(line, '%')")
-    size = [int(x) for x in rows.orderBy("at").first()["f"]]
+    size = _header(rows)
     if size[0] != size[1]:
         raise ValueError("the matrix is not square")
     first = rows.agg(F.min("at")).first()[0]
-    cells = _zero_based(_cells(rows.filter(F.col("at") != first), kind))
-    check_bounds(cells, size[0])
+    cells = _zero_based(_cells(rows.filter(F.col("at") != first), kind), size)
     if symmetry != "general":
         flip = F.struct(F.col("v.re"), (-F.col("v.im")).alias("im")) if symmetry == "hermitian" and kind == "complex" else F.col("v")
         cells = cells.unionByName(cells.filter("i != j").select(F.col("j").alias("i"), F.col("i").alias("j"), flip.alias("v")))
     return cells
 
 
-def check_bounds(cells: DataFrame, n: int) -> None:
-    bad = cells.filter((F.col("i") < 0) | (F.col("j") < 0) | (F.col("i") >= n) | (F.col("j") >= n) | F.col("i").isNull() | F.col("j").isNull())
-    if not bad.isEmpty():
-        raise ValueError("an index is out of range")
-
-
 def read_unit_lower(spark: SparkSession, path: str) -> DataFrame:
     """Lower triangle of a Matrix Market file, its stored diagonal set to 1."""
     return unit_lower(read_matrix_market(spark, path))
@@ -81,19 +94,30 @@ def unit_lower(matrix: DataFrame) -> DataFrame:
 
 
 def read_triplets(spark: SparkSession, path: str, header: bool = True, complex_values: bool = False) -> DataFrame:
-    """Lines ``i j v``, after a line ``m n nnz`` if ``header``; 0- or 1-based by the least index."""
+    """Lines ``i j v``, after a line ``m n nnz`` if ``header``; 0- or 1-based by the least index.
+
+    With a header, a missing or unreadable entry or an index beyond the sizes raises ValueError.
+    """
     rows = _fields(spark, path).filter("line != ''")
+    size = _header(rows) if header else None
     if header:
         first = rows.agg(F.min("at")).first()[0]
         rows = rows.filter(F.col("at") != first)
-    return _zero_based(_cells(rows, "complex" if complex_values else "real"))
+    return _zero_based(_cells(rows, "complex" if complex_values else "real"), size)
 
 
 def read_rhs(spark: SparkSession, path: str) -> DataFrame:
-    """One value a line, as right-hand side 0."""
-    lines = spark.read.text(path, wholetext=True)
-    parts = lines.select(F.posexplode(F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+")).alias("i", "x"))
-    return parts.select(F.col("i").cast("long").alias("i"), F.lit(0).alias("k"), F.col("x").cast("double").alias("x"))
+    """Values between white space in the order of the file (files by name), as right-hand side 0.
+
+    Parts of a file are read side by side; their counts say where each part's values begin.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.explode(F.split("value", r"\s+")).alias("x"))
+    values = lines.filter("x != ''").withColumn("at", F.monotonically_increasing_id())
+    parts = values.groupBy("file", "part").agg(F.count(F.lit(1)).alias("rows"), F.min("at").alias("low"))
+    before = F.sum("rows").over(Window.orderBy("file", "part").rowsBetween(Window.unboundedPreceding, -1))  # one row a part
+    starts = parts.select("file", "part", (F.coalesce(before, F.lit(0)) - F.col("low")).alias("start"))
+    number = F.regexp_replace("x", "[dD]", "e").cast("double")
+    return values.join(starts, ["file", "part"]).select((F.col("at") + F.col("start")).alias("i"), F.lit(0).alias("k"), number.alias("x"))
 
 
 def _layout(spec: str) -> tuple[int, int]:
