@@ -90,3 +90,25 @@ def test_nothing_repeats_and_wide_rows(spark):
     places(G.minimum_degree(clique, 9, "column", tail=0), 9)
     with pytest.raises(ValueError):
         G.minimum_degree(once, 3, "rows")
+
+
+def test_stars_on_a_hub_meet_in_no_square_and_make_no_fill(spark):
+    """Stars of 9 leaves on one of 3 hubs, and the hubs on a root that is lighter than the stars' centres: hubs come before the root."""
+    centres, hubs = 60, 3
+    cells = [(100 + c * 9 + k, 10 + c, 1.0) for c in range(centres) for k in range(9)]
+    cells += [(10 + c, 1 + c % hubs, 1.0) for c in range(centres)] + [(1 + h, 0, 1.0) for h in range(hubs)]
+    n = 100 + centres * 9
+    a = spark.createDataFrame(cells, T.MATRIX)
+    for kind, given in (("symmetric", a), ("column", a.unionByName(a.select("i", F.col("i").alias("j"), "v")))):
+        at = {r.src: r.dst for r in G.minimum_degree(given, n, kind, tail=0).collect()}
+        later = [min(at[i], at[j]) for i, j, _ in cells]
+        assert len(set(later)) == len(later), kind  # none has two neighbours after it
+
+
+def test_lone_elements_are_counted_not_compared(spark):
+    """Of many one-variable elements at a variable one stays, or none beside a wider one."""
+    e = lambda p, q: {"p": p, "q": q}
+    rows = [(e(k, -2), 7) for k in range(50)] + [(e(60, 61), 8), (e(60, 61), 9), (e(70, -2), 8), (e(71, -1), 5)]
+    now = spark.createDataFrame(rows, "e struct<p: long, q: long>, v long")
+    gone = sorted((r.e.p, r.e.q) for r in G._absorbed(now, -2).collect())
+    assert gone == [(k, -2) for k in range(1, 50)] + [(70, -2)]
