@@ -168,3 +168,23 @@ def test_triangles_of_several_blocks(spark, lower, unit, trans, wide):
     got = N.triangular_solve(a, rhs, lower, unit, trans, conj=wide, size=8)
     p = got.select("i", C.widen(F.col("x"), wide)["re"].alias("re"), C.widen(F.col("x"), wide)["im"].alias("im")).toPandas().sort_values("i")
     assert len(p) == n and np.allclose(p["re"], x) and np.allclose(p["im"], 0.0)
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_gap_of_factors_by_blocks(spark, wide, monkeypatch):
+    """L U - A block by block: nothing for the matrix itself, what was changed for another; no entry is sent by itself."""
+    n = 45
+    m = random_system(3, n, 0.06, wide)
+    a = cells_of(spark, m)
+    f = B.factorize_blocks(a, n, B.in_order(a, n, 16))
+    m[40, 2] += 0.5
+    monkeypatch.setattr(B.BlockFactor, "entries", lambda *_: pytest.fail("entries"))
+    assert f.worst_gap(a).first().worst < 1e-9
+    assert abs(f.worst_gap(cells_of(spark, m)).first().worst - 0.5) < 1e-9
+
+
+def test_what_waited_for_a_level_is_deleted(spark):
+    n = 45
+    a = cells_of(spark, random_system(3, n, 0.06))
+    f = B.factorize_blocks(a, n, B.in_order(a, n, 16))
+    assert B._due(f.scratch, f"{f.path}/pieces/round=*/level=0") is None and f.blocks().count() == 9
