@@ -397,3 +397,31 @@ def test_headed_files_keep_every_bit(spark, tmp_path, kind, suffix):
     if kind != "sized_triplets":
         with pytest.raises(ValueError):
             files.write_matrix(a, path, kind)
+
+
+@pytest.mark.parametrize("trans", [False, True])
+def test_steps_of_a_chain(spark, monkeypatch, trans):
+    """In natural order a band is one chain: its tasks follow each other in steps, none holds much more than its share of rows."""
+    monkeypatch.setattr(S, "STEP_ROWS", 100)
+    n = 400
+    cells = [(int(a), int(a + d), 20.0 if d == 0 else 1.0 + (a * 7 + d) % 3) for a in range(n) for d in (-2, -1, 0, 1, 2) if 0 <= a + d < n]
+    a = spark.createDataFrame(cells, T.MATRIX)
+    x = T.true_solution(spark, n, 2)
+    o = Options(task_rows=10, col_perm="natural", row_perm="none", equilibrate=False, refine="none", relax=4, trans=trans)
+    f = S.factorize(a, n, o)
+    rows = {r.task: r.p for r in f.blocks.groupBy("task").agg(F.sum("p").alias("p")).collect()}
+    assert sum(rows.values()) == n and max(rows.values()) <= 150 and len(f.ranges()) >= 3
+    got = {(r.i, r.k): r.x for r in f.solve(P.spmv(a, x, trans=trans), trans).collect()}
+    assert len(got) == 2 * n and max(abs(got[r.i, r.k] - r.x) for r in x.collect()) < 1e-9
+    low, up = (f.triangle(lower).count() for lower in (True, False))
+    assert low == up == 3 * n - 3
+
+
+def test_analysis_is_not_sent_whole_to_tasks(spark, monkeypatch):
+    """Tasks read their own part of written tables: nothing is broadcast from the driver's Python."""
+    sent = []
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value))
+    n = 60
+    a = T.laplacian(spark, 8).filter(f"i < {n} and j < {n}")
+    got = S.solve(a, P.spmv(a, T.true_solution(spark, n)), n, Options(task_rows=10))
+    assert got.x.count() == n and not sent
