@@ -119,3 +119,12 @@ def test_forest_partition(spark, shape):
             above = task[parent[k]] if parent[k] < n else -1
             assert above in (-1, task[k])  # nothing below another task
     assert max(held) <= sum(held) / parts + most
+
+
+def test_trees_are_not_broadcast(spark):
+    """Tables of a row a node are merged, however small they are written."""
+    edges = spark.createDataFrame([(k, k + 1) for k in range(20)], "i long, j long")
+    parents = R.elimination_parents(edges, 21)
+    plan = parents._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert {(r.node, r.parent) for r in parents.collect()} == {(k, k + 1) for k in range(21)}
