@@ -112,3 +112,14 @@ def test_lone_elements_are_counted_not_compared(spark):
     now = spark.createDataFrame(rows, "e struct<p: long, q: long>, v long")
     gone = sorted((r.e.p, r.e.q) for r in G._absorbed(now, -2).collect())
     assert gone == [(k, -2) for k in range(1, 50)] + [(70, -2)]
+
+
+def test_a_round_without_fill_needs_no_bounds(spark, tmp_path):
+    """Variables of one element go; of one-variable elements left at a variable one stays, or none beside a wider one."""
+    e = lambda p: {"p": p, "q": -1}
+    rows = [(e(k), v) for k in range(20) for v in (100 + k, 7)] + [(e(50), 7), (e(50), 8), (e(51), 8), (e(51), 151)]
+    rows += [(e(k), v) for k in range(60, 64) for v in (200 + k, 9)] + [(e(70), 10), (e(70), 11), (e(71), 10), (e(71), 11)]
+    now = spark.createDataFrame(rows, "e struct<p: long, q: long>, v long")
+    alone = now.groupBy("v").count().filter("count = 1").select("v")
+    left = sorted((r.e.p, r.v) for r in G._peeled(G.Scratch(spark), now, alone).collect())
+    assert left == [(50, 7), (50, 8), (60, 9), (70, 10), (70, 11), (71, 10), (71, 11)]
