@@ -18,3 +18,24 @@ def test_long_path(spark):
 
 def test_empty(spark):
     assert components(spark, []) == {}
+
+
+def test_contracted_paths_need_few_links(spark, monkeypatch):
+    """Three long paths of near numbers leave only the links between ranges; any numbers give the same components."""
+    import random
+
+    from lattica.operators import graph as G
+
+    seen = []
+    whole = G.connected_components
+    monkeypatch.setattr(G, "connected_components", lambda edges, *rest: seen.append(edges.count()) or whole(edges, *rest))
+    path = [(i, i + 1) for i in range(3000) if i % 1000 != 999] + [(5000, 5000), (None, 7), (8, None)]
+    got = {r.node: r.component for r in G.contracted_components(spark.createDataFrame(path, "src long, dst long")).collect()}
+    assert got == {i: i // 1000 * 1000 for i in range(3000)} | {5000: 5000}
+    assert sum(seen) < 50
+    rng = random.Random(2)
+    for links in (60, 150):
+        df = spark.createDataFrame([(rng.randrange(200), rng.randrange(200)) for _ in range(links)], "src long, dst long").repartition(5)
+        want = {r.node: r.component for r in whole(df).collect()}
+        assert {r.node: r.component for r in G.contracted_components(df).collect()} == want
+    assert G.contracted_components(spark.createDataFrame([], "src long, dst long")).count() == 0
