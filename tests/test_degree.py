@@ -123,3 +123,25 @@ def test_a_round_without_fill_needs_no_bounds(spark, tmp_path):
     alone = now.groupBy("v").count().filter("count = 1").select("v")
     left = sorted((r.e.p, r.v) for r in G._peeled(G.Scratch(spark), now, alone).collect())
     assert left == [(50, 7), (50, 8), (60, 9), (70, 10), (70, 11), (71, 10), (71, 11)]
+
+
+@pytest.mark.parametrize("kind", ["symmetric", "column"])
+def test_pieces_keep_to_their_rows_and_make_little_fill(spark, kind):
+    """Ranges of 16 rows of a band and of 27 of a grid of 9 by 9: fill near the kernel's, and the same in one piece."""
+    rng = np.random.default_rng(5)
+    n, k = 90, 9
+    banded = [(r, r + d) for r in range(n - 6) for d in (0, 1, 2) if rng.random() < 0.7]
+    grid = [(r.i, r.j) for r in T.laplacian(spark, k).collect()]
+    for cells, rows, piece in ((banded, n, 16), (grid, k * k, 27)):
+        sets = [{r, c} for r, c in cells] if kind == "symmetric" else [{c for r, c in cells if r == k} for k in range(rows)]
+        near = neighbours(rows, sets)
+        got = places(G.minimum_degree_by_pieces(frame(spark, cells), rows, kind, piece=piece), rows)
+        whole = places(G.minimum_degree_by_pieces(frame(spark, cells), rows, kind, piece=rows), rows)
+        assert fill(near, got) <= 1.5 * kernel_fill(near) and fill(near, whole) <= 1.1 * kernel_fill(near)
+
+
+def test_what_a_piece_leaves_stands_for_what_it_ordered():
+    """A path 0-1-2-3-4 with both ends held leaves them linked; held nodes are never ordered or merged."""
+    near = [np.array(x, np.int64) for x in ([1], [0, 2], [1, 3], [2, 4], [3])]
+    order, cliques, edges = K.partial_minimum_degree(near, np.array([True, False, False, False, True]))
+    assert sorted(order) == [1, 2, 3] and {0, 4} in cliques.values() and not edges[0] and not edges[4]
