@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lattica.functions import complexnum as C
 from lattica.operators import analysis as N, blocks as B, dissection as D, products as P
 from lattica.plans import kernels as K, local
+from lattica.plans.scratch import Scratch
 from lattica.sources import tables as T
 
 
@@ -71,6 +72,36 @@ def test_dissection_of_odd_graphs(spark, kind):
         assert sum(h > 0 for h, _ in home.values()) == 1
 
 
+@pytest.mark.parametrize("mixed", [False, True])
+def test_dissection_by_pieces(spark, mixed):
+    """Ranges of a grid are halved by number, mixed numbers by coarsening; a part is cut to the end by one task."""
+    k = 24
+    n = k * k
+    cells = [(x, y, 1) for x in range(n) for y in (x + 1, x + k) if y < n and (y != x + 1 or y % k)]
+    if mixed:
+        to = np.random.default_rng(3).permutation(n)
+        cells = [(to[x], to[y], 1) for x, y, _ in cells]
+    d = D.dissect(frame(spark, cells), n, leaf=40, coarse=60, piece=140)
+    perm, home = places(d, n)
+    check_separated(home, [(int(x), int(y)) for x, y, _ in cells])
+    i, j = np.array([c[0] for c in cells]), np.array([c[1] for c in cells])
+    i, j = np.concatenate((i, j)), np.concatenate((j, i))
+    kernel = K.nested_dissection(K.symmetric_columns(n, i, j))
+    assert fill(n, i, j, perm) < 1.5 * fill(n, i, j, kernel)
+
+
+def test_dissection_of_a_band_writes_few_tables(spark, monkeypatch):
+    """Depth costs no rounds of joins where numbers tell who is near whom."""
+    written = []
+    keep = Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, *rest: written.append(1) or keep(self, df, *rest))
+    n = 3000
+    d = D.dissect(frame(spark, [(x, x + s, 1) for x in range(n - 2) for s in (1, 2)]), n, leaf=20, piece=500)
+    _, home = places(d, n)
+    check_separated(home, [(x, x + 1) for x in range(n - 2)])
+    assert d.depth >= 7 and len(written) <= 8
+
+
 def test_small_split_is_even():
     n = 64
     u = np.arange(n - 1)
