@@ -102,6 +102,21 @@ def test_dissection_of_a_band_writes_few_tables(spark, monkeypatch):
     assert d.depth >= 7 and len(written) <= 8
 
 
+@pytest.mark.parametrize("size", [37, 1000])
+def test_factor_entries_are_counted(grid, spark, size):
+    """As many as the one-task kernel lists, in natural, mixed and dissected orders, by ranges of any width."""
+    a, n = grid
+    p = a.toPandas()
+    i, j = p["i"].to_numpy(), p["j"].to_numpy()
+    mixed = np.random.default_rng(5).permutation(n)
+    kernel = K.nested_dissection(K.symmetric_columns(n, i, j))
+    assert N.factor_entries(a, n, size=size) == fill(n, i, j, np.arange(n))
+    for perm in (mixed, kernel):
+        order = spark.createDataFrame([(k, int(x)) for k, x in enumerate(perm)], "src long, dst long")
+        assert N.factor_entries(a, n, order, size) == fill(n, i, j, perm)
+    assert N.factor_entries(a.filter("i = j"), n, size=size) == n
+
+
 def test_small_split_is_even():
     n = 64
     u = np.arange(n - 1)
