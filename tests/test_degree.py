@@ -145,3 +145,18 @@ def test_what_a_piece_leaves_stands_for_what_it_ordered():
     near = [np.array(x, np.int64) for x in ([1], [0, 2], [1, 3], [2, 4], [3])]
     order, cliques, edges = K.partial_minimum_degree(near, np.array([True, False, False, False, True]))
     assert sorted(order) == [1, 2, 3] and {0, 4} in cliques.values() and not edges[0] and not edges[4]
+
+
+def test_dense_boundaries_between_pieces_need_no_degrees(spark):
+    """Rows between ranges go after both, boundary after boundary, with less fill than in natural order."""
+    k = 16
+    n = k * k
+    cells = [(x, y) for x in range(n) for y in (x + 1, x + k) if y < n and (y != x + 1 or y % k)]
+    at = places(G.minimum_degree_by_pieces(frame(spark, cells), n, piece=64, dense=0), n)
+    near = [set() for _ in range(n)]
+    for x, y in cells:
+        near[x].add(y)
+        near[y].add(x)
+    assert fill(near, at) < fill(near, np.arange(n))
+    between = [x for x in range(n) if any(x // 64 != y // 64 for y in near[x])]
+    assert at[between].min() == n - len(between)
