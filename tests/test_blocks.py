@@ -117,6 +117,12 @@ def test_factor_entries_are_counted(grid, spark, size):
     assert N.factor_entries(a.filter("i = j"), n, size=size) == n
 
 
+def test_entries_of_blocks_do_not_go_through_the_driver(grid):
+    a, n = grid
+    plan = B._entries(a, B.in_order(a, n, 64))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_small_split_is_even():
     n = 64
     u = np.arange(n - 1)
